@@ -6,12 +6,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from skyledger.operators.ranking import CUTS, cut_points
-from skyledger.operators.skew import split_join
+from skyledger.operators.ranking import with_cuts
+from skyledger.operators.skew import split_join, with_scalars
 
 
 def nearest_value(
-    needy: DataFrame, donors: DataFrame, group: str, metric: str, donor_key: str
+    needy: DataFrame, donors: DataFrame, group: str, metric: str, donor_key: str,
+    sketch_of: DataFrame | None = None,
 ) -> DataFrame:
     """Give every needy row the donor of its group whose metric is nearest.
 
@@ -30,8 +31,7 @@ def nearest_value(
         )
     )
     value = F.col(metric).cast("double")
-    line = line.withColumn("_cuts", cut_points(line, value, CUTS))
-    line = line.withColumn("_slice", F.size(F.filter("_cuts", lambda p: p < value))).drop("_cuts")
+    line = with_cuts(line, _cuts=value).withColumn("_slice", F.size(F.filter("_cuts", lambda p: p < value))).drop("_cuts")
     spot = F.when(F.col("_donor").isNotNull(), F.struct(F.col(metric).alias("m"), F.col("_donor").alias("d")))
 
     slot = Window.partitionBy(group, "_slice")
@@ -43,7 +43,7 @@ def nearest_value(
         ),
     }).where(F.col("_donor").isNull()).drop("_donor")
 
-    # One row per group and slice, at most CUTS + 1 of them per group.
+    # One row per group and slice, a fixed largest number per group.
     ends = line.groupBy(group, "_slice").agg(F.max(spot).alias("_top"), F.min(spot).alias("_bottom"))
     rows = (Window.unboundedPreceding, -1)
     by_group = Window.partitionBy(group)
@@ -62,7 +62,7 @@ def nearest_value(
         F.when(take_lo, lo["d"]).otherwise(hi["d"]).alias("donor_id"),
         F.when(take_lo, gap_lo).otherwise(gap_hi).alias("ops_diff"),
     )
-    return split_join(needy, chosen, [group, metric], "left").withColumn(
+    return split_join(needy, chosen, [group, metric], "left", sketch_of).withColumn(
         "ops_per_diff", F.try_divide(F.col("ops_diff") * 100.0, F.abs(F.col(metric)).cast("double"))
     )
 
@@ -77,8 +77,8 @@ def copy_donor_rows(
 
 def lowest_donor(needy: DataFrame, donors: DataFrame, donor_key: str, metric: str) -> DataFrame:
     """One donor for all: the one with the lowest metric, then the lowest id."""
-    best = donors.agg(F.min_by(F.col(donor_key), F.struct(metric, donor_key)).alias("d")).scalar()
-    return needy.withColumn("donor_id", best)
+    best = donors.agg(F.min_by(F.col(donor_key), F.struct(metric, donor_key)).alias("donor_id"))
+    return with_scalars(needy, best)
 
 
 def only_donor(needy: DataFrame, donors: DataFrame, donor_key: str) -> DataFrame:
@@ -87,7 +87,7 @@ def only_donor(needy: DataFrame, donors: DataFrame, donor_key: str) -> DataFrame
     pick = F.when(low == high, low).otherwise(
         F.raise_error(F.lit("more than one donor has data")).cast("string")
     )
-    return needy.withColumn("donor_id", donors.agg(pick.alias("d")).scalar())
+    return with_scalars(needy, donors.agg(pick.alias("donor_id")))
 
 
 def clone_rows(df: DataFrame, test, changes: Mapping[str, object]) -> DataFrame:

@@ -189,14 +189,14 @@ def cascade_match(
     rest = only_left(a, b, [id_col])
     named = rest.select(id_col, name_col)
     by_name = split_join(
-        named, b.select(F.col(id_col).alias("match_id"), name_col), [name_col], "inner"
+        named, b.select(F.col(id_col).alias("match_id"), name_col), [name_col], "inner", a
     ).select(id_col, "match_id", F.lit("name").alias("method"))
     rest = only_left(rest, by_name, [id_col])
     used = by_id.unionByName(by_name).select(F.col("match_id").alias(id_col)).distinct()
     near = nearest_value(
         rest.select(id_col, group_col, value_col),
         only_left(b, used, [id_col]).select(id_col, group_col, value_col),
-        group_col, value_col, id_col,
+        group_col, value_col, id_col, a,
     )
     by_value = near.where(F.col("donor_id").isNotNull()).select(
         id_col, F.col("donor_id").alias("match_id"), F.lit("nearest").alias("method")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skyledger.functions.numbers import close_to
 from skyledger.operators.joins import key_difference
 from skyledger.operators.measures import duplicated_keys
+from skyledger.operators.skew import with_scalars
 
 
 def _result(bad: DataFrame, name: str) -> DataFrame:
@@ -43,8 +44,8 @@ def unique(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
 
 def same_row_count(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-    n = F.count(F.lit(1)).alias("n")
-    gap = a.agg(n).select(F.abs(F.col("n") - b.agg(n).scalar()).alias("violations"))
+    rows = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
+    gap = with_scalars(rows(a, "m"), rows(b, "n")).select(F.abs(F.col("m") - F.col("n")).alias("violations"))
     return gap.select(F.lit(name).alias("check"), (F.col("violations") == 0).alias("passed"), "violations")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from skyledger.operators.skew import attach_totals
+from skyledger.operators.skew import attach_totals, with_scalars
 
 CUTS = 64
 
@@ -59,11 +59,11 @@ def _number(df: DataFrame, name: str) -> Column | None:
     return None
 
 
-def cut_points(df: DataFrame, value: Column, cuts: int = CUTS) -> Column:
-    """At most ``cuts`` distinct values that cut the table into even slices."""
+def with_cuts(df: DataFrame, cuts: int = CUTS, **values: Column) -> DataFrame:
+    """Add an array per value: at most ``cuts`` points that cut the table into even slices."""
     grid = [i / (cuts + 1) for i in range(1, cuts + 1)]
-    points = F.array_distinct(F.percentile_approx(value, grid, 10_000))
-    return df.agg(points.alias("cuts")).scalar()
+    points = {n: F.array_distinct(F.percentile_approx(v, grid, 10_000)) for n, v in values.items()}
+    return with_scalars(df, df.agg(*[c.alias(n) for n, c in points.items()]))
 
 
 def slice_index(cuts: str, value: Column) -> Column:
@@ -78,27 +78,23 @@ def with_slices(df: DataFrame, order: Sequence[tuple[str, bool]]) -> DataFrame:
     A value frequent enough to be a cut point has a slice of its own; such a
     slice is cut again by the second ordering column.
     """
-    df = df.withColumns({"_s1": F.lit(0), "_s2": F.lit(0)})
     last = CUTS * 4
-    lead, up = order[0]
-    image = _number(df, lead)
-    if image is None:
-        return df
-    df = df.withColumn("_cuts", cut_points(df, image)).withColumn("_v", image)
-    raw = slice_index("_cuts", F.col("_v"))
-    df = df.withColumn("_own", raw % 2 == 1).withColumn(
-        "_s1", F.coalesce(raw if up else last - raw, F.lit(last + 1))
-    )
+    (lead, up), second = order[0], order[1] if len(order) > 1 else (None, True)
+    first = _number(df, lead)
+    if first is None:
+        return df.withColumns({"_s1": F.lit(0), "_s2": F.lit(0)})
     exact = isinstance(df.schema[lead].dataType, T.NumericType)
-    if exact and len(order) > 1:
-        second, up2 = order[1]
-        image2 = _number(df, second)
-        if image2 is not None:
-            df = df.withColumn("_cuts", cut_points(df, image2)).withColumn("_v", image2)
-            raw2 = slice_index("_cuts", F.col("_v"))
-            raw2 = F.coalesce(raw2 if up2 else last - raw2, F.lit(last + 1))
-            df = df.withColumn("_s2", F.when(F.col("_own"), raw2).otherwise(F.lit(0)))
-    return df.drop("_cuts", "_v", "_own")
+    then = _number(df, second[0]) if exact and second[0] else None
+    images = {"_c1": first} if then is None else {"_c1": first, "_c2": then}
+    df = with_cuts(df, **images).withColumns(dict(zip(("_v1", "_v2"), images.values())))
+
+    def slot(i: int, ascending: bool) -> Column:
+        raw = slice_index(f"_c{i}", F.col(f"_v{i}"))
+        return F.coalesce(raw if ascending else last - raw, F.lit(last + 1))
+
+    own = F.array_contains("_c1", F.col("_v1"))
+    inner = F.lit(0) if then is None else F.when(own, slot(2, second[1])).otherwise(F.lit(0))
+    return df.withColumns({"_s1": slot(1, up), "_s2": inner}).drop("_c1", "_c2", "_v1", "_v2")
 
 
 def numbered(
@@ -142,8 +138,8 @@ def exact_quantile(df: DataFrame, column: str, p: float, name: str = "quantile")
     """
     values = df.select(column).where(F.col(column).isNotNull())
     ranked = numbered(values, [], [(column, True)], "_i")
-    at = values.agg(((F.count(F.lit(1)) - 1) * p + 1).alias("at")).scalar()
-    near = ranked.withColumn("_at", at).where(
+    at = values.agg(((F.count(F.lit(1)) - 1) * p + 1).alias("_at"))
+    near = with_scalars(ranked, at).where(
         (F.col("_i") >= F.floor("_at")) & (F.col("_i") <= F.ceil("_at"))
     )
     low, high = F.min(column), F.max(column)

@@ -19,8 +19,16 @@ SKETCH_ITEMS = 10_000
 HOT_SHARE = 0.005  # a key is hot above this share of all rows
 
 
-def hot_key_hashes(df: DataFrame, keys: Sequence[str]) -> Column:
-    """Array of the hashes of the hot keys, as a scalar subquery."""
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a global aggregate on every row.
+
+    A global aggregate has exactly one row, so its broadcast has a fixed size.
+    """
+    return df.join(F.broadcast(one_row), F.lit(True), "inner")
+
+
+def hot_key_hashes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row, one column ``_hot``: array of the hashes of the hot keys."""
     sketch = df.select(F.xxhash64(*keys).alias("h")).agg(
         F.expr(f"approx_top_k(h, {MAX_HOT}, {SKETCH_ITEMS})").alias("top"),
         F.count(F.lit(1)).alias("n"),
@@ -28,36 +36,35 @@ def hot_key_hashes(df: DataFrame, keys: Sequence[str]) -> Column:
     hot = F.transform(
         F.filter("top", lambda e: e["count"] > F.col("n") * HOT_SHARE), lambda e: e["item"]
     )
-    return sketch.select(hot.alias("hot")).scalar()
+    return sketch.select(hot.alias("_hot"))
 
 
 def split_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
+    sketch_of: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join whose hot left keys are cut into pieces.
 
     Rows of a hot key are spread over ``shuffle_width`` pieces by a hash of the
     whole row (deterministic, so a recomputed task repeats it), and the matching
     right rows are repeated once per piece. Every other key keeps one piece.
-    ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.
+    ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``. Where ``left``
+    is itself costly, ``sketch_of`` names a plainer table with the same keys to
+    look for hot keys in.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"split_join cannot run a {how} join")
     keys = list(keys)
     pieces = shuffle_width(left.sparkSession)
-    hot = hot_key_hashes(left, keys)
-    is_hot = F.coalesce(F.array_contains(hot, F.xxhash64(*keys)), F.lit(False))
-    salted_left = left.withColumn(
-        "_piece",
-        F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(pieces)).cast("int")).otherwise(0),
-    )
-    salted_right = right.withColumn("_hot", is_hot).withColumn(
-        "_piece",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
+    hot = hot_key_hashes(left if sketch_of is None else sketch_of, keys)
+    is_hot = F.coalesce(F.array_contains("_hot", F.xxhash64(*keys)), F.lit(False))
+    piece = F.pmod(F.xxhash64(*left.columns), F.lit(pieces)).cast("int")
+    salted_left = with_scalars(left, hot).withColumn(
+        "_piece", F.when(is_hot, piece).otherwise(0)
+    ).drop("_hot")
+    all_pieces = F.sequence(F.lit(0), F.lit(pieces - 1))
+    salted_right = with_scalars(right, hot).withColumn(
+        "_piece", F.explode(F.when(is_hot, all_pieces).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
     return salted_left.join(salted_right, [*keys, "_piece"], how).drop("_piece")
 
@@ -73,7 +80,5 @@ def attach_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> D
 
 
 def attach_scalar(df: DataFrame, **aggregates: Column) -> DataFrame:
-    """Put whole-table aggregates on every row, through scalar subqueries."""
-    return df.withColumns(
-        {name: df.agg(c.alias(name)).scalar() for name, c in aggregates.items()}
-    )
+    """Put whole-table aggregates on every row."""
+    return with_scalars(df, df.agg(*[c.alias(name) for name, c in aggregates.items()]))

@@ -14,7 +14,7 @@ from skyledger.operators.joins import compare_outer, lookup, only_left, second_c
 from skyledger.operators.measures import group_sums, unit_sum, weighted_totals
 from skyledger.operators.ranking import first_per_group
 from skyledger.operators.reshape import unpivot
-from skyledger.operators.skew import split_join
+from skyledger.operators.skew import split_join, with_scalars
 
 # Output pollutant of each rate column; code changes of the other inventory.
 RATE_POLLUTANTS = {
@@ -155,9 +155,8 @@ def scc_lookup_gap(ltos: DataFrame, codes: DataFrame) -> dict[str, DataFrame]:
     counts = by_code.dropna(subset=["airport", "faa_type", "process", "scc_description"]).groupBy(
         "airport", "faa_type", "process", "scc_description"
     ).agg(F.count("code").alias("n"))
-    share = missing.agg(F.sum("lto").alias("missing")).select(
-        ratio("missing", positive.agg(F.sum("lto").alias("t")).scalar()).alias("share")
-    )
+    sums = with_scalars(missing.agg(F.sum("lto").alias("missing")), positive.agg(F.sum("lto").alias("whole")))
+    share = sums.select(F.coalesce(ratio("missing", "whole"), F.lit(0.0)).alias("share"))
     return {"missing": missing, "counts": counts, "share": share}
 
 

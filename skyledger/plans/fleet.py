@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from skyledger.functions.numbers import ratio
 from skyledger.functions.rules import first_rule
 from skyledger.functions.text import clean_key, has, repair_text, right_split
 from skyledger.operators.donors import (
@@ -15,7 +16,7 @@ from skyledger.operators.joins import lookup, resolve_ambiguous
 from skyledger.operators.measures import (
     first_known, group_sums, loss_audit, share_of_aggregate, share_of_group, share_of_total,
 )
-from skyledger.operators.skew import split_join
+from skyledger.operators.skew import split_join, with_scalars
 
 MIX = ["aircraft_id", "aircraft_type_id", "aircraft_type", "airframe_id", "airframe_type", "fleetmix"]
 # The generic helicopters.
@@ -232,8 +233,8 @@ def farm_fleet(rates: DataFrame, engines: DataFrame, airframes: DataFrame, facil
     items = names.select(frame.alias("model"), engine.alias("engine_code"))
     items = lookup(items, engines, ["engine_code"], ["engine_id"], "inner")
     items = lookup(items, airframes, ["model"], ["airframe_id"])
-    each = items.agg((F.lit(1.0) / F.count(F.lit(1))).alias("s")).scalar()
-    return spread_list(facilities, items.withColumn("fleetmix", each)).withColumn("label", F.col("model"))
+    items = with_scalars(items, items.agg(ratio(F.lit(1.0), F.count(F.lit(1))).alias("fleetmix")))
+    return spread_list(facilities, items).withColumn("label", F.col("model"))
 
 
 def epa_code_map(codes: DataFrame, equipment: DataFrame, engines: DataFrame, keep_all_agreeing: bool = True) -> DataFrame:

@@ -106,7 +106,9 @@ def engine_type_impute(traffic: DataFrame, strict: bool = False) -> DataFrame:
         traffic, "aircraft_type",
         F.coalesce(~F.col("aircraft_type").isin("", " - unknown", "#VALUE!", "A"), F.lit(False)), "_by_type",
     )
-    known = split_join(split_join(traffic, ids, ["aircraft_id"]), types, ["aircraft_type"])
+    known = split_join(
+        split_join(traffic, ids, ["aircraft_id"]), types, ["aircraft_type"], sketch_of=traffic
+    )
 
     def borrowed(c: str) -> Column:
         return F.col(c) if strict else F.coalesce(_engine_of(F.col(c)), F.col(c))

@@ -28,8 +28,10 @@ SELECT 'f' || CAST(o_custkey AS STRING) AS facility_id, 'A' || CAST(o_custkey AS
   CASE p_type WHEN 'ECONOMY' THEN 'Jet' WHEN 'SMALL' THEN 'Turbine' WHEN 'MEDIUM' THEN 'Piston'
     ELSE '-' END AS physical_class,
   CASE WHEN p_size > 40 THEN 'Large Jet Eqpt' ELSE 'Small' END AS weight_class,
-  p_brand AS aircraft_id, p_name AS aircraft_type, p_type AS aircraft_type_id,
-  l_quantity AS total_ops
+  CASE WHEN p_size = 47 THEN NULL ELSE p_brand END AS aircraft_id,
+  CASE WHEN p_size = 50 THEN 'x - unknown' WHEN p_size = 49 THEN '#VALUE!' WHEN p_size = 46 THEN 'Bell 4'
+    ELSE p_name END AS aircraft_type,
+  CASE WHEN p_size = 48 THEN NULL ELSE p_type END AS aircraft_type_id, l_quantity AS total_ops
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey""")
 
 role("base_traffic", "SELECT * FROM {traffic} WHERE year_id = 1998")
@@ -54,7 +56,9 @@ SELECT airframe_id, p_size AS engine_id,
 FROM {part} JOIN {brands} ON p_brand = brand GROUP BY airframe_id, p_size""")
 
 role("engines", "SELECT DISTINCT p_size AS engine_id, 'E' || CAST(p_size AS STRING) AS engine_code FROM {part}")
-role("airframes", "SELECT airframe_id, 'frame ' || brand AS model FROM {brands}")
+role("airframes", """
+SELECT airframe_id, 'frame ' || brand AS model FROM {brands} UNION ALL SELECT 4891, 'CH-47' UNION ALL
+SELECT 4935, 'UH-60' UNION ALL SELECT 5245, 'AH-64'""")
 
 role("forecast", """
 SELECT 'f' || CAST(o_custkey AS STRING) AS facility_id, CAST(year(o_orderdate) AS INT) AS sysyear,
@@ -133,21 +137,36 @@ SELECT 'Taxi Out', 4 UNION ALL SELECT 'Cruise', 5""")
 
 # One rate row per part and mode; several parts of a brand and size name the same equipment.
 role("rates", """
-SELECT p_partkey AS event_no, p_type AS departure_airport, mode, mode_no,
+SELECT p_partkey AS event_no, 'D' || CAST(p_size % 3 AS STRING) AS departure_airport, mode, mode_no, brand_no,
   CASE WHEN brand_no <= 4 THEN p_type ELSE 'frame ' || brand END || '/E' || CAST(p_size AS STRING) AS equipment_type,
   CAST(p_size AS DOUBLE) AS num_ops, p_retailprice * mode_no AS co_st, p_retailprice / mode_no AS nox_st,
-  p_size * 1.5 AS voc_st
+  p_size * CAST(1.5 AS DOUBLE) AS voc_st
 FROM {part} JOIN {brands} ON p_brand = brand JOIN {modes} ON mode_no > 0""")
 
+role("classes", """
+SELECT 'tasp_arpt' AS fac_class, 0 AS heli UNION ALL SELECT 'mil_arpt', 0 UNION ALL SELECT 'fandr_arpt', 0 UNION ALL
+SELECT 'opua_arpt', 0 UNION ALL SELECT 'tasp_heli', 1 UNION ALL SELECT 'fandr_heli', 1 UNION ALL SELECT 'mil_heli', 1""")
+
+role("class_rates", """
+SELECT fac_class, departure_airport, mode, mode_no, event_no, num_ops, equipment_type, co_st, nox_st, voc_st
+FROM {rates} JOIN {classes} ON heli = 0 WHERE brand_no > 4 UNION ALL
+SELECT fac_class, departure_airport, mode, mode_no, min(event_no), min(num_ops), name, min(co_st), min(nox_st), min(voc_st)
+FROM (SELECT fac_class, departure_airport, mode, mode_no, event_no, num_ops, co_st, nox_st, voc_st,
+  CASE WHEN fac_class <> 'mil_heli' THEN equipment_type WHEN equipment_type LIKE 'ECONOMY%' THEN replace(equipment_type, 'ECONOMY', 'CH47D')
+    WHEN equipment_type LIKE 'SMALL%' THEN replace(equipment_type, 'SMALL', 'S70')
+    ELSE replace(replace(replace(replace(equipment_type, 'PROMO', 'B212'), 'MEDIUM', 'B212'), 'LARGE', 'B212'), 'STANDARD', 'B212') END AS name
+  FROM {rates} JOIN {classes} ON heli = 1 WHERE brand_no <= 4) x
+GROUP BY fac_class, departure_airport, mode, mode_no, name""")
+
 role("points", """
 SELECT 'f' || CAST(c_custkey AS STRING) AS facility_id, c_name AS facility_name,
-  (c_custkey * 7919 % 36000) / 100.0 - 180.0 AS lon, (c_custkey * 104729 % 17000) / 100.0 - 85.0 AS lat,
+  CAST(c_custkey * 7919 % 36000 AS DOUBLE) / 100 - 180 AS lon, CAST(c_custkey * 104729 % 17000 AS DOUBLE) / 100 - 85 AS lat,
   n_name AS county, c_nationkey AS nationkey
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""")
 
 role("sites", """
 SELECT 'g' || CAST(s_suppkey AS STRING) AS match_id,
-  (s_suppkey * 6101 % 36000) / 100.0 - 180.0 AS lon, (s_suppkey * 15013 % 17000) / 100.0 - 85.0 AS lat
+  CAST(s_suppkey * 6101 % 36000 AS DOUBLE) / 100 - 180 AS lon, CAST(s_suppkey * 15013 % 17000 AS DOUBLE) / 100 - 85 AS lat
 FROM {supplier}""")
 
 # A triangle or quadrilateral per nation, vertices numbered in order.
@@ -160,16 +179,60 @@ SELECT n_nationkey, 4, n_nationkey * 14.0 - 181.0, 10.0 FROM {nation} WHERE n_re
 role("rings", """
 SELECT CAST(poly_id AS INT) AS poly_id, seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {corners}""")
 
-# Own facility ops of the fleet queries: one row per facility, airframe and engine.
-role("fleet_rows", """
-SELECT 'f' || CAST(o_custkey AS STRING) AS facility_id, airframe_id, p_size AS engine_id,
-  sum(l_quantity) AS ops_fleet, min(p_type) AS aircraft_id
+# Fleet of a facility: shares of each part type, brand and size in its quantity.
+role("fleet_counts", """
+SELECT 'f' || CAST(o_custkey AS STRING) AS facility_id, airframe_id, p_size AS engine_id, p_type AS aircraft_id,
+  sum(l_quantity) AS qty, sum(sum(l_quantity)) OVER (PARTITION BY o_custkey) AS annual_operations
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
-JOIN {brands} ON p_brand = brand GROUP BY o_custkey, airframe_id, p_size""")
+JOIN {brands} ON p_brand = brand GROUP BY o_custkey, airframe_id, p_size, p_type""")
+
+role("fleet_input", """
+SELECT c.facility_id, facility_name, facility_group, facility_type, c.airframe_id, c.engine_id, aircraft_id,
+  qty / c.annual_operations AS fleetmix, c.annual_operations, anp_airplane_id, anp_helicopter_id
+FROM {fleet_counts} c JOIN {equipment} e ON c.airframe_id = e.airframe_id AND c.engine_id = e.engine_id
+JOIN {facilities} f ON c.facility_id = f.facility_id""")
 
 role("profiles", """
 SELECT p_type AS acft_id, CASE WHEN l_linestatus = 'F' THEN 'A' ELSE 'D' END AS op_type,
   CASE WHEN p_size <= 30 AND p_type <> 'PROMO' THEN 'STANDARD' ELSE 'NOISEMAP' END AS prof_id1,
   CASE WHEN p_size % 9 = 8 THEN 'M' ELSE CAST(p_size % 9 + 1 AS STRING) END AS prof_id2,
   max(p_retailprice) AS weight, min(p_partkey) AS profile_id
-FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4""")
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE p_type <> 'LARGE' GROUP BY 1, 2, 3, 4""")
+
+role("heli_profiles", """
+SELECT 'H' || p_brand AS helo_id, CASE WHEN p_size < 25 THEN 'A' WHEN p_size < 48 THEN 'D' ELSE 'X' END AS op_type,
+  'STANDARD' AS prof_id1, CAST(p_size % 9 AS STRING) AS prof_id2, p_retailprice AS weight
+FROM {part} JOIN {brands} ON p_brand = brand WHERE brand_no <= 4""")
+
+role("apu", "SELECT airframe_id, brand_no % 5 AS apu_id, 0 AS user_defined FROM {brands} WHERE brand_no > 6")
+role("apu_defaults", "SELECT DISTINCT n_regionkey AS apu_id, 'APU ' || CAST(n_regionkey AS STRING) AS apu_name FROM {nation}")
+
+# Rate tables of facilities with their own model runs.
+role("own_units", """
+SELECT c.facility_id, airframe_id, engine_id, 'frame ' || brand AS arfm_mod, 'E' || CAST(engine_id AS STRING) AS engine_code,
+  CAST(airframe_id * 100 + engine_id AS INT) AS ids, sum(qty) AS qty
+FROM {fleet_counts} c JOIN {brands} b USING (airframe_id) GROUP BY c.facility_id, airframe_id, engine_id, brand""")
+
+role("own_scenario", """
+SELECT facility_id, op_type, ids, airframe_id, arfm_mod, 'x' AS aircraft_id, engine_id, engine_code
+FROM {own_units} JOIN (SELECT 'A' AS op_type UNION ALL SELECT 'D') m ON ids >= 0""")
+
+role("own_rates", """
+SELECT facility_id, CASE WHEN mode_no = 2 THEN 'A' ELSE 'D' END || CAST(ids AS STRING) AS user_id,
+  arfm_mod || '/' || engine_code AS equipment_type, mode, mode_no, CAST(floor(qty / 2) AS DOUBLE) AS num_ops,
+  qty * mode_no AS co_st, qty / mode_no AS nox_st, ids * CAST(1.5 AS DOUBLE) AS voc_st
+FROM {own_units} JOIN {modes} ON mode_no > 0""")
+
+role("coded_ltos", """
+SELECT o_orderpriority AS facility_id, 'P ' || o_orderstatus AS airport, l_returnflag AS process,
+  CASE WHEN l_tax > 0.07 THEN 999901 + l_linenumber ELSE CAST(l_partkey % 400 AS INT) END AS code,
+  CAST(l_linenumber AS INT) AS scc, l_quantity AS lto
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""")
+
+role("codes", """
+SELECT DISTINCT CAST(p_partkey % 400 AS INT) AS code, airframe_id AS airframe_code, p_size AS edms_id,
+  'M' || CAST(p_size % 7 AS STRING) AS engine, CAST(p_size % 7 + 1 AS INT) AS scc, p_type AS faa_type,
+  'scc ' || CAST(p_size % 7 + 1 AS STRING) AS scc_description
+FROM {part} JOIN {brands} ON p_brand = brand WHERE p_size >= 3""")
+
+role("engine_names", "SELECT DISTINCT p_size AS engine_id, 'M' || CAST(p_size % 7 AS STRING) AS engine FROM {part}")
