@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skyledger.operators.ranking import with_cuts
 from skyledger.operators.skew import split_join, with_scalars
+from skyledger.session import settle
 
 
 def nearest_value(
@@ -32,6 +33,8 @@ def nearest_value(
     )
     value = F.col(metric).cast("double")
     line = with_cuts(line, _cuts=value).withColumn("_slice", F.size(F.filter("_cuts", lambda p: p < value))).drop("_cuts")
+    # One row per group and metric value; four steps below read it.
+    line = settle(line)
     spot = F.when(F.col("_donor").isNotNull(), F.struct(F.col(metric).alias("m"), F.col("_donor").alias("d")))
 
     slot = Window.partitionBy(group, "_slice")

@@ -16,6 +16,7 @@ from skyledger.functions.names import suffixed
 from skyledger.operators.donors import nearest_value
 from skyledger.operators.ranking import first_per_group
 from skyledger.operators.skew import attach_totals, split_join
+from skyledger.session import settle
 
 
 def lookup(
@@ -72,7 +73,7 @@ def with_base_period(
     picks = {
         new: F.max(F.when(F.col(period) == base, F.col(old))) for old, new in measures.items()
     }
-    return attach_totals(series, keys, **picks)
+    return attach_totals(series, keys, split=False, **picks)
 
 
 def decode_columns(fact: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -191,7 +192,8 @@ def cascade_match(
     by_name = split_join(
         named, b.select(F.col(id_col).alias("match_id"), name_col), [name_col], "inner", a
     ).select(id_col, "match_id", F.lit("name").alias("method"))
-    rest = only_left(rest, by_name, [id_col])
+    by_name = settle(by_name)
+    rest = settle(only_left(rest, by_name, [id_col]))
     used = by_id.unionByName(by_name).select(F.col("match_id").alias(id_col)).distinct()
     near = nearest_value(
         rest.select(id_col, group_col, value_col),

@@ -104,7 +104,7 @@ def extend_series(df: DataFrame, key: str, year: str, end: int, last: int) -> Da
     A key that already has a later year is left alone; otherwise years after
     ``end`` cannot occur, so only the ``end`` row is repeated.
     """
-    seen = attach_totals(df, [key], _last=F.max(year))
+    seen = attach_totals(df, [key], split=False, _last=F.max(year))
     years = F.when(
         (F.col("_last") <= end) & (F.col(year) == end), F.sequence(F.lit(end), F.lit(last))
     ).otherwise(F.array(F.col(year).cast("int")))

@@ -69,14 +69,18 @@ def split_join(
     return salted_left.join(salted_right, [*keys, "_piece"], how).drop("_piece")
 
 
-def attach_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
+def attach_totals(
+    df: DataFrame, keys: Sequence[str], split: bool = True, **aggregates: Column
+) -> DataFrame:
     """Put group aggregates on every row of the group.
 
     Written as partial aggregate plus join and not as a window, because a window
     sends a whole group to one task. Rows with a null key get null totals.
+    ``split=False`` leaves out the search for hot keys, for tables whose groups
+    are short by nature (the years of one facility).
     """
     totals = df.groupBy(*keys).agg(*[c.alias(name) for name, c in aggregates.items()])
-    return split_join(df, totals, keys, "left")
+    return split_join(df, totals, keys, "left") if split else df.join(totals, list(keys), "left")
 
 
 def attach_scalar(df: DataFrame, **aggregates: Column) -> DataFrame:

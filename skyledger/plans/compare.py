@@ -15,6 +15,7 @@ from skyledger.operators.measures import group_sums, unit_sum, weighted_totals
 from skyledger.operators.ranking import first_per_group
 from skyledger.operators.reshape import unpivot
 from skyledger.operators.skew import split_join, with_scalars
+from skyledger.session import settle
 
 # Output pollutant of each rate column; code changes of the other inventory.
 RATE_POLLUTANTS = {
@@ -191,8 +192,9 @@ def facility_match(own: DataFrame, other: DataFrame, k: int = 3, fixes: Mapping[
     rest = only_left(ours, theirs, ["facility_id"])
     by_name = split_join(
         rest.select("facility_id", "facility_name"),
-        theirs.select(F.col("facility_id").alias("match_id"), "facility_name"), ["facility_name"], "inner",
+        theirs.select(F.col("facility_id").alias("match_id"), "facility_name"), ["facility_name"], "inner", ours,
     ).select("facility_id", "match_id", F.lit("name").alias("method"))
+    by_name = settle(by_name)
     used = by_id.unionByName(by_name).select(F.col("match_id").alias("facility_id"))
     near = k_nearest(
         only_left(rest, by_name, ["facility_id"]).select("facility_id", "lat", "lon"),

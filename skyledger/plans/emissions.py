@@ -13,6 +13,7 @@ from skyledger.operators.measures import reshare, scale_to_total
 from skyledger.operators.ranking import first_per_group
 from skyledger.operators.skew import attach_totals, split_join
 from skyledger.plans.fleet import farm_fleet, military_heli_fleet
+from skyledger.session import settle
 
 # Fixed values.
 FLIGHT_MODES = ("Climb Below Mixing Height", "Descend Below Mixing Height")
@@ -144,6 +145,7 @@ def noncommercial_inventory(
     port_fleet = airport_fleet(
         lookup(port.drop("engine_code", "model"), engine_codes, ["engine_id"]), engines, airframes, omitted
     )
+    port_fleet = settle(port_fleet)
     port_emis = airport_emissions(port_fleet, use, order, ["fac_class"])
     return (
         heli_fleet.unionByName(port_fleet, allowMissingColumns=True),
@@ -196,13 +198,13 @@ def commercial_inventory(
 
     rows = simulated.unionByName(named, allowMissingColumns=True)
     rows = rows.where(F.coalesce(F.col("arfm_mod") != FLOAT_PLANE, F.lit(True)))
-    rows = filter_modes(rows, modes).withColumnRenamed("num_ops", "ltos")
+    rows = settle(filter_modes(rows, modes).withColumnRenamed("num_ops", "ltos"))
     air = rows.where(~F.col("mode").isin(*GROUND_MODES))
     fleet = first_per_group(air, ["facility_id", "equipment_type"], order).withColumn("ops", F.col("ltos") * 2)
     fleet = scale_to_total(fleet, ["facility_id"], "ops", "annual_operations", "ops_scaled")
     factor = F.try_divide("ops_scaled", "ops")
     fleet = fleet.withColumns({"ltos": F.col("ltos") * factor, "ops": F.col("ops_scaled")}).drop("ops_scaled")
-    fleet = fleet.withColumn("fleetmix", F.try_divide("ops", "annual_operations"))
+    fleet = settle(fleet.withColumn("fleetmix", F.try_divide("ops", "annual_operations")))
     # The factor is one number per facility; it is recovered from the fleet sums.
     factors = first_per_group(air, ["facility_id", "equipment_type"], order).groupBy("facility_id").agg(
         F.try_divide(F.max("annual_operations"), F.sum("ltos") * 2).alias("_factor")

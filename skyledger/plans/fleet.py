@@ -17,6 +17,7 @@ from skyledger.operators.measures import (
     first_known, group_sums, loss_audit, share_of_aggregate, share_of_group, share_of_total,
 )
 from skyledger.operators.skew import split_join, with_scalars
+from skyledger.session import settle
 
 MIX = ["aircraft_id", "aircraft_type_id", "aircraft_type", "airframe_id", "airframe_type", "fleetmix"]
 # The generic helicopters.
@@ -120,8 +121,8 @@ def fleet_mix_all(
     is_heli = F.col("facility_type") == "HELIPORT"
     place = F.concat_ws("|", "facility_group", "district")
     airports = ops.where(~F.coalesce(is_heli, F.lit(False))).withColumn("_place", place)
-    own = airports.join(shares, "facility_id", "inner")
-    needy = airports.join(shares.select("facility_id"), "facility_id", "left_anti")
+    own = settle(airports.join(shares, "facility_id", "inner"))
+    needy = airports.join(own.select("facility_id"), "facility_id", "left_anti")
 
     near_groups = group.isin("TASP", "Military")
     if extra is not None:
@@ -148,7 +149,7 @@ def fleet_mix_all(
     borrowers = found.unionByName(farm_found, allowMissingColumns=True).unionByName(
         other_found, allowMissingColumns=True
     )
-    filled = copy_donor_rows(borrowers, own, "facility_id", MIX).withColumnRenamed(
+    filled = copy_donor_rows(settle(borrowers), own, "facility_id", MIX).withColumnRenamed(
         "donor_id", "filled_from_facility_id"
     )
     heli = fill_constant_mix(ops.where(is_heli))

@@ -10,6 +10,7 @@ from skyledger.operators.joins import lookup
 from skyledger.operators.measures import group_count, redistribute
 from skyledger.operators.ranking import first_per_group, numbered, pair_ids, tied_at_extreme
 from skyledger.operators.skew import split_join
+from skyledger.session import settle
 
 APU_MINUTES = 13.0
 MOST_LOST_OPS = 1000.0
@@ -106,7 +107,7 @@ def attach_profiles(
     More than ``most_lost`` operations lost at a facility is an error.
     """
     have = profiles.select(F.col("acft_id").alias("anp_id"), F.lit(True).alias("_has")).distinct()
-    marked = ops.join(have, "anp_id", "left")
+    marked = settle(ops.join(have, "anp_id", "left"))
     adjusted = redistribute(marked, ["facility_id"], F.col("_has"), "fleetmix", "ops_fleet")
     if most_lost is not None:
         adjusted = adjusted.withColumn(
@@ -137,7 +138,7 @@ def split_arr_dep(data: DataFrame, strict: bool = True) -> DataFrame:
         )
     ltos = counted.withColumn("ltos", half_even(F.try_divide("ops_fleet_adj", "op_counts")))
     return pair_ids(
-        ltos, ["facility_id"],
+        settle(ltos), ["facility_id"],
         [("ltos", False), ("arfm_mod", True), ("engine_code", True), ("op_type", True)],
     )
 
@@ -151,7 +152,7 @@ def scenario_nested(ltos: DataFrame, tracks: DataFrame, minutes: float = APU_MIN
     """
     kind = F.when(F.col("anp_helicopter_id").isNotNull(), 1).otherwise(0)
     rows = numbered(
-        ltos.withColumn("aircraft_type", kind), ["facility_id", "aircraft_type", "op_type"],
+        settle(ltos.withColumn("aircraft_type", kind)), ["facility_id", "aircraft_type", "op_type"],
         [("ids", True), ("airframe_id", True), ("engine_id", True)], "_no",
     ).withColumn("block_no", F.floor((F.col("_no") - 1) / block).cast("int"))
     track = tracks.groupBy("aircraft_type", "op_type").agg(

@@ -10,6 +10,7 @@ from skyledger.functions.numbers import ratio
 from skyledger.operators.donors import copy_donor_rows, nearest_value
 from skyledger.operators.joins import with_base_period
 from skyledger.operators.reshape import extend_series, fill_gaps, over_years, with_series
+from skyledger.session import settle
 
 BASE_YEAR = 2019
 FIRST_YEAR, LAST_FORECAST, LAST_YEAR = 2011, 2045, 2050
@@ -58,8 +59,9 @@ def projection_all(
         "proj_fac",
         F.when(group == "Commercial", F.coalesce("_seen", "proj_fac")).otherwise(F.col("proj_fac")),
     ).drop("_seen")
+    own = settle(own)
 
-    needy = ops.where(group == "TASP").join(factors.select("facility_id"), "facility_id", "left_anti")
+    needy = ops.where(group == "TASP").join(own.select("facility_id"), "facility_id", "left_anti")
     donors = own.where(group == "TASP").groupBy("district", "facility_id").agg(
         F.max("annual_operations").alias("annual_operations")
     )
@@ -76,4 +78,4 @@ def projection_all(
     everything = own
     for piece in (filled, medical, rest):
         everything = everything.unionByName(piece, allowMissingColumns=True)
-    return extend_series(everything, "facility_id", "sysyear", end, last)
+    return extend_series(settle(everything), "facility_id", "sysyear", end, last)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution picks partition counts and broadcast joins from measured
 # sizes and splits oversized join partitions, also where that costs a shuffle.
@@ -12,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -27,3 +30,23 @@ def build_session(app: str = "skyledger", master: str | None = None, **conf) ->
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions, used as the number of pieces a hot key is cut into."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table that several later steps read to the checkpoint folder.
+
+    Later steps then read the written rows instead of repeating the work, also
+    after an executor is lost. The folder is the one the cluster names in
+    ``spark.checkpoint.dir``; only a local session without one gets a folder of
+    its own. On a cluster that names none the table is left as it is.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local"):
+                return df
+            folder = tempfile.mkdtemp(prefix="skyledger-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
