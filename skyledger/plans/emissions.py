@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skyledger.functions.rules import first_rule
 from skyledger.functions.text import joined, right_split
 from skyledger.operators.joins import drop_listed, lookup
-from skyledger.operators.measures import reshare, scale_to_total
+from skyledger.operators.measures import reshare
 from skyledger.operators.ranking import first_per_group
 from skyledger.operators.skew import attach_totals, split_join
 from skyledger.plans.fleet import farm_fleet, military_heli_fleet
@@ -108,7 +108,7 @@ def airport_emissions(
     fleet: DataFrame, rates: DataFrame, order: Sequence[Column], keys: Sequence[str] = ()
 ) -> DataFrame:
     """Rates of each fleet row; the fleet comes from ``airport_fleet``."""
-    return split_join(fleet, flight_rates(rates, order, keys), [*keys, "equipment_type"], "left")
+    return split_join(settle(fleet), flight_rates(rates, order, keys), [*keys, "equipment_type"], "left")
 
 
 def noncommercial_inventory(
@@ -136,6 +136,7 @@ def noncommercial_inventory(
     port = own.where(~is_heli & (F.col("fac_class") != "fandr_arpt")).unionByName(
         farm.drop("label"), allowMissingColumns=True
     )
+    heli, port = settle(heli), settle(port)
     engine_codes = engines.select("engine_id", "engine_code")
     heli_fleet, heli_emis = heli_emissions(
         lookup(heli.drop("engine_code"), engine_codes, ["engine_id"]), use, engines, ["fac_class"]
@@ -145,7 +146,6 @@ def noncommercial_inventory(
     port_fleet = airport_fleet(
         lookup(port.drop("engine_code", "model"), engine_codes, ["engine_id"]), engines, airframes, omitted
     )
-    port_fleet = settle(port_fleet)
     port_emis = airport_emissions(port_fleet, use, order, ["fac_class"])
     return (
         heli_fleet.unionByName(port_fleet, allowMissingColumns=True),
@@ -200,20 +200,20 @@ def commercial_inventory(
     rows = rows.where(F.coalesce(F.col("arfm_mod") != FLOAT_PLANE, F.lit(True)))
     rows = settle(filter_modes(rows, modes).withColumnRenamed("num_ops", "ltos"))
     air = rows.where(~F.col("mode").isin(*GROUND_MODES))
-    fleet = first_per_group(air, ["facility_id", "equipment_type"], order).withColumn("ops", F.col("ltos") * 2)
-    fleet = scale_to_total(fleet, ["facility_id"], "ops", "annual_operations", "ops_scaled")
-    factor = F.try_divide("ops_scaled", "ops")
-    fleet = fleet.withColumns({"ltos": F.col("ltos") * factor, "ops": F.col("ops_scaled")}).drop("ops_scaled")
-    fleet = settle(fleet.withColumn("fleetmix", F.try_divide("ops", "annual_operations")))
-    # The factor is one number per facility; it is recovered from the fleet sums.
-    factors = first_per_group(air, ["facility_id", "equipment_type"], order).groupBy("facility_id").agg(
+    units = settle(first_per_group(air, ["facility_id", "equipment_type"], order))
+    # The correction is one number per facility, taken from its units.
+    factors = units.groupBy("facility_id").agg(
         F.try_divide(F.max("annual_operations"), F.sum("ltos") * 2).alias("_factor")
     )
     scaled = split_join(rows, factors, ["facility_id"], "left").withColumn(
         "ltos", F.col("ltos") * F.col("_factor")
     ).drop("_factor")
+    fleet = split_join(units, factors, ["facility_id"], "left").withColumn(
+        "ltos", F.col("ltos") * F.col("_factor")
+    ).withColumn("ops", F.col("ltos") * 2).drop("_factor")
+    fleet = fleet.withColumn("fleetmix", F.try_divide("ops", "annual_operations"))
     emissions = split_join(
-        scaled, fleet.select("facility_id", "equipment_type", "fleetmix", "ops"), ["facility_id", "equipment_type"], "left"
+        scaled, fleet.select("facility_id", "equipment_type", "fleetmix", "ops"), ["facility_id", "equipment_type"], "left", rows,
     )
     columns = [
         "facility_id", "facility_name", "facility_group", "facility_type", "annual_operations", "airframe_id",

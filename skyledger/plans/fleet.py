@@ -224,7 +224,7 @@ def military_heli_fleet(rates: DataFrame, engines: DataFrame, airframes: DataFra
     )
     items = lookup(items, engines, ["engine_code"], ["engine_id"], "inner")
     items = lookup(items, airframes, ["airframe_id"], ["model"], "inner").withColumn("fleetmix", F.lit(1.0 / 3))
-    return spread_list(facilities, items)
+    return spread_list(facilities, settle(items))
 
 
 def farm_fleet(rates: DataFrame, engines: DataFrame, airframes: DataFrame, facilities: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def farm_fleet(rates: DataFrame, engines: DataFrame, airframes: DataFrame, facil
     names = rates.select("equipment_type").distinct().where(F.col("equipment_type") != FUEL_TRUCK)
     items = names.select(frame.alias("model"), engine.alias("engine_code"))
     items = lookup(items, engines, ["engine_code"], ["engine_id"], "inner")
-    items = lookup(items, airframes, ["model"], ["airframe_id"])
+    items = settle(lookup(items, airframes, ["model"], ["airframe_id"]))
     items = with_scalars(items, items.agg(ratio(F.lit(1.0), F.count(F.lit(1))).alias("fleetmix")))
     return spread_list(facilities, items).withColumn("label", F.col("model"))
 
