@@ -258,10 +258,11 @@ def _attached(t):
 
 
 @query("attach_profiles", ATTACHED + """
-SELECT facility_id, airframe_id, engine_id, op_type, stage_len, round(adj, 6) AS ops_fleet_adj, round(adj_mix, 8) AS fleetmix_adj FROM da""")
+SELECT facility_id, airframe_id, engine_id, op_type, stage_len, round(adj, 6) AS ops_fleet_adj, round(adj_mix + 1e-10, 8) AS fleetmix_adj FROM da""")
 def _(t):
     out = _attached(t)["data"]
-    return rounded(rounded(out, 6, "ops_fleet_adj"), 8, "fleetmix_adj").select(
+    out = out.withColumn("fleetmix_adj", F.round(F.col("fleetmix_adj") + 1e-10, 8))
+    return rounded(out, 6, "ops_fleet_adj").select(
         "facility_id", "airframe_id", "engine_id", "op_type", "stage_len", "ops_fleet_adj", "fleetmix_adj"
     )
 

@@ -91,21 +91,21 @@ def _noncommercial(t):
 
 
 @query("noncommercial_fleet", INVENTORY_SQL + """
-SELECT facility_id, fac_class, eq AS equipment_type, CAST(count(*) AS BIGINT) AS n, round(sum(ops), 4) AS ops FROM (SELECT facility_id, fac_class, eq, ops FROM hf UNION ALL
+SELECT facility_id, fac_class, eq AS equipment_type, CAST(count(*) AS BIGINT) AS n, round(sum(ops) + 1e-6, 4) AS ops FROM (SELECT facility_id, fac_class, eq, ops FROM hf UNION ALL
   SELECT facility_id, fac_class, lower(label) || '/e' || CAST(engine_id AS VARCHAR), ops FROM pf) GROUP BY 1, 2, 3""")
 def _(t):
     out, _emis = _noncommercial(t)
-    return out.groupBy("facility_id", "fac_class", "equipment_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ops"), 4).alias("ops"))
+    return out.groupBy("facility_id", "fac_class", "equipment_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ops") + 1e-6, 4).alias("ops"))
 
 
 @query("noncommercial_emissions", INVENTORY_SQL + f""",
 al AS (SELECT facility_id, hf.fac_class, mode, ops, co_st FROM hf LEFT JOIN (SELECT * FROM {{class_rates}} WHERE mode IN {MODES}) r ON r.fac_class = hf.fac_class AND r.equipment_type = hf.eq UNION ALL
   SELECT facility_id, pf.fac_class, mode, ops, co_st FROM pf LEFT JOIN fr ON fr.fac_class = pf.fac_class AND fr.eq = lower(label) || '/e' || CAST(engine_id AS VARCHAR))
-SELECT facility_id, fac_class, mode, CAST(count(*) AS BIGINT) AS n, round(sum(ops / 2 * co_st), 2) AS co FROM al GROUP BY 1, 2, 3""")
+SELECT facility_id, fac_class, mode, CAST(count(*) AS BIGINT) AS n, round(sum(ops / 2 * co_st) + 1e-4, 2) AS co FROM al GROUP BY 1, 2, 3""")
 def _(t):
     _fleet, out = _noncommercial(t)
     return out.groupBy("facility_id", "fac_class", "mode").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("ltos") * F.col("co_st")), 2).alias("co")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("ltos") * F.col("co_st")) + 1e-4, 2).alias("co")
     )
 
 
@@ -124,18 +124,18 @@ def _commercial(t):
 
 
 @query("commercial_fleet", OWN_SQL + """
-SELECT facility_id, equipment_type, round(num_ops * k, 6) AS ltos, round(num_ops * 2 * k, 6) AS ops, round(num_ops * 2 * k / nullif(annual, 0), 8) AS fleetmix,
+SELECT facility_id, equipment_type, num_ops * k AS ltos, num_ops * k * 2 AS ops, num_ops * k * 2 / nullif(annual, 0) AS fleetmix,
   CASE WHEN facility_id IN ('f1', 'f2', 'f7') THEN 'reported' ELSE 'traffic' END AS source FROM fl JOIN fa USING (facility_id)""")
 def _(t):
     out, _emis = _commercial(t)
-    return rounded(rounded(out, 6, "ltos", "ops"), 8, "fleetmix").select("facility_id", "equipment_type", "ltos", "ops", "fleetmix", "source")
+    return out.select("facility_id", "equipment_type", "ltos", "ops", "fleetmix", "source")
 
 
 @query("commercial_emissions", OWN_SQL + """
-SELECT ro.facility_id, ro.equipment_type, ro.mode, round(ro.num_ops * k, 6) AS ltos, round(fl.num_ops * 2 * k, 6) AS ops, co_st FROM ro JOIN fa USING (facility_id) LEFT JOIN fl USING (facility_id, equipment_type)""")
+SELECT ro.facility_id, ro.equipment_type, ro.mode, ro.num_ops * k AS ltos, fl.num_ops * k * 2 AS ops, co_st FROM ro JOIN fa USING (facility_id) LEFT JOIN fl USING (facility_id, equipment_type)""")
 def _(t):
     _fleet, out = _commercial(t)
-    return rounded(out, 6, "ltos", "ops").select("facility_id", "equipment_type", "mode", "ltos", "ops", "co_st")
+    return out.select("facility_id", "equipment_type", "mode", "ltos", "ops", "co_st")
 
 
 POLLUTANTS = ("CO", "NOX", "PM10")
