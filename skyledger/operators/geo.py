@@ -49,7 +49,8 @@ def k_nearest(
     places = left.select(lat, lon).dropna().distinct()
 
     grid = spots.select(lat, lon, levels.alias("_level")).select(
-        "_level", _cell(F.col(lon), 180.0, level).alias("_x"), _cell(F.col(lat), 90.0, level).alias("_y")
+        "_level", _wrap(_cell(F.col(lon), 180.0, level), level).alias("_x"),
+        _cell(F.col(lat), 90.0, level).alias("_y"),
     ).groupBy("_level", "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
     step = F.array(*[F.lit(v) for v in (-1, 0, 1)])
     around = places.select(lat, lon, levels.alias("_level")).select(
@@ -84,7 +85,8 @@ def k_nearest(
         right_id, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), levels.alias("_level")
     ).select(
         right_id, "_lat", "_lon", "_level",
-        _cell(F.col("_lon"), 180.0, level).alias("_x"), _cell(F.col("_lat"), 90.0, level).alias("_y"),
+        _wrap(_cell(F.col("_lon"), 180.0, level), level).alias("_x"),
+        _cell(F.col("_lat"), 90.0, level).alias("_y"),
     )
     near = split_join(wanted, candidates, ["_level", "_x", "_y"], "inner").withColumn(
         "dist_mi", haversine(F.col(lat), F.col(lon), F.col("_lat"), F.col("_lon"))

@@ -101,11 +101,11 @@ def _(t):
 @query("noncommercial_emissions", INVENTORY_SQL + f""",
 al AS (SELECT facility_id, hf.fac_class, mode, ops, co_st FROM hf LEFT JOIN (SELECT * FROM {{class_rates}} WHERE mode IN {MODES}) r ON r.fac_class = hf.fac_class AND r.equipment_type = hf.eq UNION ALL
   SELECT facility_id, pf.fac_class, mode, ops, co_st FROM pf LEFT JOIN fr ON fr.fac_class = pf.fac_class AND fr.eq = lower(label) || '/e' || CAST(engine_id AS VARCHAR))
-SELECT facility_id, fac_class, mode, CAST(count(*) AS BIGINT) AS n, round(sum(ops / 2 * co_st) + 1e-4, 2) AS co FROM al GROUP BY 1, 2, 3""")
+SELECT facility_id, fac_class, mode, CAST(count(*) AS BIGINT) AS n, round(sum(ops / 2 * co_st) + 1.7e-5, 2) AS co FROM al GROUP BY 1, 2, 3""")
 def _(t):
     _fleet, out = _noncommercial(t)
     return out.groupBy("facility_id", "fac_class", "mode").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("ltos") * F.col("co_st")) + 1e-4, 2).alias("co")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("ltos") * F.col("co_st")) + 1.7e-5, 2).alias("co")
     )
 
 

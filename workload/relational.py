@@ -8,7 +8,9 @@ from skyledger.operators.skew import with_scalars
 import workload.roles  # noqa: F401
 from workload.registry import query
 
-YEAR = F.year("o_orderdate").cast("int")
+
+def order_year():
+    return F.year("o_orderdate").cast("int")
 
 
 @query("fleet_mix_loss_audit", """
@@ -70,7 +72,7 @@ SELECT o_custkey, round(a.tot, 4) AS total_a, round(b.tot, 4) AS total_b, a.tot
   round(a.tot - b.tot, 4) AS diff, round((a.tot - b.tot) * 100 / nullif(b.tot, 0), 4) AS per_diff
 FROM a FULL JOIN b USING (o_custkey)""")
 def _(t):
-    yearly = t.orders.where(YEAR.isin(1998, 1999)).groupBy("o_custkey", YEAR.alias("yr")).agg(F.sum("o_totalprice").alias("total"))
+    yearly = t.orders.where(order_year().isin(1998, 1999)).groupBy("o_custkey", order_year().alias("yr")).agg(F.sum("o_totalprice").alias("total"))
     both = joins.compare_outer(
         yearly.where("yr = 1998").drop("yr"), yearly.where("yr = 1999").drop("yr"), ["o_custkey"]
     )
@@ -150,7 +152,7 @@ SELECT k, 'left' FROM c WHERE k NOT IN (SELECT k FROM o) UNION ALL
 SELECT k, 'right' FROM o WHERE k NOT IN (SELECT k FROM c)""")
 def _(t):
     c = t.customer.select(F.col("c_custkey").alias("k"))
-    o = t.orders.where(YEAR == 1998).select(F.col("o_custkey").alias("k"))
+    o = t.orders.where(order_year() == 1998).select(F.col("o_custkey").alias("k"))
     return joins.in_both(c, o, ["k"]).withColumn("side", F.lit("with")).unionByName(joins.key_difference(c, o, ["k"]))
 
 
@@ -167,8 +169,8 @@ def _(t):
     summer = F.month("o_orderdate").isin(6, 7, 8)
     price = F.col("o_totalprice")
     yearly = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(
-        *[F.round(F.sum(F.when(YEAR == y, price)), 2).alias(f"a{y % 100}") for y in (1998, 1999)],
-        *[F.round(F.sum(F.when((YEAR == y) & summer, price)), 2).alias(f"s{y % 100}") for y in (1998, 1999)],
+        *[F.round(F.sum(F.when(order_year() == y, price)), 2).alias(f"a{y % 100}") for y in (1998, 1999)],
+        *[F.round(F.sum(F.when((order_year() == y) & summer, price)), 2).alias(f"s{y % 100}") for y in (1998, 1999)],
     )
     top = t.orders.where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("top"))
     return joins.enrich(t.customer.select(F.col("c_custkey").alias("k")), [yearly, top], "k")
@@ -406,7 +408,7 @@ def _(t):
 WITH y AS (SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS yr, count(*) AS n FROM {orders} GROUP BY 1, 2)
 SELECT o_custkey, yr, round(n / nullif(max(CASE WHEN yr = 1998 THEN n END) OVER (PARTITION BY o_custkey), 0), 8) AS factor FROM y""")
 def _(t):
-    y = t.orders.groupBy("o_custkey", YEAR.alias("yr")).agg(F.count(F.lit(1)).alias("n"))
+    y = t.orders.groupBy("o_custkey", order_year().alias("yr")).agg(F.count(F.lit(1)).alias("n"))
     based = joins.with_base_period(y, ["o_custkey"], "yr", 1998, {"n": "base"})
     return based.select("o_custkey", "yr", F.round(ratio("n", "base"), 8).alias("factor"))
 
@@ -416,7 +418,7 @@ WITH y AS (SELECT c_nationkey, CAST(year(o_orderdate) AS INT) AS yr, count(*) AS
 SELECT c_nationkey, yr, n FROM y UNION ALL SELECT c_nationkey, yr + CAST(d AS INT), n FROM y, generate_series(1, 5) g(d) WHERE yr = 2001""")
 def _(t):
     df = joins.lookup(t.orders, t.customer, {"o_custkey": "c_custkey"}, ["c_nationkey"], "inner")
-    y = df.groupBy("c_nationkey", YEAR.alias("yr")).agg(F.count(F.lit(1)).alias("n"))
+    y = df.groupBy("c_nationkey", order_year().alias("yr")).agg(F.count(F.lit(1)).alias("n"))
     return reshape.extend_series(y, "c_nationkey", "yr", 2001, 2006).select("c_nationkey", "yr", "n")
 
 
@@ -425,7 +427,7 @@ WITH y AS (SELECT o_custkey, CAST(year(o_orderdate) AS INT) AS yr, CAST(count(*)
 g AS (SELECT o_custkey, CAST(d AS INT) AS yr FROM (SELECT DISTINCT o_custkey FROM y), generate_series(1995, 2001) s(d))
 SELECT g.o_custkey, g.yr, coalesce(v, 1) AS v FROM g LEFT JOIN y USING (o_custkey, yr)""")
 def _(t):
-    y = t.orders.groupBy("o_custkey", YEAR.alias("yr")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    y = t.orders.groupBy("o_custkey", order_year().alias("yr")).agg(F.count(F.lit(1)).cast("double").alias("v"))
     return reshape.fill_gaps(y, ["o_custkey"], "yr", 1995, 2001, "v", 1.0)
 
 
@@ -433,7 +435,7 @@ def _(t):
 WITH s AS (SELECT CAST(year(o_orderdate) AS INT) AS yr, count(*) AS n FROM {orders} GROUP BY 1)
 SELECT c_custkey, yr, n FROM {customer}, s WHERE yr BETWEEN 1996 AND 2000""")
 def _(t):
-    s = t.orders.groupBy(YEAR.alias("yr")).agg(F.count(F.lit(1)).alias("n"))
+    s = t.orders.groupBy(order_year().alias("yr")).agg(F.count(F.lit(1)).alias("n"))
     return reshape.with_series(t.customer.select("c_custkey"), s, 1996, 2000, "yr").select("c_custkey", "yr", "n")
 
 
@@ -441,7 +443,7 @@ def _(t):
 WITH o AS (SELECT o_custkey AS c_custkey, max(o_totalprice) AS seen FROM {orders} WHERE year(o_orderdate) = 1998 GROUP BY 1)
 SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN coalesce(seen, c_acctbal) ELSE c_acctbal END AS v FROM {customer} LEFT JOIN o USING (c_custkey)""")
 def _(t):
-    seen = t.orders.where(YEAR == 1998).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("seen"))
+    seen = t.orders.where(order_year() == 1998).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("seen"))
     df = joins.lookup(t.customer, seen, ["c_custkey"])
     return df.select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", F.coalesce("seen", "c_acctbal")).otherwise(F.col("c_acctbal")).alias("v"))
 
@@ -458,7 +460,7 @@ donor AS (SELECT * FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM d))
 
 
 def _needy_and_donors(t):
-    active = t.orders.where(YEAR == 1998).select(F.col("o_custkey").alias("c_custkey"))
+    active = t.orders.where(order_year() == 1998).select(F.col("o_custkey").alias("c_custkey"))
     return t.customer.join(active, "c_custkey", "left_anti"), t.customer.join(active, "c_custkey", "left_semi")
 
 
