@@ -129,12 +129,14 @@ def loss_audit(before: DataFrame, after: DataFrame, keys: Sequence[str], measure
 
 
 def first_known(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], **sums: str
 ) -> DataFrame:
-    """Per column the first non-null value in the order; partial aggregates, no sort."""
+    """Per column the first non-null value in the order, and named sums, in one
+    pass of partial aggregates."""
     at = F.struct(*order)
+    firsts = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns]
     return df.dropna(subset=list(keys)).groupBy(*keys).agg(
-        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns]
+        *firsts, *[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in sums.items()]
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger.operators.skew import attach_totals
+from skyledger.session import settle
 
 
 def conditional_pivot(
@@ -57,7 +58,7 @@ def two_grain(
 
     Rows with a null fine key count in the coarse table only.
     """
-    every = df.groupBy(*fine).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    every = settle(df.groupBy(*fine).agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
     top = every.groupBy(*coarse).agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in sums])
     bottom = every.dropna(subset=list(fine)).withColumns(
         {n: F.coalesce(F.col(n), F.lit(0.0)) for n in sums}

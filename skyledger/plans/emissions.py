@@ -189,7 +189,7 @@ def commercial_inventory(
     simulated = lookup(simulated, facts, ["facility_id"]).withColumn("source", F.lit("traffic"))
 
     flights = F.col("mode").isin(*FLIGHT_MODES)
-    told = rates.where(reports)
+    told = settle(rates.where(reports))
     named = split_join(told, equipment_lookup(told, engines, airframes, extra), ["equipment_type"], "left")
     named = lookup(named, facts.drop("annual_operations"), ["facility_id"])
     named = attach_totals(

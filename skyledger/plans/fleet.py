@@ -166,10 +166,8 @@ def facility_fleet(fleet: DataFrame) -> DataFrame:
     """Shares collapsed to facility, airframe and engine, with operations."""
     keys = ["facility_id", "airframe_id", "engine_id"]
     firsts = ["annual_operations", "anp_airplane_id", "anp_helicopter_id", "aircraft_id"]
-    clean = fleet.dropna(subset=keys)
-    one = first_known(clean, keys, ["aircraft_id", "annual_operations"], firsts)
-    mix = clean.groupBy(*keys).agg(F.sum("fleetmix").alias("fleetmix"))
-    return one.join(mix, keys).withColumns({
+    one = first_known(fleet, keys, ["aircraft_id", "annual_operations"], firsts, fleetmix="fleetmix")
+    return one.withColumns({
         "ops_fleet": F.col("annual_operations") * F.col("fleetmix"),
         "anp_id": F.coalesce("anp_airplane_id", "anp_helicopter_id"),
     })

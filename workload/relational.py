@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from skyledger.functions.numbers import ratio
 from skyledger.operators import donors, geo, joins, measures, ranking, reshape
 from skyledger.operators.skew import with_scalars
+from skyledger.session import settle
 import workload.roles  # noqa: F401
 from workload.registry import query
 
@@ -401,7 +402,7 @@ SELECT l_suppkey, l_partkey, op_type, ltos, CAST(ceil(row_number() OVER (PARTITI
 def _(t):
     units = measures.group_sums(t.lineitem, ["l_suppkey", "l_partkey"], ops="l_quantity")
     moves = units.select("l_suppkey", "l_partkey", F.bround(F.col("ops") / 2, 0).alias("ltos"), F.explode(F.array(F.lit("A"), F.lit("D"))).alias("op_type"))
-    return ranking.pair_ids(moves, ["l_suppkey"], [("ltos", False), ("l_partkey", True), ("op_type", True)])
+    return ranking.pair_ids(settle(moves), ["l_suppkey"], [("ltos", False), ("l_partkey", True), ("op_type", True)])
 
 
 @query("base_year_factor", """
