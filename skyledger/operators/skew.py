@@ -46,7 +46,8 @@ def split_join(
     """Equi-join whose hot left keys are cut into pieces.
 
     Rows of a hot key are spread over ``shuffle_width`` pieces by a hash of the
-    whole row (deterministic, so a recomputed task repeats it), and the matching
+    whole row (deterministic, so a recomputed task repeats it; select the columns
+    in use first, as the hash reads every column of ``left``), and the matching
     right rows are repeated once per piece. Every other key keeps one piece.
     ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``. Where ``left``
     is itself costly, ``sketch_of`` names a plainer table with the same keys to

@@ -163,7 +163,8 @@ e AS (SELECT t.*, CASE WHEN user_class IN ('Air Carrier', 'Freight') THEN 'Air C
 
 @query("engine_type_impute", ENGINE_SQL + " SELECT facility_id, aviation_type, engine_type, CAST(count(*) AS BIGINT) AS n, sum(total_ops) AS ops FROM e GROUP BY 1, 2, 3")
 def _(t):
-    typed = traffic.engine_type_impute(t.traffic)
+    used = ["facility_id", "user_class", "physical_class", "weight_class", "aircraft_id", "aircraft_type", "total_ops"]
+    typed = traffic.engine_type_impute(t.traffic.select(*used))
     return typed.groupBy("facility_id", "aviation_type", "engine_type").agg(F.count(F.lit(1)).alias("n"), F.sum("total_ops").alias("ops"))
 
 
@@ -171,7 +172,8 @@ def _(t):
 SELECT facility_id, airport, year_id, season, aircraft_id, aircraft_type, total_ops, aviation_type, sum(total_ops) OVER w AS aviation_type_ops,
   round(total_ops / sum(total_ops) OVER w, 10) AS aviation_type_mix FROM e WHERE engine_type IS NOT NULL WINDOW w AS (PARTITION BY facility_id, aviation_type)""")
 def _(t):
-    out = traffic.aviation_type_mix(traffic.engine_type_impute(t.traffic))
+    rows = t.traffic.drop("facility_name", "aircraft_type_id")
+    out = traffic.aviation_type_mix(traffic.engine_type_impute(rows))
     return rounded(out, 10, "aviation_type_mix").select(
         "facility_id", "airport", "year_id", "season", "aircraft_id", "aircraft_type", "total_ops", "aviation_type", "aviation_type_ops", "aviation_type_mix"
     )

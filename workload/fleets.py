@@ -303,7 +303,8 @@ WITH n AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_line
 SELECT l_orderkey, CAST(floor(i / 50) AS INT) AS block_no, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ',' ORDER BY i) AS lines, sum(l_quantity) AS qty FROM n GROUP BY 1, 2""")
 def _(t):
     from skyledger.operators.ranking import numbered
-    rows = numbered(t.lineitem, ["l_orderkey"], [("l_linenumber", True), ("l_partkey", True), ("l_extendedprice", True)], "i")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    rows = numbered(lines, ["l_orderkey"], [("l_linenumber", True), ("l_partkey", True), ("l_extendedprice", True)], "i")
     item = F.struct("i", F.concat_ws(":", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("v"))
     return rows.groupBy("l_orderkey", F.floor((F.col("i") - 1) / 50).cast("int").alias("block_no")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["v"]), ",").alias("lines"), F.sum("l_quantity").alias("qty")

@@ -322,7 +322,8 @@ def _(t):
 @query("ratio_group", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, round(l_quantity / sum(l_quantity) OVER (PARTITION BY l_suppkey), 10) AS share FROM {lineitem}""")
 def _(t):
-    return measures.share_of_group(t.lineitem, ["l_suppkey"], "l_quantity", "share").select(
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return measures.share_of_group(lines, ["l_suppkey"], "l_quantity", "share").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.round("share", 10).alias("share")
     )
 
@@ -339,7 +340,7 @@ def _(t):
 @query("group_count_min", """
 SELECT o_orderkey, count(o_orderkey) OVER (PARTITION BY o_custkey) AS n, min(o_totalprice) OVER (PARTITION BY o_custkey) AS low FROM {orders}""")
 def _(t):
-    df = measures.group_count(t.orders, ["o_custkey"], "o_orderkey", "n")
+    df = measures.group_count(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], "o_orderkey", "n")
     return measures.group_min(df, ["o_custkey"], "o_totalprice", "low").select("o_orderkey", "n", "low")
 
 
