@@ -1,21 +1,24 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional Kneser-Ney models over bytes.
 
-Two bigram models, one of toxic and one of ordinary labelled texts: a bigram backs
-off to the share of distinct contexts that the word follows in the class, and that
-to the share over both classes, so that a word rare in both says little. Words are kept in ``BUCKETS`` hash buckets, and bigrams
-likewise, so the model has a fixed size however many texts are labelled; all
-labelled training rows are counted.
+Two models, one of toxic and one of ordinary labelled texts, predict each byte from
+the ``ORDER - 1`` bytes before it. The counts of the longest runs are discounted and
+back off to continuation counts (in how many distinct contexts a byte follows) of
+ever shorter contexts, and at last to the continuation counts of both classes
+together, so that an expression rare in both says little. Letters are lower-case and
+punctuation reads as white space.
 
 A text's evidence is the length-normalised difference of its log-likelihoods under
-the two models, over the whole text and over its most toxic window of ``WINDOW``
-words: an insult in a long text is not averaged away. A logistic curve over these,
-fitted on at most ``FIT_ROWS`` training rows of one fold under a model of the other
-folds, turns it into a score from 0 to 1.
-
-Defined cases: null texts count as empty, and a text without words gets the score of
-no evidence; repeated labelled rows count repeatedly; labels with a null id or label
-are not used; without a labelled row of either class every score is 0; only id and
-text are read; an empty table gives no scores.
+the two models, over the whole text and over its most toxic windows: an insult in a
+long text is not averaged away. A logistic curve over these, fitted on one fold under
+a model of the other folds, turns it into a score from 0 to 1.
+
+The models learn from at most ``FIT_ROWS`` labelled rows of each class, those with
+the smallest hash of their id. Scoring reads every text whole.
+
+Defined cases: null texts count as empty; a text without bytes has no evidence and
+gets the curve's value for none; repeated labelled rows count repeatedly; labels with
+a null id or label are not used; without a labelled row of either class every score
+is 0; only id and text are read; an empty table gives no scores.
 """
 
 from __future__ import annotations
@@ -28,75 +31,68 @@ from pyspark.sql import functions as F
 from skyledger.llm import kernels
 from skyledger.llm.store import keep
 
-BUCKETS = 1 << 20
+ORDER = 5
 DISCOUNT = 0.75
-WINDOW = 16
-FIT_ROWS = 20_000
-FOLDS = 4  # one fold in so many is left out of the model on which the curve is fitted
-BARE = np.arange(256, dtype=np.uint8)  # ASCII punctuation reads as white space
-BARE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
-FLOOR = 0.5  # added to continuation counts, for words never seen
-
-
-def buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word and bigram buckets of all words of a run, the previous word's bucket, and the first word of each text."""
-    words = kernels.Words(BARE[data], off)
-    h = words.hashes()
-    last = np.zeros(len(h), np.uint64)  # 0 stands for the begin of a text
-    last[1:] = h[:-1]
-    begins = words.first[:-1][words.count > 0]
-    last[begins] = 0
-    mask = np.uint64(BUCKETS - 1)
-    pair = kernels.mix(h * np.uint64(kernels.BASE) + last)
-    return (h & mask).astype(np.int32), (pair & mask).astype(np.int32), (last & mask).astype(np.int32), words.first
+WINDOWS = (6, 12, 60)
+FIT_ROWS = 20_000  # of each class
+FOLDS = 4
+BARE = kernels.LOWER.copy()  # ASCII punctuation reads as white space
+BARE[[*range(9, 14), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
+
+
+def ratios(grams: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, list[tuple]]:
+    """Probabilities by class of each run, and for each order from this one down (runs, log ratio, contexts, log ratio of their backoff).
+
+    ``n`` has one row of counts for each class, ordinary first.
+    """
+    if order == 1:
+        shared = (n.sum(axis=0) + 0.5) / (n.sum() + 0.5 * 256)
+        return np.stack([shared, shared]), []
+    context, of = np.unique(grams >> np.uint64(8), return_inverse=True)
+    lower, to = np.unique(grams & np.uint64((1 << 8 * (order - 1)) - 1), return_inverse=True)
+    below, tables = ratios(lower, np.stack([np.bincount(to, n[c] > 0, len(lower)) for c in (0, 1)]), order - 1)
+    p, rests = [], []
+    for c in (0, 1):
+        total, kinds = np.bincount(of, n[c], len(context)), np.bincount(of, n[c] > 0, len(context))
+        rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        p.append(np.maximum(n[c] - DISCOUNT, 0) / np.maximum(total, 1)[of] + rest[of] * below[c][to])
+        rests.append(rest)
+    return np.stack(p), [(grams, np.log(p[1] / p[0]), context, np.log(rests[1] / rests[0])), *tables]
 
 
 class Model:
-    """Counts by bucket; all arrays have a fixed size."""
-
-    def __init__(self) -> None:
-        self.pair = np.zeros((2, BUCKETS), np.float32)  # occurrences of a bigram, by class
-        self.kinds = np.zeros((2, BUCKETS), np.float32)  # distinct bigrams in a bucket, by class
-        self.context = np.zeros((2, BUCKETS), np.float32)  # occurrences of a word as context, by class
-        self.follow = np.zeros((2, BUCKETS), np.float32)  # distinct bigrams after a context, by class
-        self.before = np.zeros((2, BUCKETS), np.float32)  # distinct contexts of a word, by class
-        self.contexts = np.ones(2)  # distinct bigrams, by class
-        self.words = np.zeros(2)  # distinct words, by class
-        self.curve = np.zeros(4)
-
-    @classmethod
-    def of(cls, fields: dict) -> Model:
-        model = cls.__new__(cls)
-        model.__dict__.update(fields)
-        return model
-
-    def difference(self, word: np.ndarray, pair: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Log-likelihood of each word in toxic texts less that in ordinary ones."""
-        shared = (self.before[0][word] + self.before[1][word] + FLOOR) / (self.contexts.sum() + FLOOR * BUCKETS)
-        logs = []
-        for c in (1, 0):
-            own = np.maximum(self.before[c][word] - DISCOUNT, 0) / self.contexts[c] + DISCOUNT * self.words[c] / self.contexts[c] * shared
-            n = np.maximum(self.context[c][last], 1)
-            rest = np.where(self.context[c][last] > 0, DISCOUNT * self.follow[c][last] / n, 1.0)
-            logs.append(np.log(np.maximum(self.pair[c][pair] - DISCOUNT * self.kinds[c][pair], 0) / n + rest * own))
-        return logs[0] - logs[1]
+    """Log-likelihood ratios by order, and the curve."""
+
+    def __init__(self, tables: list[tuple], curve: np.ndarray):
+        self.curve = curve
+        self.tables = [(kernels.Lookup(g, r, np.nan), kernels.Lookup(c, b, 0.0)) for g, r, c, b in tables]
+
+    def difference(self, grams: np.ndarray) -> np.ndarray:
+        """Log-likelihood of the last byte of each run in toxic texts less that in ordinary ones."""
+        out = np.zeros(len(grams))
+        left = np.arange(len(grams))
+        for k, (seen, backoff) in enumerate(self.tables):
+            g = grams[left] & np.uint64((1 << 8 * (ORDER - k)) - 1)
+            value = seen.get(g)
+            found = ~np.isnan(value)
+            out[left[found]] += value[found]
+            left, g = left[~found], g[~found]
+            if not len(left):
+                break
+            out[left] += backoff.get(g >> np.uint64(8))
+        return out
 
     def evidence(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """(mean, worst window, window at half the length) of each text; zeros without words."""
-        word, pair, last, first = buckets(data, off)
+        """Mean over the text and largest mean of a window of each length, for each text."""
+        grams, first = kernels.byte_grams(BARE[data], off, ORDER)
         n = np.diff(first)
-        out = np.zeros((len(n), 3))
-        if not len(word):
-            return out
-        total = np.concatenate([[0.0], np.cumsum(self.difference(word, pair, last), dtype=np.float64)])
-        full = np.flatnonzero(n)
-        out[full, 0] = (total[first[1:]] - total[first[:-1]])[full] / n[full]
-        text = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(word))
-        for k, size in ((1, WINDOW), (2, WINDOW // 4)):
-            low = np.maximum(at + 1 - size, first[:-1][text])
-            mean = (total[at + 1] - total[low]) / size
-            out[full, k] = np.maximum.reduceat(mean, first[:-1][full])
+        total = np.concatenate([[0.0], np.cumsum(self.difference(grams))])
+        out = np.empty((len(n), 1 + len(WINDOWS)))
+        out[:, 0] = (total[first[1:]] - total[first[:-1]]) / n
+        at, begin = np.arange(len(grams)), np.repeat(first[:-1], n)
+        for k, size in enumerate(WINDOWS):
+            mean = (total[at + 1] - total[np.maximum(at + 1 - size, begin)]) / size
+            out[:, k + 1] = np.maximum.reduceat(mean, first[:-1])
         return out
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -116,79 +112,65 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Count all labelled rows that ``train`` (a condition over the id column) picks, and fit the curve."""
-    marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).cast("long").alias("l"), (F.col(label) == 1).cast("int").alias("y"))
-    rows = docs.where(train).select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).join(marks, F.col("k") == F.col("l"))
-
+def fit(docs: DataFrame, labels: DataFrame, train, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[tuple], np.ndarray]:
+    """The tables and the curve, from labelled rows that ``train`` (a condition over the id column) picks."""
+    marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).where(train).select(F.col(key).cast("long").alias("l"), (F.col(label) == 1).cast("int").alias("y"))
+    picked = [marks.where(F.col("y") == c).orderBy(F.xxhash64("l"), "l").limit(FIT_ROWS) for c in (0, 1)]
+    marks = keep(picked[0].unionAll(picked[1]), "marks")
+    rows = docs.where(train).select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(marks), F.col("k") == F.col("l"))
     fold = F.pmod(F.xxhash64("k"), F.lit(FOLDS)) == 0
 
     def count(batches):
         for batch in batches:
             y = batch.column(0).to_numpy()
             for start, data, off in kernels.slices(batch.column(1)):
-                word, pair, last, first = buckets(data, off)
-                c = np.repeat(y[start:start + len(off) - 1], np.diff(first)).astype(np.int64)
-                packed, n = np.unique(((c * BUCKETS + word) * BUCKETS + pair) * BUCKETS + last, return_counts=True)
-                cols = [packed // BUCKETS**k % BUCKETS for k in (3, 2, 1, 0)]
-                yield pa.record_batch([pa.array(x.astype(np.int32)) for x in cols] + [pa.array(n)], names=["c", "word", "pair", "last", "n"])
-
-    found = rows.select((2 * fold.cast("int") + F.col("y")).alias("y"), "t").mapInArrow(count, "c int, word int, pair int, last int, n long")
-    grams = keep(found.groupBy("c", "word", "pair", "last").agg(F.sum("n").alias("n")), "bigrams")
-    model = counted(grams.groupBy((F.col("c") % 2).alias("c"), "word", "pair", "last").agg(F.sum("n").alias("n")))
-    if not (model.context.sum(axis=1) > 0).all():
-        model.curve[0] = -40.0
-        return model
-    part = counted(grams.where("c < 2"))
-    sample = rows.where(fold).orderBy(F.xxhash64("k"), "k").limit(FIT_ROWS).select("y", "t")
-    got = evidence(sample, part)
-    both = len(got) and 0 < got[:, 0].sum() < len(got) and (part.context.sum(axis=1) > 0).all()
-    model.curve = logistic(got[:, 1:], got[:, 0]) if both else np.array([-1.0, 1.0, 0.0, 0.0])
-    return model
-
-
-def counted(grams: DataFrame) -> Model:
-    """A model from (c, word, pair, last, n); three tables of at most ``BUCKETS`` rows a class reach the driver."""
-    part = lambda kind, b: F.struct(F.lit(kind).alias("kind"), F.col(b).alias("b"))
-    parts = F.inline(F.array(part(0, "pair"), part(1, "last"), part(2, "word")))
-    table = grams.select("c", "n", parts).groupBy("kind", "c", "b").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).toArrow()
-    kind, of, b, n, d = (table.column(i).to_numpy() for i in range(5))
-    model = Model()
-    for c in (0, 1):
-        for k, counts, kinds in ((0, model.pair, model.kinds), (1, model.context, model.follow), (2, None, model.before)):
-            at = (kind == k) & (of == c)
-            kinds[c, b[at]] = d[at]
-            if counts is not None:
-                counts[c, b[at]] = n[at]
-        model.contexts[c], model.words[c] = max(1.0, model.before[c].sum()), (model.before[c] > 0).sum()
-    return model
-
-
-def evidence(sample: DataFrame, model: Model) -> np.ndarray:
-    """(label, evidence) of the at most ``FIT_ROWS`` rows of a sample."""
-    shared = sample.sparkSession.sparkContext.broadcast(vars(model))
+                grams, first = kernels.byte_grams(BARE[data], off, ORDER)
+                packed, n = np.unique((grams << np.uint64(2)) | np.repeat(y[start:start + len(off) - 1], np.diff(first)).astype(np.uint64), return_counts=True)
+                yield pa.record_batch([pa.array((packed & np.uint64(3)).astype(np.int32)), pa.array((packed >> np.uint64(2)).astype(np.int64)), pa.array(n)], names=["c", "g", "n"])
+
+    found = rows.select((2 * fold.cast("int") + F.col("y")).alias("y"), "t").mapInArrow(count, "c int, g long, n long")
+    table = found.groupBy("g").agg(*[F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(4)]).orderBy("g").toArrow()
+    grams = table.column("g").to_numpy().astype(np.uint64)
+    n = np.stack([table.column(f"n{c}").to_numpy() for c in range(4)]).astype(float)
+    part, all_ = n[:2], n[:2] + n[2:]
+    none = np.zeros(1 + 1 + len(WINDOWS))
+    if not (len(grams) and (all_.sum(axis=1) > 0).all()):
+        none[0] = -np.inf
+        return [], none
+    tables = ratios(grams, all_, ORDER)[1]
+    none[:2] = -1.0, 1.0
+    if not (part.sum(axis=1) > 0).all():
+        return tables, none
+    used = part.sum(axis=0) > 0
+    got = evidence(rows.where(fold).select("y", "t"), ratios(grams[used], part[:, used], ORDER)[1])
+    return tables, logistic(got[:, 1:], got[:, 0]) if len(got) and 0 < got[:, 0].sum() < len(got) else none
+
+
+def evidence(sample: DataFrame, tables: list[tuple]) -> np.ndarray:
+    """(label, evidence) of the rows of a bounded sample."""
+    shared = sample.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches):
-        m = Model.of(shared.value)
+        model = Model(shared.value, np.zeros(1))
         for batch in batches:
             y = batch.column(0).to_numpy()
             for start, data, off in kernels.slices(batch.column(1)):
-                e = m.evidence(data, off)
-                yield pa.record_batch([pa.array(x) for x in (y[start:start + len(e)].astype(float), *np.ascontiguousarray(e.T))], names=list("yabc"))
+                e = model.evidence(data, off)
+                yield pa.record_batch([pa.array(x) for x in (y[start:start + len(e)].astype(float), *np.ascontiguousarray(e.T))], names=[f"c{k}" for k in range(2 + len(WINDOWS))])
 
-    table = sample.mapInArrow(run, "y double, a double, b double, c double").toArrow()
-    return np.stack([table.column(i).to_numpy() for i in range(4)], axis=1) if len(table) else np.zeros((0, 4))
+    table = sample.mapInArrow(run, ", ".join(f"c{k} double" for k in range(2 + len(WINDOWS)))).toArrow()
+    return np.stack([c.to_numpy() for c in table.columns], axis=1) if len(table) else np.zeros((0, 2 + len(WINDOWS)))
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, fitted: tuple[list[tuple], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches):
-        model = Model.of(shared.value)
+        model = Model(*shared.value)
         for batch in batches:
             for start, data, off in kernels.slices(batch.column(1)):
-                s = model.score(model.evidence(data, off))
+                s = model.score(model.evidence(data, off)) if model.tables else np.zeros(len(off) - 1)
                 yield pa.record_batch([batch.column(0).slice(start, len(off) - 1), pa.array(s)], names=[key, "score"])
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, f"`{key}` long, score double")

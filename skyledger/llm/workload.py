@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import chat, ctw, idfile, leaks, minhash, packing, passages, quality
+from skyledger.llm import chat, ctw, idfile, leaks, minhash, packing, pages, passages, quality, toxicity
 from skyledger.llm.store import table
 from skyledger.llm.tokens import tokenizer_path
 
@@ -38,6 +38,13 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    fitted = toxicity.fit(docs, table(spark, folder, "labels").select("doc_id", "toxic"), ~held)
+    return toxicity.score(docs, fitted).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -61,8 +68,13 @@ def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeated_passages(table(spark, folder, "documents"))
 
 
+def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_token_ids, op3_chat_format, op5_decontamination, op6_packing, op7_lm_score, op8_near_duplicates, op9_repeated_passages)}
+    op1_quality_rules, op2_token_ids, op3_chat_format, op4_toxicity, op5_decontamination, op6_packing, op7_lm_score, op8_near_duplicates, op9_repeated_passages,
+    op10_page_text)}
 
 ORACLES: dict[str, str] = {}
 
