@@ -38,6 +38,7 @@ END_WORD = 0x454E44  # stands for the end among the words
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after eight steps up; for x > 0."""
+    x = x.astype(float)
     shift = np.zeros_like(x)
     for k in range(8):
         shift += np.log(x + k)
@@ -54,7 +55,7 @@ class Level:
     """The nodes of one depth: keys (context bytes, then the decision's prefix), counts and weights."""
 
     def __init__(self, key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None):
-        self.key, self.n0, self.n1 = key, n0, n1
+        self.key, self.n0, self.n1 = key, n0.astype(float), n1.astype(float)
         estimate = block_log(n0, n1)
         if below is None:
             self.log, self.weight = estimate, np.ones(len(key))
