@@ -1,9 +1,11 @@
 """Token ids of whole texts, by a tokenizer file of the tokenizers library.
 
 A byte-level vocabulary splits a text before every run of white space that follows
-something else, so the parts between such places can be encoded apart and each
-distinct part only once. Texts with other white space than space and line feed are
-encoded whole. The result is the same as encoding every text whole.
+something else, and between a letter and a mark like a full stop, so the parts between
+such places can be encoded apart and each distinct part only once. New parts are
+encoded in joined runs that are cut again by the byte lengths of the tokens. Texts with
+other white space than space and line feed are encoded whole. The result is the same
+as encoding every text whole.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ import re
 import numpy as np
 
 END = 2
-PART = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+PART = re.compile(r"[ \n]*[^\W\d_]+(?![^ \n.,;:!?|)])|[ \n]*[^ \n]+|[ \n]+")
 ODD = re.compile(r"[^\S \n]")
-MOST = 400_000  # parts remembered at once; the table starts anew beyond
+MOST = 600_000  # parts remembered at once; the table starts anew beyond
+RUN = 512  # new parts encoded as one text
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -34,10 +38,31 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.parts: dict[str, bytes] = {}
         self.end = np.array([end], "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # one character stands for one byte
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, new: list[str]) -> None:
+        """Encode new parts; those that start with white space and end without it are joined, as a split stands between them."""
+        joined = [p for p in new if p[0] in " \n" and p[-1] not in " \n"]
+        alone = [p for p in new if p[0] not in " \n" or p[-1] in " \n"]
+        for low in range(0, len(joined), RUN):
+            run = joined[low:low + RUN]
+            coded = self.whole(["".join(run)])[0]
+            ends = np.cumsum(self.bytes_of[np.frombuffer(coded, "<u4")])
+            want = np.cumsum([len(p.encode()) for p in run])
+            at = np.searchsorted(ends, want)
+            if len(ends) and ends[-1] == want[-1] and (ends[at] == want).all():
+                cuts = [0, *((at + 1) * 4).tolist()]
+                self.parts.update(zip(run, [coded[a:b] for a, b in zip(cuts, cuts[1:])]))
+            else:
+                alone += run
+        for low in range(0, len(alone), 4096):
+            self.parts.update(zip(alone[low:low + 4096], self.whole(alone[low:low + 4096])))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for start in range(0, len(texts), 256):
@@ -45,17 +70,18 @@ class Encoder:
                 self.parts = {}
             split = [None if t and ODD.search(t) else PART.findall(t or "") for t in texts[start:start + 256]]
             new = list({p for parts in split if parts for p in parts if p not in self.parts})
-            for low in range(0, len(new), 4096):
-                self.parts.update(zip(new[low:low + 4096], self.whole(new[low:low + 4096])))
+            self.learn(new)
             get = self.parts.__getitem__
             for text, parts in zip(texts[start:start + 256], split):
                 out.append((self.whole([text])[0] if parts is None else b"".join(map(get, parts))) + self.end)
         return out
 
 
-def encoders(path: str, end: int = END):
-    """One encoder for all batches of a task."""
+def encoders(path: str, end: int = END) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, end)
+    if (path, end) not in _encoders:
+        _encoders[path, end] = Encoder(path, end)
+    return _encoders[path, end]
