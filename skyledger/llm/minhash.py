@@ -1,20 +1,22 @@
 """Near-duplicate texts: b-bit minwise signatures joined by a multi-index Hamming search.
 
 A text is the set of its runs of five lower-case words. Equal sets form one class,
-which takes part once. The signature of a class has ``SYMBOLS`` symbols of ``BITS``
-bits, cut into ``CHUNKS`` chunks. Signatures that differ in at most ``DISTANCE``
-symbols have, by the pigeonhole principle, a chunk with at most
-``DISTANCE // CHUNKS`` differing symbols; each chunk is therefore indexed once for
-every choice of the symbols that may differ, and pairs within the distance always
-meet under a key. At a similarity of 0.75 a signature differs in 10 of 40 symbols
-on average; 19 is 3.5 standard deviations beyond, and pairs beyond it still meet
-with high probability: a pair at 0.75 is missed with a chance of about 2e-6.
+which takes part once. The signature of a class has ``LENGTH`` symbols of 16 bits, of
+which the first ``SYMBOLS`` are cut into ``CHUNKS`` chunks. Signatures that differ in at
+most ``DISTANCE`` of the keyed symbols have, by the pigeonhole principle, a chunk with
+at most ``DISTANCE // CHUNKS`` differing symbols; each chunk is therefore indexed once
+for every choice of the symbols that may differ, and pairs within the distance always
+meet under a key. At a similarity of 0.75 signatures differ in 10 of the 40 keyed
+symbols on average; pairs beyond 19 may still meet, and a pair at 0.75 is missed with a
+chance of about 2e-6. Pairs that meet are compared on all 128 symbols, of which 32
+differ on average at 0.75; ``NEAR`` is five standard deviations beyond.
 
 Links are found in two steps, so that a key with many texts gives no pairs of all
 with all. First each text of a key is compared with the smallest one; confirmed
 links give components. Then only texts of one key that are still in different
 components are compared, in blocks of bounded size, first by signature and then by
-full sets. Every link is confirmed on the full sets.
+full sets. A pair comes from the first of its keys only. Every link is confirmed on
+the full sets.
 
 Defined cases: null or empty texts and texts without a word have an empty set and
 link with nothing; a text of fewer than five words is one run; rows with the same
@@ -39,8 +41,11 @@ from skyledger.llm.store import fresh, keep, small
 SHINGLE = 5
 PERCENT = 75
 SYMBOLS, CHUNKS, DISTANCE = 40, 10, 19
+LENGTH, NEAR = 128, 56
 BLOCK = 1024  # texts of one key compared by one task
-SEED = np.random.default_rng(8).integers(1, 2**63, (2, SYMBOLS), dtype=np.uint64) | np.uint64(1)
+SIZE, ERRORS = SYMBOLS // CHUNKS, DISTANCE // CHUNKS
+PICKS = np.array([[c * SIZE + i for i in pick] for c in range(CHUNKS) for pick in combinations(range(SIZE), SIZE - ERRORS)])
+SEED = np.random.default_rng(8).integers(1, 2**63, (2, LENGTH), dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +74,7 @@ def hash_run(h: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, f1, f2, sig): size and fingerprints of each set, and its signature of 32-bit symbols."""
+    """(id, n, f1, f2, sig): size and fingerprints of each set, and its signature of 16-bit symbols."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.binary())])
 
     def run(batches):
@@ -79,13 +84,13 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 n, full = np.diff(first), np.flatnonzero(np.diff(first))
                 at = first[:-1][full]
                 f = np.zeros((2, len(n)), np.uint64)
-                sig = np.zeros((len(n), SYMBOLS), np.uint32)
+                sig = np.zeros((len(n), LENGTH), np.uint16)
                 if len(full):
                     f[0, full] = np.add.reduceat(kernels.mix(grams ^ SEED[0, 0]), at)
                     f[1, full] = np.add.reduceat(kernels.mix(grams ^ SEED[1, 1]), at)
-                    for j in range(SYMBOLS):
+                    for j in range(LENGTH):
                         low = np.minimum.reduceat((grams ^ SEED[0, j]) * SEED[1, j], at)
-                        sig[full, j] = (kernels.mix(low) >> np.uint64(32)).astype(np.uint32)
+                        sig[full, j] = (kernels.mix(low) >> np.uint64(48)).astype(np.uint16)
                 yield pa.record_batch([batch.column(0).slice(start, len(n)), pa.array(n), pa.array(kernels.signed(f[0])), pa.array(kernels.signed(f[1])),
                                        pa.array([s.tobytes() for s in sig], pa.binary())], schema=schema)
 
@@ -105,24 +110,41 @@ def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
-    """(k, id): the keys of each signature, one for each chunk and choice of symbols that may differ."""
-    size, errors = SYMBOLS // CHUNKS, DISTANCE // CHUNKS
-    kept = [tuple(c * size + i for i in pick) for c in range(CHUNKS) for pick in combinations(range(size), size - errors)]
-
+    """(k, pick, id): the keys of each signature, one for each chunk and choice of symbols that may differ."""
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(batch), SYMBOLS).astype(np.uint64)
-            out = np.empty((len(batch), len(kept)), np.uint64)
-            for j, pick in enumerate(kept):
+            sig = symbols(batch.column(1)).astype(np.uint64)
+            out = np.empty((len(batch), len(PICKS)), np.uint64)
+            for j, pick in enumerate(PICKS):
                 h = np.full(len(batch), j + 1, np.uint64)
                 for i in pick:
                     h = kernels.mix(h * np.uint64(kernels.BASE) + sig[:, i])
                 out[:, j] = h
-            yield pa.record_batch([pa.array(kernels.signed(out.ravel())), batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), len(kept))))], names=["k", "id"])
+            picks = np.tile(np.arange(len(PICKS), dtype=np.int32), len(batch))
+            yield pa.record_batch([pa.array(kernels.signed(out.ravel())), pa.array(picks), batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), len(PICKS))))],
+                                  names=["k", "pick", "id"])
+
+    return classes.select("id", "sig").mapInArrow(run, "k long, pick int, id long")
+
+
+def symbols(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The signatures of a binary column as rows of symbols."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), LENGTH)
+
+
+def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures differ in at most ``NEAR`` symbols."""
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                ok = (symbols(batch.column(2)) != symbols(batch.column(3))).sum(axis=1) <= NEAR
+                yield batch.filter(pa.array(ok)).select(["a", "b"])
 
-    return classes.select("id", "sig").mapInArrow(run, "k long, id long")
+    both = pairs.join(classes.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(
+        classes.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -139,33 +161,30 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
 
 def apart(keys: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of texts that share a key, lie in different components and have near signatures."""
-    rooted = keys.join(roots, keys["id"] == roots["node"], "left").select("k", "id", F.coalesce("root", "id").alias("root"))
+    rooted = keys.join(roots, keys["id"] == roots["node"], "left").select("k", "pick", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi")
     rows = rooted.join(mixed.select("k", "g"), "k").join(classes.select("id", "sig"), "id")
     blocks = F.ceil(F.col("g") / BLOCK).cast("int")
     rows = rows.withColumn("n", blocks).withColumn("m", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    rows = rows.select("k", "id", "root", "sig", "m", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
-    rows = rows.select("k", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), "id", "root", "sig", "m")
-
-    def run(groups):
-        for batches in groups:
-            t = pa.Table.from_batches(list(batches)).combine_chunks()
-            ids, root, m = (t[c].to_numpy() for c in ("id", "root", "m"))
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(len(ids), SYMBOLS)
-            across = t["i"][0].as_py() != t["j"][0].as_py()
-            a, b = [], []
-            for x in range(len(ids) - 1):
-                y = x + 1 + np.flatnonzero((root[x + 1:] != root[x]) & ((m[x + 1:] != m[x]) | (not across)))
-                y = y[(sig[y] != sig[x]).sum(axis=1) <= DISTANCE + 4]
-                a.append(np.minimum(ids[x], ids[y]))
-                b.append(np.maximum(ids[x], ids[y]))
-            empty = [np.zeros(0, np.int64)]
-            yield pa.record_batch([pa.array(np.concatenate(a or empty)), pa.array(np.concatenate(b or empty))], names=["a", "b"])
-
-    def per_group(batches):
-        yield from run([batches])
-
-    return rows.groupBy("k", "i", "j").applyInArrow(lambda t: pa.Table.from_batches(list(per_group(t.to_batches()))), "a long, b long").distinct()
+    rows = rows.select("k", "pick", "id", "root", "sig", "m", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
+    rows = rows.select("k", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), "pick", "id", "root", "sig", "m")
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, root, m = (t[c].to_numpy() for c in ("id", "root", "m"))
+        sig, pick = symbols(t["sig"]), t["pick"][0].as_py()
+        across = t["i"][0].as_py() != t["j"][0].as_py()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in range(len(ids) - 1):
+            y = x + 1 + np.flatnonzero((root[x + 1:] != root[x]) & ((m[x + 1:] != m[x]) | (not across)))
+            y = y[(sig[y] != sig[x]).sum(axis=1) <= NEAR]
+            # the pair comes from the first key that both have
+            y = y[~(sig[y][:, PICKS[:pick]] == sig[x][PICKS[:pick]]).all(axis=2).any(axis=1)]
+            a.append(np.minimum(ids[x], ids[y]))
+            b.append(np.maximum(ids[x], ids[y]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return rows.groupBy("k", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,10 +196,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 .groupBy("id", "f1", "f2").agg(F.min("sig").alias("sig")).select("id", "sig"), "class_signatures")
     keys = chunk_keys(sigs)
     hubs = keys.groupBy("k").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("k", "a")
-    met = keep(keys.join(hubs, "k").select("k", "id", "a").distinct(), "met")
-    links = keep(confirmed(met.where("a < id").select("a", F.col("id").alias("b")).distinct(), docs, key, text), "links")
+    met = keep(keys.join(hubs, "k").select("k", "pick", "id", "a"), "met")
+    links = keep(confirmed(near(met.where("a < id").select("a", F.col("id").alias("b")).distinct(), sigs), docs, key, text), "links")
     roots = keep(components(links), "roots")
-    more = confirmed(apart(met.select("k", "id"), roots, sigs), docs, key, text)
+    more = confirmed(apart(met.select("k", "pick", "id"), roots, sigs), docs, key, text)
     roots = keep(components(links.unionAll(more)), "roots")
     home = classes.join(roots, classes["id"] == roots["node"], "left").select("n", "f1", "f2", F.coalesce("root", "id").alias("c"))
     out = signed.join(home, ["n", "f1", "f2"], "left").select(
