@@ -95,7 +95,7 @@ def title(c: str | Column) -> Column:
     """Upper case after every non-letter, lower case elsewhere."""
     runs = F.regexp_extract_all(F.lower(_col(c)), F.lit(r"([a-z]+|[^a-z]+)"), F.lit(1))
     return F.array_join(
-        F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substring(r, 2, 10_000))),
+        F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.right(r, F.length(r) - 1))),
         "",
     )
 

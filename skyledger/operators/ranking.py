@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from skyledger.operators.skew import attach_totals, with_scalars
+from skyledger.session import shuffle_width
 
-CUTS = 64
+CUTS = 64  # fewest cut points of an order
+SAMPLE = 16  # sampled values for each cut point
+STEP = 64
 
 
 def _sort(name: str, ascending: bool = True) -> Column:
@@ -45,56 +48,63 @@ def tied_at_extreme(
     )
 
 
-def _number(df: DataFrame, name: str) -> Column | None:
-    """Numeric image of an ordering column, or None where it has none."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.NumericType, T.BooleanType)):
-        return F.col(name).cast("double")
-    if isinstance(kind, (T.TimestampType, T.DateType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(kind, T.StringType):
-        # First six bytes read as a base-16 number: keeps the byte order of strings.
-        lead = F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(lead, 16, 10).cast("double")
-    return None
-
-
 def with_cuts(df: DataFrame, cuts: int = CUTS, **values: Column) -> DataFrame:
-    """Add an array per value: at most ``cuts`` points that cut the table into even slices."""
+    """Add an array per numeric value: at most ``cuts`` points that cut the table into even slices."""
     grid = [i / (cuts + 1) for i in range(1, cuts + 1)]
     points = {n: F.array_distinct(F.percentile_approx(v, grid, 10_000)) for n, v in values.items()}
     return with_scalars(df, df.agg(*[c.alias(n) for n, c in points.items()]))
 
 
+def typed_cuts(df: DataFrame, name: str, order: Sequence[str], cuts: int) -> DataFrame:
+    """One row, one column ``cuts``: ascending values of the column's own type.
+
+    Numbers use approximate percentiles. Other types use the values of the
+    ``cuts * SAMPLE`` rows with the smallest hash of the ordering columns. The
+    points steer the layout only; rows are compared with them exactly.
+    """
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        grid = [i / (cuts + 1) for i in range(1, cuts + 1)]
+        points = F.sort_array(F.array_distinct(F.percentile_approx(name, grid, 10_000)))
+        return df.agg(F.coalesce(points, F.array(F.lit(None).cast(df.schema[name].dataType))).alias("cuts"))
+    few = df.where(F.col(name).isNotNull()).select(name, F.xxhash64(*order).alias("_h")).orderBy("_h").limit(cuts * SAMPLE)
+    every = F.filter(F.sort_array(F.collect_list(name)), lambda _, i: i % SAMPLE == SAMPLE - 1)
+    return few.agg(F.array_distinct(every).alias("cuts"))
+
+
 def slice_index(cuts: str, value: Column) -> Column:
-    """Slice number of a value: odd where it equals a cut point, else even."""
-    below = F.size(F.filter(F.col(cuts), lambda p: p < value))
-    return (below * 2 + F.array_contains(F.col(cuts), value).cast("int")).cast("int")
+    """Slice number of a value: odd where it equals a cut point, else even.
+
+    Looked up in two levels: every ``STEP``-th point, then the points after it.
+    """
+    heads = F.filter(cuts, lambda _, i: i % STEP == 0)
+    block = F.greatest(F.size(F.filter(heads, lambda p: p < value)) - 1, F.lit(0))
+    below = block * STEP + F.size(F.filter(F.slice(cuts, block * STEP + 1, STEP), lambda p: p < value))
+    equal = F.coalesce(F.get(cuts, below) == value, F.lit(False))
+    return F.when(value.isNotNull(), below * 2 + equal.cast("int"))
 
 
 def with_slices(df: DataFrame, order: Sequence[tuple[str, bool]]) -> DataFrame:
     """Add ``_s1``/``_s2``, slice numbers that ascend with the sort order.
 
     A value frequent enough to be a cut point has a slice of its own; such a
-    slice is cut again by the second ordering column.
+    slice is cut again by the second ordering column. There are at least as many
+    cuts as shuffle partitions.
     """
-    last = CUTS * 4
-    (lead, up), second = order[0], order[1] if len(order) > 1 else (None, True)
-    first = _number(df, lead)
-    if first is None:
-        return df.withColumns({"_s1": F.lit(0), "_s2": F.lit(0)})
-    exact = isinstance(df.schema[lead].dataType, T.NumericType)
-    then = _number(df, second[0]) if exact and second[0] else None
-    images = {"_c1": first} if then is None else {"_c1": first, "_c2": then}
-    df = with_cuts(df, **images).withColumns(dict(zip(("_v1", "_v2"), images.values())))
-
-    def slot(i: int, ascending: bool) -> Column:
-        raw = slice_index(f"_c{i}", F.col(f"_v{i}"))
-        return F.coalesce(raw if ascending else last - raw, F.lit(last + 1))
-
-    own = F.array_contains("_c1", F.col("_v1"))
-    inner = F.lit(0) if then is None else F.when(own, slot(2, second[1])).otherwise(F.lit(0))
-    return df.withColumns({"_s1": slot(1, up), "_s2": inner}).drop("_c1", "_c2", "_v1", "_v2")
+    cuts = max(CUTS, shuffle_width(df.sparkSession))
+    names = [c for c, _ in order]
+    for i, c in enumerate(names[:2]):
+        df = with_scalars(df, typed_cuts(df, c, names, cuts).withColumnRenamed("cuts", f"_c{i}"))
+
+    def slot(i: int) -> Column:
+        raw = slice_index(f"_c{i}", F.col(names[i]))
+        return F.coalesce(raw if order[i][1] else 4 * cuts - raw, F.lit(4 * cuts + 1))
+
+    first = slot(0)
+    if len(names) == 1:
+        return df.withColumns({"_s1": first, "_s2": F.lit(0)}).drop("_c0")
+    own = slice_index("_c0", F.col(names[0])) % 2 == 1
+    inner = F.when(own, slot(1)).otherwise(F.lit(0))
+    return df.withColumns({"_s1": first, "_s2": inner}).drop("_c0", "_c1")
 
 
 def numbered(

@@ -137,10 +137,10 @@ def with_series(df: DataFrame, series: DataFrame, first: int, last: int, year: s
 
     The rows are spread over the literal year range and each year looks up its
     value; the series is reduced to that range, one row per year, so its size is
-    fixed by the range.
+    fixed by the range. A year that the series lacks has null values.
     """
     values = [c for c in series.columns if c != year]
     bounded = series.where(F.col(year).between(first, last)).groupBy(
         F.col(year).cast("int").alias(year)
     ).agg(*[F.max(c).alias(c) for c in values])
-    return over_years(df, first, last, year).join(F.broadcast(bounded), year, "inner")
+    return over_years(df, first, last, year).join(F.broadcast(bounded), year, "left")

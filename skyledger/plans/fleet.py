@@ -16,6 +16,7 @@ from skyledger.operators.joins import lookup, resolve_ambiguous
 from skyledger.operators.measures import (
     first_known, group_sums, loss_audit, share_of_aggregate, share_of_group, share_of_total,
 )
+from skyledger.operators.ranking import first_per_group
 from skyledger.operators.skew import split_join, with_scalars
 from skyledger.session import settle
 
@@ -58,7 +59,8 @@ def fleet_mix(traffic: DataFrame, aircraft_map: DataFrame) -> tuple[DataFrame, D
 
 def fill_constant_mix(heliports: DataFrame, mix: Sequence[dict] = HELICOPTERS) -> DataFrame:
     """Replace every heliport's mix by a literal one, one set per facility."""
-    one = heliports.drop(*MIX).dropDuplicates(["facility_id"])
+    rest = heliports.drop(*MIX)
+    one = first_per_group(rest, ["facility_id"], [F.col(c).asc_nulls_last() for c in rest.columns])
     return constant_mix(one, mix)
 
 

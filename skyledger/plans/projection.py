@@ -47,11 +47,13 @@ def projection_all(
     Commercial facilities use their factors with the observed year replaced;
     relievers their factors; TASP facilities without factors the series of the
     nearest donor of their district; medical ones 1; military and all others the
-    national series. ``observed``: facility_id, proj_fac. ``national``: sysyear,
+    national series. A facility without any factor stays, as one row without year and
+    factor. ``observed``: facility_id, proj_fac. ``national``: sysyear,
     mil_proj_fac, com_av_proj_fac.
     """
     group = F.col("facility_group")
-    own = ops.where(group.isin("Commercial", "Reliever", "TASP")).join(factors, "facility_id", "inner")
+    own = ops.where(group.isin("Commercial", "Reliever", "TASP")).join(factors.withColumn("_found", F.lit(True)), "facility_id", "left")
+    own = own.where((group != "TASP") | F.col("_found")).drop("_found")
     better = observed.select(
         "facility_id", F.col("proj_fac").alias("_seen"), F.lit(observed_year).alias("sysyear")
     )
@@ -75,6 +77,8 @@ def projection_all(
         "proj_fac",
         F.when(group == "Military", F.col("mil_proj_fac")).otherwise(F.col("com_av_proj_fac")),
     ).drop("mil_proj_fac", "com_av_proj_fac")
+    # years after ``end`` that the series lacks are carried forward below
+    rest = rest.where((F.col("sysyear") <= end) | F.col("proj_fac").isNotNull())
     everything = own
     for piece in (filled, medical, rest):
         everything = everything.unionByName(piece, allowMissingColumns=True)

@@ -88,6 +88,42 @@ def test_row_numbers_with_ties_and_nulls(spark):
     assert sorted(r.n for r in text_order.collect()) == list(range(1, len(rows) + 1))
 
 
+def test_row_numbers_beyond_double_precision(spark):
+    df = spark.range(4000).select((F.lit(2**53) + F.col("id") % 2).alias("v"), F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("w"), "id")
+    out = {r.id: r.n for r in ranking.numbered(df, [], [("v", True), ("w", True), ("id", True)], "n").collect()}
+    rows = sorted(df.collect(), key=lambda r: (r.v, r.w, r.id))
+    assert all(out[r.id] == n for n, r in enumerate(rows, 1))
+
+
+def test_strings_of_one_prefix_have_many_slices(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("frame Brand#"), "id").alias("s"))
+    sliced = ranking.with_slices(df, [("s", True)])
+    assert sliced.groupBy("_s1", "_s2").count().agg(F.max("count")).first()[0] < 2000
+    out = {r.s: r.n for r in ranking.numbered(df, [], [("s", False)], "n").collect()}
+    assert all(out[s] == n for n, s in enumerate(sorted(out, reverse=True), 1))
+
+
+def test_long_title(spark):
+    df = spark.createDataFrame([("A" * 20_001 + " bC",)], "n string")
+    assert df.select(text.title("n")).first()[0] == "A" + "a" * 20_000 + " Bc"
+
+
+def test_series_keeps_years_without_value(spark):
+    series = spark.createDataFrame([(2001, 5.0)], "y int, v double")
+    got = reshape.with_series(spark.range(2), series, 2000, 2002, "y").collect()
+    assert sorted((r.id, r.y, r.v or 0) for r in got) == [(i, y, 5.0 if y == 2001 else 0) for i in (0, 1) for y in (2000, 2001, 2002)]
+
+
+def test_projection_keeps_facilities_without_factors(spark):
+    ops = spark.createDataFrame([("a", "Commercial", "d", 1.0), ("b", "Reliever", "d", 2.0), ("c", "Commercial", "d", 3.0)],
+                                "facility_id string, facility_group string, district string, annual_operations double")
+    factors = spark.createDataFrame([("c", 2011, 1.5)], "facility_id string, sysyear int, proj_fac double")
+    observed = spark.createDataFrame([], "facility_id string, proj_fac double")
+    national = spark.createDataFrame([], "sysyear int, mil_proj_fac double, com_av_proj_fac double")
+    got = projection.projection_all(ops, factors, observed, national).collect()
+    assert sorted((r.facility_id, r.sysyear or 0, r.proj_fac or 0) for r in got) == [("a", 0, 0), ("b", 0, 0), ("c", 2011, 1.5)]
+
+
 def test_exact_quantile(spark):
     df = spark.createDataFrame([(float(v * v % 97),) for v in range(500)], "v double")
     got = ranking.exact_quantile(df, "v", 0.95).first()[0]

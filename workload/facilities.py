@@ -240,14 +240,14 @@ def _(t):
 fa AS (SELECT facility_id, facility_group, district, annual_operations FROM {facilities}),
 kn AS (SELECT * FROM pf WHERE v IS NOT NULL),
 obs AS (SELECT facility_id, max(annual_operations) / 100000 AS v FROM {reported} GROUP BY 1),
-own AS (SELECT fa.*, sysyear, CASE WHEN facility_group = 'Commercial' AND sysyear = 1999 THEN coalesce(obs.v, kn.v) ELSE kn.v END AS v, NULL AS src FROM fa JOIN kn USING (facility_id) LEFT JOIN obs USING (facility_id) WHERE facility_group IN ('Commercial', 'TASP')),
+own AS (SELECT fa.*, sysyear, CASE WHEN facility_group = 'Commercial' AND sysyear = 1999 THEN coalesce(obs.v, kn.v) ELSE kn.v END AS v, NULL AS src FROM fa LEFT JOIN kn USING (facility_id) LEFT JOIN obs USING (facility_id) WHERE facility_group = 'Commercial' OR (facility_group = 'TASP' AND kn.facility_id IS NOT NULL)),
 need AS (SELECT * FROM fa WHERE facility_group = 'TASP' AND facility_id NOT IN (SELECT facility_id FROM kn)),
 dn AS (SELECT DISTINCT facility_id, district, annual_operations FROM own WHERE facility_group = 'TASP'),
 pick AS (SELECT facility_id, donor FROM (SELECT n.facility_id, d.facility_id AS donor, row_number() OVER (PARTITION BY n.facility_id ORDER BY abs(n.annual_operations - d.annual_operations), d.facility_id) AS rn
   FROM need n LEFT JOIN dn d USING (district)) WHERE rn = 1),
 filled AS (SELECT need.*, o.sysyear, o.v, donor AS src FROM need JOIN pick USING (facility_id) LEFT JOIN own o ON o.facility_id = donor),
 nat AS (SELECT sysyear, sum(CASE WHEN facility_id <> '' THEN itn_mil END) / 1000.0 AS mil, sum(t_aops) / 1000.0 AS com FROM {forecast} GROUP BY 1),
-rest AS (SELECT fa.*, sysyear, CASE WHEN facility_group = 'Military' THEN mil ELSE com END AS v, NULL AS src FROM fa, nat WHERE facility_group NOT IN ('Commercial', 'TASP')),
+rest AS (SELECT fa.*, sysyear, CASE WHEN facility_group = 'Military' THEN mil ELSE com END AS v, NULL AS src FROM fa CROSS JOIN (SELECT unnest(generate_series(1995, 2001)) AS sysyear) LEFT JOIN nat USING (sysyear) WHERE facility_group NOT IN ('Commercial', 'TASP')),
 al AS (SELECT * FROM own UNION ALL SELECT * FROM filled UNION ALL SELECT * FROM rest),
 x AS (SELECT al.*, max(sysyear) OVER (PARTITION BY facility_id) AS last FROM al)
 SELECT facility_id, facility_group, CAST(sysyear AS INT) AS sysyear, round(v, 8) AS proj_fac, src AS filled_from_facility_id FROM x UNION ALL

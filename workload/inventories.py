@@ -311,7 +311,7 @@ SELECT facility_id, match_id, 'id' AS method, CAST(NULL AS DOUBLE) AS dist_mi, C
 SELECT facility_id, match_id, 'nearest', round(d, 4), CAST(rn AS INT) FROM (SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY d, match_id) AS rn FROM d) WHERE rn <= 3""")
 def _(t):
     name = F.when(F.col("s_nationkey") < 5, F.concat(F.lit("Customer#"), F.lpad((F.col("s_suppkey") * 3 + 1).cast("string"), 9, "0"))).otherwise("none")
-    sites = t.sites.withColumn("s_suppkey", F.substring("match_id", 2, 20).cast("bigint"))
+    sites = t.sites.withColumn("s_suppkey", F.expr("substring(match_id, 2)").cast("bigint"))
     other = t.supplier.join(sites, "s_suppkey").select(
         F.concat(F.lit("'F"), (F.col("s_suppkey") * 20).cast("string")).alias("facility_id"), name.alias("facility_name"), "lat", "lon"
     )
