@@ -11,6 +11,11 @@ symbols on average; pairs beyond 19 may still meet, and a pair at 0.75 is missed
 chance of about 2e-6. Pairs that meet are compared on all 128 symbols, of which 32
 differ on average at 0.75; ``NEAR`` is five standard deviations beyond.
 
+A class also has a parity sketch: each member of its set flips one bit, and the sketch
+has four to eight bits a member (``WIDEST`` at most). The exclusive or of two sketches
+has no more set bits than there are members in one set only, so too many set bits rule
+a pair out for certain. This test loses no link; a sketch at its bound only rules out less.
+
 Links are found in two steps, so that a key with many texts gives no pairs of all
 with all. First each text of a key is compared with the smallest one; confirmed
 links give components. Then only texts of one key that are still in different
@@ -42,6 +47,7 @@ SHINGLE = 5
 PERCENT = 75
 SYMBOLS, CHUNKS, DISTANCE = 40, 10, 19
 LENGTH, NEAR = 128, 56
+WIDEST = 8192  # bytes of the longest parity sketch
 BLOCK = 1024  # texts of one key compared by one task
 SIZE, ERRORS = SYMBOLS // CHUNKS, DISTANCE // CHUNKS
 PICKS = np.array([[c * SIZE + i for i in pick] for c in range(CHUNKS) for pick in combinations(range(SIZE), SIZE - ERRORS)])
@@ -73,9 +79,42 @@ def hash_run(h: np.ndarray) -> int:
     return value
 
 
+def parities(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """The parity sketch of each set of a run; a narrower one is a wider one with its halves folded together."""
+    n = np.diff(first)
+    width = np.where(n > 0, np.clip(2 ** np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64), 64, 8 * WIDEST), 0)
+    begin = np.concatenate([[0], np.cumsum(width)])
+    text = np.repeat(np.arange(len(n)), n)
+    at = (kernels.mix(grams ^ SEED[1, 2]) & (width[text] - 1).astype(np.uint64)).astype(np.int64) + begin[text]
+    odd = (np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8)
+    data = np.packbits(odd, bitorder="little").tobytes()
+    return [data[a:b] for a, b in zip(begin[:-1] // 8, begin[1:] // 8)]
+
+
+def possible(sketches: pa.Array | pa.ChunkedArray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the sets ``x[i]`` and ``y[i]`` can have the similarity, by their sizes and sketches; never false for a link."""
+    ok = 100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])
+    raw = sketches.to_pylist()
+    own = np.array([len(r) for r in raw], np.int64)
+    shared = np.minimum(own[x], own[y])
+    above, width = None, int(own.max(initial=0))
+    while width >= 8:
+        table = np.zeros((len(raw), width // 8), np.uint64) if above is None else above[:, :width // 8] ^ above[:, width // 8:]
+        for row in np.flatnonzero(own == width):
+            table[row] = np.frombuffer(raw[row], np.uint64)
+        pairs = np.flatnonzero(ok & (shared == width))
+        step = max(1, (1 << 25) // width)
+        for start in range(0, len(pairs), step):
+            some = pairs[start:start + step]
+            apart = np.bitwise_count(table[x[some]] ^ table[y[some]]).sum(axis=1, dtype=np.int64)
+            ok[some] = (100 - PERCENT) * (size[x[some]] + size[y[some]]) >= (100 + PERCENT) * apart
+        above, width = table, width // 2
+    return ok
+
+
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, f1, f2, sig): size and fingerprints of each set, and its signature of 16-bit symbols."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.binary())])
+    """(id, n, f1, f2, sig, bits): size and fingerprints of each set, its signature of 16-bit symbols and its parity sketch."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.binary()), ("bits", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -92,9 +131,9 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                         low = np.minimum.reduceat((grams ^ SEED[0, j]) * SEED[1, j], at)
                         sig[full, j] = (kernels.mix(low) >> np.uint64(48)).astype(np.uint16)
                 yield pa.record_batch([batch.column(0).slice(start, len(n)), pa.array(n), pa.array(kernels.signed(f[0])), pa.array(kernels.signed(f[1])),
-                                       pa.array([s.tobytes() for s in sig], pa.binary())], schema=schema)
+                                       pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(parities(grams, first), pa.binary())], schema=schema)
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, n long, f1 long, f2 long, sig binary")
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, n long, f1 long, f2 long, sig binary, bits binary")
 
 
 def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -135,16 +174,20 @@ def symbols(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most ``NEAR`` symbols."""
+    """The pairs (a, b) whose signatures differ in at most ``NEAR`` symbols and whose sketches allow a link."""
     def run(batches):
         for batch in batches:
-            if len(batch):
-                ok = (symbols(batch.column(2)) != symbols(batch.column(3))).sum(axis=1) <= NEAR
-                yield batch.filter(pa.array(ok)).select(["a", "b"])
+            for start in range(0, len(batch), BLOCK):
+                part = batch.slice(start, BLOCK)
+                part = part.filter(pa.array((symbols(part["sa"]) != symbols(part["sb"])).sum(axis=1) <= NEAR))
+                first = np.arange(len(part))
+                size = np.concatenate([part["na"].to_numpy(), part["nb"].to_numpy()])
+                ok = possible(pa.chunked_array([part["pa"], part["pb"]]), size, first, first + len(part))
+                yield part.filter(pa.array(ok)).select(["a", "b"])
 
-    both = pairs.join(classes.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(
-        classes.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    both = pairs.join(classes.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"), F.col("bits").alias("pb")), "b").join(
+        classes.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"), F.col("bits").alias("pa")), "a")
+    return both.select("a", "b", "sa", "sb", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -160,14 +203,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
 
 
 def apart(keys: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of texts that share a key, lie in different components and have near signatures."""
+    """Pairs of texts that share a key, lie in different components, have near signatures and sketches that allow a link."""
     rooted = keys.join(roots, keys["id"] == roots["node"], "left").select("k", "pick", "id", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi")
-    rows = rooted.join(mixed.select("k", "g"), "k").join(classes.select("id", "sig"), "id")
+    rows = rooted.join(mixed.select("k", "g"), "k").join(classes.select("id", "sig", "bits", F.col("n").alias("size")), "id")
     blocks = F.ceil(F.col("g") / BLOCK).cast("int")
     rows = rows.withColumn("n", blocks).withColumn("m", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    rows = rows.select("k", "pick", "id", "root", "sig", "m", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
-    rows = rows.select("k", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), "pick", "id", "root", "sig", "m")
+    rows = rows.select("k", "pick", "id", "root", "sig", "bits", "size", "m", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
+    rows = rows.select("k", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), "pick", "id", "root", "sig", "bits", "size", "m")
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -180,9 +223,12 @@ def apart(keys: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
             y = y[(sig[y] != sig[x]).sum(axis=1) <= NEAR]
             # the pair comes from the first key that both have
             y = y[~(sig[y][:, PICKS[:pick]] == sig[x][PICKS[:pick]]).all(axis=2).any(axis=1)]
-            a.append(np.minimum(ids[x], ids[y]))
-            b.append(np.maximum(ids[x], ids[y]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            a.append(np.full(len(y), x))
+            b.append(y)
+        a, b = np.concatenate(a), np.concatenate(b)
+        ok = possible(t["bits"], t["size"].to_numpy(), a, b)
+        a, b = ids[a[ok]], ids[b[ok]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return rows.groupBy("k", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -193,7 +239,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"))
     classes = keep(classes, "classes")
     sigs = keep(signed.where("n > 0").join(classes.select("n", "f1", "f2", F.col("id").alias("c")), ["n", "f1", "f2"]).where("id = c")
-                .groupBy("id", "f1", "f2").agg(F.min("sig").alias("sig")).select("id", "sig"), "class_signatures")
+                .groupBy("id", "f1", "f2").agg(F.min("sig").alias("sig"), F.min("bits").alias("bits"), F.min("n").alias("n")).select("id", "n", "sig", "bits"), "class_signatures")
     keys = chunk_keys(sigs)
     hubs = keys.groupBy("k").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("k", "a")
     met = keep(keys.join(hubs, "k").select("k", "pick", "id", "a"), "met")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -410,6 +411,35 @@ def test_pigeonhole():
         assert wrong.reshape(minhash.CHUNKS, size).sum(axis=1).min() <= errors
 
 
+def test_parity_sketches():
+    """A sketch never rules out a link, and rules out most pairs well below the similarity, at any width."""
+    rng = np.random.default_rng(4)
+    sets = [np.zeros(0, np.uint64)]
+    for n in (1, 3, 17, 60, 300, 4000, 50_000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        sets.append(base)
+        for keep in (0.99, 0.93, 0.9, 0.86, 0.857, 0.8, 0.7):  # members in common; 0.857 gives a similarity of 0.75
+            same = base[:math.ceil(n * keep)]
+            sets += [np.unique(np.concatenate([same, rng.integers(0, 2**63, n - len(same), dtype=np.uint64)])), np.unique(same)]
+    size = np.array([len(s) for s in sets])
+    bits = minhash.parities(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
+    assert max(map(len, bits)) <= minhash.WIDEST and bits[0] == b""
+    x, y = np.triu_indices(len(sets), 1)
+    x, y = x[x > 0], y[x > 0]
+    ok = minhash.possible(pa.array(bits, pa.binary()), size, x, y)
+    links = out = 0
+    for i, j, kept in zip(x, y, ok):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        union = size[i] + size[j] - both
+        if 100 * both >= 75 * union:
+            links += 1
+            assert kept
+        elif 100 * both < 68 * union and 60 <= size[i] <= 4000:
+            out += 1
+            assert not kept
+    assert links > 50 and out > 500
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(30)] + [(5, 5)]
