@@ -98,6 +98,32 @@ class Words:
             h += hashes[at + j] * up[j + 1]
         return mix(h), text, at
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All words with one space after each, and where each begins and ends there."""
+        size = self.end - self.start
+        begin = np.cumsum(size + 1) - (size + 1)
+        line = np.full(int((size + 1).sum()), 32, np.uint8)
+        from_ = np.arange(int(size.sum())) + np.repeat(self.start - (np.cumsum(size) - size), size)
+        line[from_ + np.repeat(begin - self.start, size)] = self.data[from_]
+        return line, begin, begin + size
+
+
+def parts(size: np.ndarray, most: int = 1 << 26) -> Iterator[slice]:
+    """Slices of the items whose sizes add up to about ``most``."""
+    total, low = np.concatenate([[0], np.cumsum(size)]), 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + most, side="right")) - 1)
+        yield slice(low, high)
+        low = high
+
+
+def spans(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """The strings at the given byte spans."""
+    size = hi - lo
+    off = np.concatenate([[0], np.cumsum(size)])
+    raw = data[np.arange(off[-1]) + np.repeat(lo - off[:-1], size)]
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(raw))
+
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import chat, ctw, idfile, leaks, minhash, packing, pages, passages, quality, toxicity
+from skyledger.llm import chat, ctw, idfile, leaks, minhash, packing, pages, passages, phrases, quality, simhash, toxicity, whitening
 from skyledger.llm.store import table
 from skyledger.llm.tokens import tokenizer_path
 
@@ -72,9 +72,21 @@ def op10_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_token_ids, op3_chat_format, op4_toxicity, op5_decontamination, op6_packing, op7_lm_score, op8_near_duplicates, op9_repeated_passages,
-    op10_page_text)}
+    op10_page_text, op11_collocations, op12_whitening, op13_simhash)}
 
 ORACLES: dict[str, str] = {}
 
@@ -82,7 +94,7 @@ ORACLES["op1_quality_rules"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
   FROM documents
 ), g AS (
   SELECT row, i, list_aggregate(w[i:i + 7], 'string_agg', ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
@@ -136,3 +148,32 @@ c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+ORACLES["op11_collocations"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS id, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, size, list_aggregate(w[i:i + size - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS size) WHERE len(w) >= size)
+), f AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS a FROM g GROUP BY lang, phrase HAVING count(*) >= 30),
+c AS (
+  SELECT lang, phrase, a, string_split(phrase, ' ') AS v, unnest(range(1, size)) AS k FROM f WHERE size > 1
+), s AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a::HUGEINT + y.a))::BIGINT AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = list_aggregate(v[1:k], 'string_agg', ' ')
+         JOIN f y ON y.lang = c.lang AND y.phrase = list_aggregate(v[k + 1:len(v)], 'string_agg', ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT lang, list_aggregate(v[i:i + m - 1], 'string_agg', ' ') AS phrase, a
+  FROM (SELECT lang, a, v, m, unnest(range(1, len(v) - m + 2)) AS i
+        FROM (SELECT lang, a, string_split(phrase, ' ') AS v, unnest(range(2, size)) AS m FROM f WHERE size > 2))
+), longer AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY lang, phrase),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM s LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+"""
