@@ -1,22 +1,21 @@
 """Collocations of each language: phrases of two to four words that occur together more than apart.
 
-Texts are cut into pieces at punctuation and line ends and the pieces into words. Three
+Texts are cut into pieces at punctuation and line ends and the pieces into words. Two
 passes over the texts find the exact number of occurrences of every frequent phrase
 without counting the rare ones:
 
-1. The mass (occurrences of all runs of one to four words) of each slice of the hash
-   space is counted. Slices are joined to hash partitions of bounded mass.
-2. Every task sums its runs by hash and sends these summaries to the hash partitions.
-   There they are merged into one Misra-Gries summary for each partition: when it has more
-   entries than its capacity, the first count beyond the capacity is taken from all.
-   The capacity exceeds mass / threshold, so less than the threshold is taken in all and
-   every frequent run survives; an entry whose count plus what was taken stays below
-   the threshold is left out.
-3. Runs whose hash survived are counted exactly, by their words. Which hashes survived is
+1. Every task sums its runs of one to four words by hash and sends these summaries, in
+   blocks of sorted hashes, to the hash partitions, together with the mass (occurrences) that each
+   partition gets from it. There they are merged into one Misra-Gries summary for each
+   partition: when it has more entries than its capacity, the first count beyond the
+   capacity is taken from all. The capacity exceeds mass / threshold, so less than the
+   threshold is taken in all and every frequent run survives; an entry whose count plus
+   what was taken stays below the threshold is left out.
+2. Runs whose hash survived are counted exactly, by their words. Which hashes survived is
    told by a bitmap of at most ``2 ** WIDEST_BITS`` bits; runs it lets through wrongly
    are counted too and then dropped by the threshold.
 
-A run is known by a 64-bit hash in pass 2 and when one task adds equal runs of one
+A run is known by a 64-bit hash in the first pass and when one task adds equal runs of one
 slice of about two megabytes; counts are otherwise taken by the words themselves.
 
 Defined cases: a null text is empty; a null language is ``und``; texts of any length are
@@ -41,9 +40,10 @@ THRESHOLD = 30
 LONGEST = 4
 COVERED = 80  # per cent of a phrase's occurrences inside a longer one from which it is dropped
 FIRST = 2000
-SLICE_BITS = 16  # slices of the hash space whose mass is counted
-CAPACITY = 1 << 20  # entries of one summary, from which more partitions are made
+CAPACITY = 1 << 20  # entries of one summary, from which more hash partitions are made
+MOST_BITS = 20  # of the number of a hash partition
 HELD = 1 << 21  # entries a task sums before it sends them on
+BLOCK = 512  # entries sent in one row
 WIDEST_BITS = 30
 SALT = 64
 BREAK = np.zeros(256, bool)
@@ -56,7 +56,7 @@ class Runs:
     def __init__(self, data: np.ndarray, off: np.ndarray, langs: np.ndarray):
         breaks = BREAK[data]
         cuts = np.sort(np.concatenate([off, np.flatnonzero(breaks)]), kind="stable")
-        self.text = np.searchsorted(off, cuts[:-1], side="right") - 1
+        self.text = np.minimum(np.searchsorted(off, cuts[:-1], side="right") - 1, len(off) - 2)  # pieces without words may be given to any text
         self.words = kernels.Words(np.where(breaks, np.uint8(32), data), cuts)
         self.langs, self.word_hashes = langs, self.words.hashes()
 
@@ -78,27 +78,6 @@ def runs_of(batch: pa.RecordBatch):
         yield own, names, Runs(data, off, hashes[own])
 
 
-def masses(docs: DataFrame, lang: str, text: str, longest: int) -> DataFrame:
-    """(lang, slice, mass): the mass of each slice of the hash space (lang null) and the words of each language (slice -1)."""
-    def run(batches):
-        total, words = np.zeros(1 << SLICE_BITS, np.int64), {}
-        for batch in batches:
-            for codes, names, runs in runs_of(batch):
-                for n in range(1, longest + 1):
-                    h, text, _ = runs.of(n)
-                    total += np.bincount((h >> np.uint64(64 - SLICE_BITS)).astype(np.int64), minlength=len(total))
-                    if n == 1:
-                        for code, count in enumerate(np.bincount(codes[text], minlength=len(names))):
-                            words[names[code].as_py()] = words.get(names[code].as_py(), 0) + int(count)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.nulls(len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "slice", "mass"])
-        yield pa.record_batch([pa.array(list(words), pa.string()), pa.array([-1] * len(words), pa.int32()), pa.array(list(words.values()), pa.int64())],
-                              names=["lang", "slice", "mass"])
-
-    rows = docs.select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(run, "lang string, slice int, mass long")
-    return rows.groupBy("lang", "slice").agg(F.sum("mass").alias("mass"))
-
-
 def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their counts."""
     k, c = np.concatenate(keys), np.concatenate(counts)
@@ -110,14 +89,37 @@ def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[first], np.add.reduceat(c, first)
 
 
-def summaries(docs: DataFrame, lang: str, text: str, longest: int) -> DataFrame:
-    """(h, c): the runs of each task summed by hash, at most ``HELD`` of them at once."""
-    def send(keys, counts):
-        for low in range(0, len(keys), 1 << 16):
-            yield pa.record_batch([pa.array(kernels.signed(keys[low:low + (1 << 16)])), pa.array(counts[low:low + (1 << 16)])], names=["h", "c"])
+def partition_bits(docs: DataFrame, text: str, longest: int, threshold: int, capacity: int) -> int:
+    """Bits of a hash partition's number, so that a summary has about ``capacity`` entries at most.
+
+    A text of ``b`` bytes has at most ``(b + 1) / 2`` words and as many runs of each length.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")) + 1)).first()[0] or 0
+    least = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_BITS, max(least, longest * size // 2 // threshold // capacity).bit_length())
+
+
+def summaries(docs: DataFrame, lang: str, text: str, longest: int, bits: int) -> DataFrame:
+    """(part, mass, keys, counts): blocks of the runs of each task summed by hash, and the task's mass of each hash partition."""
+    shift = np.uint64(64 - bits)
+
+    def send(keys, counts, mass):
+        part = (keys >> shift).astype(np.int32)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        mass += np.bincount(part[first], np.add.reduceat(counts, first), len(mass)).astype(np.int64)
+        while len(keys):
+            block = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+            at = np.append(np.flatnonzero(block % BLOCK == 0), len(keys))
+            some = np.minimum(counts, 2**32 - 1).astype(np.uint32)
+            blocks = lambda size, data: pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * size).astype(np.int32)), pa.py_buffer(data)])
+            yield pa.record_batch([pa.array(part[at[:-1]]), pa.nulls(len(at) - 1, pa.int64()), blocks(8, keys), blocks(4, some)],
+                                  names=["part", "mass", "keys", "counts"])
+            rest = counts > some  # counts beyond 32 bits go on in another block
+            keys, counts, part = keys[rest], (counts - some)[rest], part[rest]
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else first
 
     def run(batches):
-        keys, counts = [], []
+        keys, counts, mass = [], [], np.zeros(1 << bits, np.int64)
         for batch in batches:
             for _, _, runs in runs_of(batch):
                 for n in range(1, longest + 1):
@@ -129,12 +131,15 @@ def summaries(docs: DataFrame, lang: str, text: str, longest: int) -> DataFrame:
                     k, c = added(keys, counts)
                     keys, counts = [k], [c]
                     if len(k) > HELD // 2:
-                        yield from send(k, c)
+                        yield from send(k, c, mass)
                         keys, counts = [], []
-        if keys:
-            yield from send(*added(keys, counts))
+        if sum(map(len, keys)):
+            yield from send(*added(keys, counts), mass)
+        at = np.flatnonzero(mass)
+        none = pa.nulls(len(at), pa.binary())
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(mass[at]), none, none], names=["part", "mass", "keys", "counts"])
 
-    return docs.select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(run, "h long, c long")
+    return docs.select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(run, "part int, mass long, keys binary, counts binary")
 
 
 class Summary:
@@ -157,42 +162,44 @@ class Summary:
         return self.keys[self.counts + self.taken >= threshold]
 
 
-def survivors(rows: DataFrame, mass: np.ndarray, threshold: int, least: int, capacity: int = CAPACITY) -> DataFrame:
-    """(h): the hashes that can have ``threshold`` occurrences, of all rows (h, c).
-
-    ``mass`` has the occurrences of each slice of the hash space; ``least`` is the smallest number of hash partitions.
-    """
-    bits = min(SLICE_BITS, max(0, (least - 1).bit_length()))
-    while bits < SLICE_BITS and mass.reshape(1 << bits, -1).sum(axis=1).max() // threshold >= capacity:
-        bits += 1
-    room = mass.reshape(1 << bits, -1).sum(axis=1) // threshold + 1
-
+def survivors(sent: DataFrame, threshold: int) -> DataFrame:
+    """(h): the hashes that can have ``threshold`` occurrences, of the summaries of all tasks."""
     def run(batches):
-        held: dict[int, Summary] = {}
+        part, mass, summary, keys, counts, size = -1, 0, None, [], [], 0
 
-        def merge(keys, counts):
-            k, c = added(keys, counts)
-            part = (k >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), np.int64)
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(k) else []
-            for a, b in zip(first, [*first[1:], len(k)]):
-                p = int(part[a])
-                held.setdefault(p, Summary(int(room[p]))).merge(k[a:b], c[a:b])
-
-        keys, counts, size = [], [], 0
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy().view(np.uint64))
-            counts.append(batch.column(1).to_numpy())
-            size += len(batch)
-            if size > CAPACITY:
-                merge(keys, counts)
+        def merge():
+            nonlocal summary, keys, counts, size
+            if size:
+                summary = summary or Summary(mass // threshold + 1)
+                summary.merge(*added(keys, counts))
                 keys, counts, size = [], [], 0
-        if keys:
-            merge(keys, counts)
-        for summary in held.values():
-            yield pa.record_batch([pa.array(kernels.signed(summary.frequent(threshold)))], names=["h"])
 
-    part = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0)
-    return rows.repartition(part).mapInArrow(run, "h long")
+        def found():
+            merge()
+            if summary:
+                yield pa.record_batch([pa.array(kernels.signed(summary.frequent(threshold)))], names=["h"])
+
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            ends = np.append(np.flatnonzero(parts[1:] != parts[:-1]) + 1, len(parts)) if len(parts) else np.zeros(0, int)
+            for low, high in zip(np.append(0, ends[:-1]), ends):
+                if parts[low] != part:
+                    yield from found()
+                    part, mass, summary = parts[low], 0, None
+                rows = batch.slice(low, high - low)
+                mass += sum(x or 0 for x in rows.column(1).to_pylist())  # of a partition the masses come first
+                blocks = rows.filter(rows.column(1).is_null())
+                for start in range(0, len(blocks), 512):
+                    some = blocks.slice(start, 512)
+                    keys.append(np.frombuffer(b"".join(some.column(2).to_pylist()), np.uint64))
+                    counts.append(np.frombuffer(b"".join(some.column(3).to_pylist()), np.uint32).astype(np.int64))
+                    size += len(keys[-1])
+                    if size > CAPACITY // 4:
+                        merge()
+        yield from found()
+
+    ordered = sent.repartition("part").sortWithinPartitions("part", F.col("mass").isNull())
+    return ordered.mapInArrow(run, "h long")
 
 
 def bitmap(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
@@ -206,26 +213,24 @@ def bitmap(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def frequent(docs: DataFrame, lang: str, text: str, threshold: int = THRESHOLD, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+def frequent(docs: DataFrame, lang: str, text: str, threshold: int = THRESHOLD, longest: int = LONGEST, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, a) of every run of at least ``threshold`` occurrences, and (lang, n)."""
     spark = docs.sparkSession
-    counted = keep(masses(docs, lang, text, longest), "masses")
-    mass = np.zeros(1 << SLICE_BITS, np.int64)
-    found = counted.where("lang IS NULL").select("slice", "mass").toArrow()
-    mass[found["slice"].to_numpy()] = found["mass"].to_numpy()
-    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashes = keep(survivors(summaries(docs, lang, text, longest), mass, threshold, least), "survivors")
-    some, bits = bitmap(hashes, hashes.count())
+    bits = partition_bits(docs, text, longest, threshold, capacity)
+    hashes = keep(survivors(summaries(docs, lang, text, longest, bits), threshold), "survivors")
+    some, width = bitmap(hashes, hashes.count())
     sent = spark.sparkContext.broadcast(some)
 
     def run(batches):
-        some = sent.value
+        some, total = sent.value, {}
         for batch in batches:
             for codes, names, runs in runs_of(batch):
                 line, lo, hi = runs.words.joined()
+                for code, count in enumerate(np.bincount(codes[runs.text], runs.words.count, len(names)).tolist()):
+                    total[names[code].as_py()] = total.get(names[code].as_py(), 0) + int(count)
                 for n in range(1, longest + 1):
                     h, text, at = runs.of(n)
-                    slot = h >> np.uint64(64 - bits)
+                    slot = h >> np.uint64(64 - width)
                     ok = np.flatnonzero((some[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
                     _, first, count = np.unique(h[ok], return_index=True, return_counts=True)
                     first = ok[first]
@@ -234,10 +239,13 @@ def frequent(docs: DataFrame, lang: str, text: str, threshold: int = THRESHOLD,
                         yield pa.record_batch([names.take(pa.array(codes[text[own]])), kernels.spans(line, lo[at[own]], hi[at[own] + n - 1]),
                                                pa.array(np.full(len(own), n, np.int32)), pa.array(count[part].astype(np.int64))],
                                               names=["lang", "phrase", "words", "c"])
+        yield pa.record_batch([pa.array(list(total), pa.string()), pa.nulls(len(total), pa.string()), pa.array([0] * len(total), pa.int32()),
+                               pa.array(list(total.values()), pa.int64())], names=["lang", "phrase", "words", "c"])
 
     rows = docs.select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(run, "lang string, phrase string, words int, c long")
-    exact = rows.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("a")).where(F.col("a") >= threshold)
-    return keep(exact, "frequent"), counted.where("lang IS NOT NULL").select("lang", F.col("mass").alias("n"))
+    exact = rows.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("a")).where((F.col("a") >= threshold) | (F.col("words") == 0))
+    exact = keep(exact, "frequent")
+    return exact.where("words > 0"), exact.where("words = 0").select("lang", F.col("a").alias("n"))
 
 
 def part(begin: str, size: str) -> F.Column:

@@ -71,7 +71,7 @@ def test_collocations(spark, threshold, first):
     df = spark.createDataFrame([(t, g, "x", "y") for g, t in rows], "text string, lang string, phrase string, h string")
     got = [tuple(r) for r in phrases.collocations(df, threshold=threshold, first=first).orderBy("lang", "rank").collect()]
     want = plain_collocations(rows, threshold, first)
-    assert len(want) > 8 and got == sorted(want, key=lambda x: (x[0].encode(), x[1]))
+    assert len(want) >= 5 and got == sorted(want, key=lambda x: (x[0].encode(), x[1]))
 
 
 def test_collocations_of_nothing(spark):
@@ -95,15 +95,23 @@ def test_summary_keeps_what_is_frequent(chunks, threshold):
         assert n <= true[k] <= n + summary.taken
 
 
-def test_survivors_with_small_summaries(spark):
-    rng = np.random.default_rng(3)
-    keys = np.concatenate([rng.integers(0, 2**64, 50_000, dtype=np.uint64), np.repeat(rng.integers(0, 2**64, 40, dtype=np.uint64), 30)])
-    rng.shuffle(keys)
-    rows = spark.createDataFrame([(int(k), 1) for k in keys.view(np.int64)], "h long, c long")
-    mass = np.bincount((keys >> np.uint64(48)).astype(int), minlength=1 << 16)
-    found = {r.h for r in phrases.survivors(rows, mass, 30, least=2, capacity=900).collect()}
-    want = {int(k) for k, n in Counter(keys.view(np.int64).tolist()).items() if n >= 30}
-    assert len(want) == 40 and want <= found and len(found) < 2000
+def test_survivors_of_many_summaries(spark, monkeypatch):
+    """Every task sends several summaries, the merged ones are over their capacity, and no frequent run is lost."""
+    rng = random.Random(3)
+    words = [f"r{i}" for i in range(20_000)] + ["often", "common"] * 40
+    rows = [("en", " ".join(rng.choice(words) for _ in range(200))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    monkeypatch.setattr(phrases, "HELD", 20_000)
+    monkeypatch.setattr(phrases, "CAPACITY", 4_000)
+    monkeypatch.setattr(phrases, "BLOCK", 100)
+    found = {r.h for r in phrases.survivors(phrases.summaries(df, "lang", "text", 4, 2), 30).collect()}
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    off = np.cumsum([0, *(len(t) for _, t in rows)])
+    lang = next(phrases.runs_of(df.limit(1).toArrow().combine_chunks().to_batches()[0]))[2].langs[:1]
+    runs = phrases.Runs(data, off, np.repeat(lang, len(rows)))
+    true = Counter(h for n in range(1, 5) for h in runs.of(n)[0].view(np.int64).tolist())
+    want = {h for h, n in true.items() if n >= 30}
+    assert 3 < len(want) < 100 and want <= found and len(found) < len(true) / 20
 
 
 # fingerprints
