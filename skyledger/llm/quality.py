@@ -7,7 +7,7 @@ versions or leaving a rule out are bitwise operations on the stored number.
 Defined cases: a null text counts as empty and fails ``few_words``; repeated rows
 get the same ledger each; a text of any length is measured whole; an empty table
 gives an empty ledger; columns of the input never clash, as the ledger is one
-struct column under a free name.
+struct column under a free name; ties do not occur.
 """
 
 from __future__ import annotations
@@ -23,15 +23,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 8
 
-# name of the rule -> failing condition over the measurements; the place gives the bit
-RULES: dict[str, str] = {
-    "few_words": "{m}.n_words < 20",
-    "repeated_windows": "100 * {m}.n_repeat_words > 30 * {m}.n_words",
-    "many_symbols": "100 * {m}.n_symbols > 20 * {m}.n_words",
-    "repeated_lines": "100 * {m}.n_dup_lines > 50 * {m}.n_lines",
-    "odd_word_length": "{m}.word_chars < 2 * {m}.n_words OR {m}.word_chars > 20 * {m}.n_words",
-    "shouting": "100 * {m}.n_upper > 50 * {m}.word_chars",
+# name of the rule -> failing condition over the struct of measurements; the place gives the bit
+RULES: dict[str, Callable[[Column], Column]] = {
+    "few_words": lambda m: m.n_words < 20,
+    "repeated_windows": lambda m: 100 * m.n_repeat_words > 30 * m.n_words,
+    "many_symbols": lambda m: 100 * m.n_symbols > 20 * m.n_words,
+    "repeated_lines": lambda m: 100 * m.n_dup_lines > 50 * m.n_lines,
+    "odd_word_length": lambda m: (m.word_chars < 2 * m.n_words) | (m.word_chars > 20 * m.n_words),
+    "shouting": lambda m: 100 * m.n_upper > 50 * m.word_chars,
 }
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 BASE = ("few_words", "repeated_windows")
 POLICIES: dict[str, tuple[str, ...]] = {"base": BASE, "v1": (*BASE, "many_symbols"), "v2": tuple(RULES)}
 CURRENT = "v2"
@@ -102,13 +103,20 @@ def measure(text: Column) -> Column:
 
 
 def ledger(docs: DataFrame, name: str = "ledger", text: str = "text") -> DataFrame:
-    """``docs`` with one more column ``name``: a struct of ``failed_bits`` and the measurements."""
-    docs = docs.withColumn(name, measure(docs[text]))
-    bits = [F.when(F.expr(rule.format(m=f"`{name}`")), F.lit(bit(r))).otherwise(F.lit(0)).cast("long") for r, rule in RULES.items()]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return docs.withColumn(name, F.col(f"`{name}`").withField("failed_bits", total))
+    """``docs`` with one more column, a struct of the measurements and ``failed_bits``.
+
+    It is called ``name``, with underscores behind it where ``docs`` has such a column.
+    The bits are made from the measurements inside one expression, so that a filter
+    on them, also when it is pushed down to the scan, measures each text once.
+    """
+    def entry(m: Column) -> Column:
+        bits = [F.when(rule(m), F.lit(bit(r))).otherwise(F.lit(0)).cast("long") for r, rule in RULES.items()]
+        total = bits[0]
+        for b in bits[1:]:
+            total = total.bitwiseOR(b)
+        return F.struct(*[m[c].alias(c) for c in MEASURES], total.alias("failed_bits"))
+
+    return docs.withColumn(fresh(docs, name), let(measure(docs[text]), entry))
 
 
 def passes(bits: Column, rules: tuple[str, ...]) -> Column:
