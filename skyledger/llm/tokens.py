@@ -4,8 +4,12 @@ A byte-level vocabulary splits a text before every run of white space that follo
 something else, and between a letter and a mark like a full stop, so the parts between
 such places can be encoded apart and each distinct part only once. New parts are
 encoded in joined runs that are cut again by the byte lengths of the tokens. Texts with
-other white space than space and line feed are encoded whole. The result is the same
-as encoding every text whole.
+other white space than space and line feed, or with the string of a special token, which
+is one id wherever it stands, are encoded whole. The result is the same as encoding
+every text whole, with ``add_special_tokens=False``.
+
+An encoder with its table of parts is made once in a Python worker and serves all
+tasks that the worker runs. A text of any length is encoded as one; a null is empty.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ PART = re.compile(r"[ \n]*[^\W\d_]+(?![^ \n.,;:!?|)])|[ \n]*[^ \n]+|[ \n]+")
 ODD = re.compile(r"[^\S \n]")
 MOST = 600_000  # parts remembered at once; the table starts anew beyond
 RUN = 512  # new parts encoded as one text
-_encoders: dict[tuple[str, int], Encoder] = {}
+WORKER = "skyledger_worker_tables"  # module of a Python worker that outlives its tasks
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -35,7 +39,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.parts: dict[str, bytes] = {}
         self.end = np.array([end], "<u4").tobytes()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -68,7 +72,7 @@ class Encoder:
         for start in range(0, len(texts), 256):
             if len(self.parts) > MOST:
                 self.parts = {}
-            split = [None if t and ODD.search(t) else PART.findall(t or "") for t in texts[start:start + 256]]
+            split = [None if t and (ODD.search(t) or self.special.search(t)) else PART.findall(t or "") for t in texts[start:start + 256]]
             new = list({p for parts in split if parts for p in parts if p not in self.parts})
             self.learn(new)
             get = self.parts.__getitem__
@@ -78,10 +82,13 @@ class Encoder:
 
 
 def encoders(path: str, end: int = END) -> Encoder:
-    """One encoder for all tasks of a Python worker."""
+    """One encoder for all tasks of a Python worker; the functions of a task are sent anew with each."""
     import os
+    import sys
+    import types
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (path, end) not in _encoders:
-        _encoders[path, end] = Encoder(path, end)
-    return _encoders[path, end]
+    made = sys.modules.setdefault(WORKER, types.ModuleType(WORKER)).__dict__.setdefault("encoders", {})
+    if (path, end) not in made:
+        made[path, end] = Encoder(path, end)
+    return made[path, end]
