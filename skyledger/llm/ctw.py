@@ -14,6 +14,9 @@ the log-probability of its last byte, and a text is the sum over its bytes and o
 end mark, so scoring is a lookup: in a broadcast table while that has at most
 ``LOOKUP_ROWS`` rows, else in a join of the text's counted runs.
 
+Both ways give the same numbers, whatever the files the tables are split into. A text of
+any length is read whole by one task.
+
 Defined cases: a null text is empty and scores its end mark; repeated rows count
 repeatedly; a null id is held out; columns besides id and text are not read; without
 training texts every decision has probability one half.
@@ -138,8 +141,7 @@ def counted(docs: DataFrame, train: Column, key: str, text: str, depth: int) ->
 
 def run_logs(runs: DataFrame, depth: int) -> DataFrame:
     """(g, v): log10 probability of the last byte of each run."""
-    near = F.col("g").bitwiseAND(0xFFFF00)
-    rows = keep(runs.repartition(near), "runs")  # runs with the same two nearest bytes are in one partition
+    rows = runs.repartition(F.col("g").bitwiseAND(0xFFFF00))  # a shuffle puts the runs with the same two nearest bytes in one partition
 
     def table(batches):
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
@@ -206,7 +208,7 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         return out.select(key, F.col("n").alias("n_tokens"), F.col("hits").alias("n_known"), F.lit(size).cast("long").alias("train_tokens"),
                           F.col("v").alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("bytes")).alias("bits_per_byte"))
     spark = docs.sparkSession
-    by_run = spark.sparkContext.broadcast([c.to_numpy() for c in logs.select("g", F.col("v").cast("float")).toArrow().columns])
+    by_run = spark.sparkContext.broadcast([c.to_numpy() for c in logs.select("g", "v").toArrow().columns])
     by_word = spark.sparkContext.broadcast([c.to_numpy() for c in words.where("n > 0").select("g", F.col("n").cast("double")).toArrow().columns])
 
     def run(batches):
