@@ -8,10 +8,13 @@ pages are copies of each other (most of the text is shared). Blocks inside eleme
 that never hold the article (menus, forms, adverts, comments, ...) are deleted too,
 and where a page marks an article, so is all outside of it.
 
-The order is cut into ranges, so a host may spread over many tasks; the first and
-last page of a range see one neighbour only.
+The order is cut into ranges, so a host may spread over many tasks. The first and the last
+page of each range are put off, with the page beside them, and finished together
+once the ranges are done: two pages for each range, read in order by one task. The result
+does not depend on the ranges.
 
-Defined cases: a null html is an empty page with an empty text; a null or malformed
+Defined cases: pages of any length are read whole, and their alignment takes linear memory;
+of two neighbours whose paths share an equally long beginning, the earlier one counts; a null html is an empty page with an empty text; a null or malformed
 url belongs to the host of that text; pages with the same url are neighbours, and
 repeated rows are copies; a page without neighbour on its host keeps its shared
 blocks; only id, url and html are read; an empty table gives no rows.
@@ -21,11 +24,14 @@ from __future__ import annotations
 
 import html as entities
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.llm.store import keep
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|title|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
                    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S | re.I)
 # Fixed values of the markup language: elements that end a block of text.
@@ -39,6 +45,7 @@ ROLE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 FRAME_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|breadcrumbs?|header|footer|cookies?|consent|notices?|popup|modal|newsletter"
                         r"|subscribe|share|social|related|recommend\w*|comments?|respond|replies|disqus|login|search|widget|copyright|legal|pagination|pager)(?:$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
+BITS = 1 << 28  # of the rows kept by one alignment
 
 
 def blocks(html: str) -> list[tuple[str, bool, bool]]:
@@ -94,22 +101,57 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     high = 0
     while high < min(len(x), len(y)) - low and a[x[-1 - high]] == b[y[-1 - high]]:
         high += 1
-    out = {*x[:low], *(x[len(x) - high:] if high else ())}
-    x, y = x[low:len(x) - high], y[low:len(y) - high]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[x[i]] == b[y[j]] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if a[x[i]] == b[y[j]]:
-            out.add(x[i])
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    middle = x[low:len(x) - high]
+    found = common_places([a[i] for i in middle], [b[j] for j in y[low:len(y) - high]])
+    return {*x[:low], *(x[len(x) - high:] if high else ()), *(middle[i] for i in found)}
+
+
+def bit_rows(x: list, y: list):
+    """After each entry of ``y``: bits that are zero where the common length grows along ``x``."""
+    at: dict = {}
+    for i, w in enumerate(x):
+        at[w] = at.get(w, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for w in y:
+        hit = row & at.get(w, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def lengths(row: int, n: int) -> list[int]:
+    """Common length of each beginning of ``x``."""
+    return [0, *accumulate(1 - (row >> i & 1) for i in range(n))]
+
+
+def common_places(x: list, y: list) -> list[int]:
+    """Places in ``x`` of a longest common subsequence with ``y``, ascending.
+
+    The bit rows of all of ``y`` are kept and walked back; where they would pass ``BITS``, ``y`` is
+    halved and ``x`` cut where the two halves share most, so memory stays linear.
+    """
+    if not x or not y:
+        return []
+    if len(x) * len(y) > BITS and len(y) > 1:
+        half, n, row, back = len(y) // 2, len(x), 0, 0
+        for row in bit_rows(x, y[:half]):
+            pass
+        for back in bit_rows(x[::-1], y[:half - 1:-1]):
+            pass
+        ahead, behind = lengths(row, n), lengths(back, n)
+        cut = max(range(n + 1), key=lambda i: ahead[i] + behind[n - i])
+        return common_places(x[:cut], y[:half]) + [cut + i for i in common_places(x[cut:], y[half:])]
+    rows = [(1 << len(x)) - 1, *bit_rows(x, y)]
+    out, i, j = [], len(x) - 1, len(y)
+    while i >= 0 and j > 0:
+        if rows[j] >> i & 1:
+            i -= 1  # the length does not grow here
+        elif not rows[j - 1] >> i & 1:
+            j -= 1  # it grew here before this entry
         else:
-            j += 1
-    return out
+            out.append(i)
+            i, j = i - 1, j - 1
+    return out[::-1]
 
 
 def main_text(page: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> str:
@@ -135,29 +177,66 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("h"),
                         F.lower(host).alias("host"), path.alias("path"))
     ordered = rows.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k", "u")
+    side = "struct<h: string, host: string, path: string>"
+    schema = f"k long, u string, text string, part int, last boolean, own {side}, inner {side}"
 
     def run(batches):
-        # a window of three rows: the page between its two neighbours
-        before = now = None
-        for batch in batches:
-            for low in range(0, len(batch), 256):
-                out = []
-                for k, u, h, site, p in zip(*batch.slice(low, 256).to_pydict().values()):
-                    after = (k, u, blocks(h), site, p)
-                    if now is not None:
-                        out.append(one(before, now, after))
-                    before, now = now, after
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        pages = (page for batch in batches for low in range(0, len(batch), 256) for page in read(batch.slice(low, 256)))
+        out, held, count = [], [], 0
+        for page in pages:  # ``held`` has the pages before, at most two
+            if len(held) == 2:
+                out.append(done(*held, page))
+            elif held:
+                out.append(put_off(held[0], part, False, page))
+            held, count = [*held[-1:], page], count + 1
+            if len(out) >= 256:
                 yield table(out)
-        if now is not None:
-            yield table([one(before, now, None)])
+                out = []
+        if held:
+            out.append(put_off(held[-1], part, True, held[0] if count > 1 else None))
+        if out:
+            yield table(out)
 
-    def one(before, now, after):
+    def read(batch):
+        return [(k, u, h, site, p, blocks(h)) for k, u, h, site, p in zip(*batch.to_pydict().values())]
+
+    def done(before, now, after):
         near = [x for x in (before, after) if x is not None and x[3] == now[3]]
         other = max(near, key=lambda x: alike(x[4], now[4]), default=None)
-        return now[0], now[1], main_text(now[2], other and other[2])
+        return now[0], now[1], main_text(now[5], other and other[5]), None, None, None, None
+
+    def put_off(page, part, last, inner):
+        parts = lambda x: x and dict(zip(("h", "host", "path"), x[2:5]))
+        return page[0], page[1], None, part, last, parts(page), parts(inner)
 
     def table(out):
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=[key, url, "text"])
+        names = ["k", "u", "text", "part", "last", "own", "inner"]
+        three = pa.struct([(c, pa.string()) for c in ("h", "host", "path")])
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), three, three]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    def finish(batches):
+        """The pages at the ends of the ranges, in order: the neighbour outside is the row beside."""
+        full = lambda k, u, x: x and (k, u, x["h"], x["host"], x["path"], blocks(x["h"]))
+        before = now = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                after = (full(row["k"], row["u"], row["own"]), row["last"], full(None, None, row["inner"]))
+                if now is not None:
+                    yield table([ends(before, now, after)])
+                before, now = now, after
+        if now is not None:
+            yield table([ends(before, now, None)])
+
+    def ends(before, now, after):
+        page, last, inner = now
+        if inner is None:  # the only page of its range
+            return done(before and before[0], page, after and after[0])
+        return done(inner, page, after and after[0]) if last else done(before and before[0], page, inner)
 
-    return ordered.mapInArrow(run, f"`{key}` long, `{url}` string, text string")
+    found = keep(ordered.mapInArrow(run, schema), "pages")
+    edges = found.where("text IS NULL").repartition(1).sortWithinPartitions("part", "last").mapInArrow(finish, schema)
+    return found.where("text IS NOT NULL").unionByName(edges).select(F.col("k").alias(key), F.col("u").alias(url), "text")
