@@ -73,6 +73,21 @@ def test_ledger(docs, texts, empty):
     assert quality.keep_good(empty).count() == 0
 
 
+def test_texts_are_measured_once(spark):
+    """Neither the ledger nor a filter on its bits repeats the measurements in the plan."""
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    for df in (quality.ledger(table), quality.keep_good(table)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("[^#*$%&|<>]+") == 1
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_ledger_beside_a_column_of_that_name(docs):
+    got = quality.ledger(docs)
+    assert got.columns == [*docs.columns, "ledger_"] and got.where("ledger <> 'x'").count() == 0
+
+
 def test_ablation(docs):
     bits = quality.ledger(docs, "out").select("out.failed_bits")
     all_bits = [r[0] for r in bits.collect()]
@@ -89,16 +104,19 @@ def coded(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return [(i, [*t.encode(x or "", add_special_tokens=False).ids, 2]) for i, x in texts]
 
 
 def test_encoder(texts, coded):
-    odd = ["", " ", "\n", "a\n\n b", "a \n\n\n  b  ", "don't  stop", "!\x1c!", "x  y", "tab\t\tend ", "<|endoftext|> a", None]
+    odd = ["x <|endoftext|>y", "a<|endoftext|", "", " ", "\n", "a\n\n b", "a \n\n\n  b  ", "don't  stop", "!\x1c!", "x  y", "tab\t\tend ", "<|endoftext|> a", None]
     encoder = Encoder(tokenizer_path())
     got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode([t for _, t in texts] + odd)]
     assert got[:len(texts)] == [ids for _, ids in coded]
-    assert [g[:-1] for g in got[len(texts):]] == [np.frombuffer(encoder.whole([t or ""])[0], "<u4").tolist() for t in odd]
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    assert [g[:-1] for g in got[len(texts):]] == [plain.encode(t or "", add_special_tokens=False).ids for t in odd]
+    assert 50256 in got[len(texts) + odd.index("<|endoftext|> a")]
 
 
 @pytest.mark.parametrize("bits", [1, 5, 16, 17, 31, 32])
@@ -353,6 +371,31 @@ def test_scores(spark, lookup_rows):
     assert ctw.scores(table.limit(0), train, depth=3).count() == 0
 
 
+def test_scores_do_not_depend_on_files(spark):
+    """Small files and read splits, and a join instead of a table in memory, give the same numbers."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(0, 120))) for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    train = F.col("doc_id") % 4 != 0
+    want = {r.doc_id: r for r in ctw.scores(table, train).collect()}
+    conf = {"spark.sql.files.maxPartitionBytes": "16384", "spark.sql.files.openCostInBytes": "0", "spark.sql.shuffle.partitions": "3"}
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    old = {k: spark.conf.get(k) for k in conf}
+    hadoop.set("parquet.block.size", "8192")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for lookup_rows in (10**7, 0):
+            for r in ctw.scores(table, train, lookup_rows=lookup_rows).collect():
+                for c in ("score", "base_score", "bits_per_byte"):
+                    assert math.isclose(r[c], want[r.doc_id][c], rel_tol=1e-9), (r, want[r.doc_id])
+                assert (r.n_tokens, r.n_known) == (want[r.doc_id].n_tokens, want[r.doc_id].n_known)
+    finally:
+        hadoop.unset("parquet.block.size")
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 # near duplicates and passages
 
 def shingle_set(text):
@@ -481,15 +524,60 @@ def test_fuzzy_passage(spark):
     assert min(r.start_word for r in got) <= 5 and max(r.end_word for r in got) >= 110
 
 
-def test_chain_against_all_chains():
-    """The Fenwick tree finds the best chain score of a quadratic search."""
-    rng = random.Random(3)
-    for _ in range(30):
-        n = rng.randint(2, 12)
-        p, q = (np.array([rng.randrange(60) for _ in range(n)]) for _ in range(2))
-        spans = passages.chains(p, q)
-        assert all(a <= b and c <= d for a, b, c, d in spans)
-        assert {(x, y) for x, y in zip(p.tolist(), q.tolist())} >= {(a, c) for a, _, c, _ in spans}
+def all_chains(p, q):
+    """Scores of a quadratic search; ``p`` ascends."""
+    score = [float(passages.K)] * len(p)
+    for i in range(len(p)):
+        for j in range(i):
+            dp, dq = p[i] - p[j], q[i] - q[j]
+            if 0 < dp <= passages.MAX_GAP and 0 < dq <= passages.MAX_GAP:
+                new = min(passages.K, dp, dq) - passages.GAP_COST * max(0, min(dp, dq) - passages.K) - passages.SHIFT_COST * abs(dp - dq)
+                score[i] = max(score[i], score[j] + new)
+    return score
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_chain_against_all_chains(seed):
+    """The Fenwick tree finds the chain scores of a quadratic search."""
+    rng = random.Random(seed)
+    for _ in range(60):
+        n, wide = rng.randint(2, 80), rng.choice([40, 300, 1500])
+        p, q = [], []
+        while len(p) < n:  # runs on one diagonal with small shifts, and single matches
+            a, b = rng.randrange(wide), rng.randrange(wide)
+            for _ in range(rng.choice([1, 3, 20])):
+                p.append(a)
+                q.append(b)
+                step = rng.randint(1, 20)
+                a, b = a + step, b + max(0, step + rng.choice([0, 0, 0, 1, -2]))
+        order = sorted(range(len(p)), key=lambda i: (p[i], -q[i]))
+        p, q = [p[i] for i in order], [q[i] for i in order]
+        score, prev = passages.best_chains(p, q)
+        assert np.allclose(score, all_chains(p, q))
+        for i, j in enumerate(prev):
+            assert j < 0 or math.isclose(score[i], score[j] + passages.gain(p[i] - p[j], q[i] - q[j]))
+        spans = passages.chains(np.array(p), np.array(q))
+        assert all(a <= b and c <= d for a, b, c, d in spans) and {(a, c) for a, _, c, _ in spans} <= set(zip(p, q))
+
+
+def test_two_passages_of_one_source(spark):
+    rng = random.Random(4)
+    one, two = prose(rng, 200), prose(rng, 120)
+    rows = [(1, " ".join([prose(rng, 30), one, prose(rng, 100), two])), (2, " ".join([prose(rng, 30), one, prose(rng, 300), two, prose(rng, 20)]))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.source_id, r.source_start) for r in got) == [(2, 30, 229, 1, 30), (2, 530, 649, 1, 330)]
+    rest = {r.doc_id: r.text for r in passages.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert rest[1] == rows[0][1] and one not in rest[2] and two not in rest[2] and len(rest[2].split()) == 350
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Only the row whose text the passages were found in is cut."""
+    rng = random.Random(6)
+    shared = prose(rng, 90)
+    rows = [(1, prose(rng, 40) + " " + shared), (2, "a " + prose(rng, 200) + " " + shared + " end"), (2, "b short"), (2, "c " + shared + " " + prose(rng, 9)), (2, None)]
+    got = [r.text for r in passages.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 5 and {rows[0][1], "b short", rows[3][1], None} < set(got)
+    assert sum(t is not None and t.startswith("a ") and len(t.split()) == 202 for t in got) == 1
 
 
 # pages
@@ -502,6 +590,48 @@ def test_blocks_and_text():
     assert pages.blocks("") == [] and pages.main_text([], None) == ""
 
 
+def plain_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+@pytest.mark.parametrize("bits", [8, 200, 1 << 28])
+def test_shared_lines(monkeypatch, bits):
+    monkeypatch.setattr(pages, "BITS", bits)
+    rng = random.Random(bits)
+    for _ in range(150):
+        a, b = ([rng.choice("abcdefg") for _ in range(rng.randrange(25))] for _ in range(2))
+        got = sorted(pages.shared_lines(a, b))
+        rest = iter(b)
+        assert len(got) == plain_common(a, b) and all(a[i] in rest for i in got)
+
+
+def test_long_pages():
+    a = [f"line {i}" for i in range(6000)]
+    assert len(pages.shared_lines(a, a[3000:] + a[:3000])) == 3000
+    assert len(pages.shared_lines(["x", "y"] * 4000, ["y", "x", "z"] * 3000)) >= 6000
+
+
+def test_ranges_do_not_matter(spark):
+    """The same texts from one partition and from one for each page."""
+    rng = random.Random(1)
+    rows = [(i, f"http://{rng.choice('ab')}.example/{rng.randrange(4)}/{i}", f"<p>Site {i % 2}</p><p>story {i} {prose(rng, 8)}</p><p>All rights</p>") for i in range(40)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    old, found = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}, []
+    try:
+        for n in (1, 7, 200):
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(tuple(r) for r in pages.extract(table).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 40 and all("All rights" not in t for _, _, t in found[0])
+
+
 def test_extract(spark):
     frame = "<div><p>Site name</p>{}<p>All rights</p></div>"
     rows = [(i, f"http://h.example/{i // 2}/{i}.html", frame.format(f"<p>story {i}</p><p>more of {i} in some length</p>")) for i in range(6)]
