@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyledger.operators.ranking import top_k_per_group
-from skyledger.operators.skew import split_join
+from skyledger.operators.skew import with_scalars
+from skyledger.session import settle as written
 
 EARTH_MILES = 3958.7613
-LEVELS = (0, 2, 4, 6, 8, 10, 12, 14, 16)  # cell side: 360 / 2**level degrees
+STEP = 2  # levels of the tree between two looks
+FINEST = 20  # cell side: 2 / 2**level of the unit cube, about 12 m on the ground
+LEAF = 64  # right points in a cell that is not divided again
+LOOSE = 1e-9  # margin of chord bounds, far beyond rounding
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -19,12 +23,56 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH_MILES * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
-def _cell(degrees: Column, offset: float, level: Column) -> Column:
-    return F.floor((degrees + offset) * F.pow(F.lit(2.0), level) / 360.0)
+def _sphere(lat: str, lon: str) -> list[Column]:
+    """The place on the unit sphere, where no date line or pole stands out."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [(F.cos(a) * F.cos(b)).alias("_x"), (F.cos(a) * F.sin(b)).alias("_y"), F.sin(a).alias("_z")]
 
 
-def _wrap(cell: Column, level: Column) -> Column:
-    return F.pmod(cell, F.pow(F.lit(2.0), level).cast("bigint"))
+AXES = ("x", "y", "z")
+CELL = ("_ix", "_iy", "_iz")
+
+
+def _index(level: int) -> list[Column]:
+    """The cell of a place at a level."""
+    side = float(2**level)
+    return [F.least(F.floor((F.col(f"_{c}") + 1) / 2 * side), F.lit(2**level - 1)).cast("int").alias(f"_i{c}") for c in AXES]
+
+
+def _above(levels: Column | str) -> list[Column]:
+    """The indices of the cell so many levels up."""
+    n = F.col(levels) if isinstance(levels, str) else levels
+    return [F.call_function("shiftright", F.col(c), n).alias(c) for c in CELL]
+
+
+def occupancy_tree(cells: DataFrame) -> DataFrame:
+    """(level, cell, n, leaf): the tree over the occupied finest cells, built upward from their counts ``_n``.
+
+    A cell of more than ``LEAF`` points is divided, ``STEP`` levels at a time; the others,
+    and crowded ones on the finest level, are leaves. Cells inside a leaf are left out.
+    """
+    ups = F.explode(F.sequence(F.lit(0), F.lit(FINEST), F.lit(STEP)))
+    counts = cells.select("*", ups.alias("_up")).select(
+        (F.lit(FINEST) - F.col("_up")).alias("_level"), *_above("_up"), "_n"
+    ).groupBy("_level", *CELL).agg(F.sum("_n").alias("_n"))
+    crowded = counts.where(F.col("_n") > LEAF).select((F.col("_level") + STEP).alias("_level"), *[F.col(c).alias(f"_p{c}") for c in CELL])
+    parent = [F.call_function("shiftright", F.col(c), F.lit(STEP)).alias(f"_p{c}") for c in CELL]
+    kept = counts.select("*", *parent).join(crowded, ["_level", *[f"_p{c}" for c in CELL]], "left_semi")
+    kept = kept.unionByName(counts.where("_level = 0").select("*", *parent))
+    return kept.withColumn("_leaf", (F.col("_n") <= LEAF) | (F.col("_level") == FINEST))
+
+
+def _chord_bounds() -> dict[str, Column]:
+    """Squares of the least and greatest distance of a place from the box of a cell."""
+    side = F.lit(2.0) / F.pow(F.lit(2.0), F.col("_level"))
+    near, far = F.lit(0.0), F.lit(0.0)
+    for c in AXES:
+        low = F.col(f"_i{c}") * side - 1.0
+        high = low + side
+        at = F.col(f"_{c}")
+        near = near + F.pow(F.greatest(low - at, at - high, F.lit(0.0)), 2)
+        far = far + F.pow(F.greatest(F.abs(at - low), F.abs(at - high)), 2)
+    return {"_near": near, "_far": far}
 
 
 def k_nearest(
@@ -33,82 +81,97 @@ def k_nearest(
 ) -> DataFrame:
     """The ``k`` nearest right points of every left point, exactly.
 
-    Returns ``(left_id, right_id, dist_mi, rank)``; equal distances go to the
-    lower right id. Ids have different names. Every distinct left place picks
-    the finest grid level at which its own and the eight neighbouring cells hold
-    ``k`` points, which bounds the ``k``-th distance; only the cells within that
-    bound are joined. On the coarsest level one cell is the whole globe.
-    """
-    level = F.col("_level")
-    levels = F.explode(F.array(*[F.lit(v) for v in LEVELS]))
+    Returns ``(left_id, right_id, dist_mi, rank)``; equal distances go to the lower right id;
+    a null coordinate is near nothing. Ids have different names.
 
+    The right points are counted in an occupancy tree over the unit sphere, and each is
+    stored under one leaf, which holds at most ``LEAF`` of them (on the finest level: those
+    of one cell). Every distinct left place goes down the tree: the
+    cells in sight, by greatest distance, hold ``k`` points from some distance on, and
+    cells wholly beyond that are dropped before the others are divided. Only the points
+    of the leaves left at the end are measured.
+    """
     # At one place only the k lowest ids can be among the k nearest.
     spots = top_k_per_group(
-        right.select(right_id, lat, lon), [lat, lon], [F.col(right_id)], k, "_r"
-    ).drop("_r")
-    places = left.select(lat, lon).dropna().distinct()
-
-    grid = spots.select(lat, lon, levels.alias("_level")).select(
-        "_level", _wrap(_cell(F.col(lon), 180.0, level), level).alias("_x"),
-        _cell(F.col(lat), 90.0, level).alias("_y"),
-    ).groupBy("_level", "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
-    step = F.array(*[F.lit(v) for v in (-1, 0, 1)])
-    around = places.select(lat, lon, levels.alias("_level")).select(
-        lat, lon, "_level",
-        F.explode(F.array_distinct(F.transform(
-            step, lambda d: _wrap(_cell(F.col(lon), 180.0, level) + d, level)))).alias("_x"),
-        (_cell(F.col(lat), 90.0, level)).alias("_y0"),
-    ).select(lat, lon, "_level", "_x", F.explode(F.transform(step, lambda d: F.col("_y0") + d)).alias("_y"))
-    enough = split_join(around, grid, ["_level", "_x", "_y"], "inner").groupBy(
-        lat, lon, "_level"
-    ).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k)
-    picked = enough.groupBy(lat, lon).agg(F.max("_level").alias("_level"))
-    # A place that no level satisfies (fewer than k points at all) takes level 0.
-    picked = places.join(picked, [lat, lon], "left").fillna(0, ["_level"])
-
-    # Two cells each way is the farthest point of the 3 x 3 block.
-    side = F.lit(360.0) / F.pow(F.lit(2.0), level)
-    reach = F.least(side * 2.0 * 1.4143, F.lit(180.0))
-    wide = F.degrees(F.asin(F.sin(F.radians(reach)) / F.cos(F.radians(F.col(lat)))))
-    polar = (F.abs(F.col(lat)) + reach >= 90.0) | (reach >= 90.0)
-    half = F.when(polar, F.lit(180.0)).otherwise(wide + 1e-9)
-    cells = F.pow(F.lit(2.0), level).cast("bigint")
-    x_lo, x_hi = _cell(F.col(lon) - half, 180.0, level), _cell(F.col(lon) + half, 180.0, level)
-    xs = F.when(x_hi - x_lo + 1 >= cells, F.sequence(F.lit(0).cast("bigint"), cells - 1)).otherwise(
-        F.transform(F.sequence(x_lo, x_hi), lambda v: _wrap(v, level))
-    )
-    y_lo = _cell(F.greatest(F.col(lat) - reach, F.lit(-90.0)), 90.0, level)
-    y_hi = _cell(F.least(F.col(lat) + reach, F.lit(90.0)), 90.0, level)
-    wanted = picked.select(lat, lon, "_level", F.explode(xs).alias("_x"), y_lo.alias("_a"), y_hi.alias("_b"))
-    wanted = wanted.select(lat, lon, "_level", "_x", F.explode(F.sequence("_a", "_b")).alias("_y"))
-    candidates = spots.select(
-        right_id, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), levels.alias("_level")
-    ).select(
-        right_id, "_lat", "_lon", "_level",
-        _wrap(_cell(F.col("_lon"), 180.0, level), level).alias("_x"),
-        _cell(F.col("_lat"), 90.0, level).alias("_y"),
-    )
-    near = split_join(wanted, candidates, ["_level", "_x", "_y"], "inner").withColumn(
+        right.select(right_id, lat, lon).dropna(), [lat, lon], [F.col(right_id)], k, "_r"
+    ).drop("_r").select(right_id, lat, lon, *_sphere(lat, lon)).select(
+        right_id, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), *_index(FINEST))
+    cells = spots.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"))
+    tree = written(occupancy_tree(cells))
+    depth = tree.agg(F.max("_level")).first()[0]
+    places = left.select(lat, lon).dropna().distinct().select(lat, lon, *_sphere(lat, lon))
+    if depth is None:
+        return left.select(left_id).join(right.select(right_id), F.lit(False)).select(
+            left_id, right_id, F.lit(0.0).alias("dist_mi"), F.lit(1).alias("rank"))
+
+    by_place = Window.partitionBy(lat, lon).orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(lat, lon)
+    here = [lat, lon, *[f"_{c}" for c in AXES]]
+    node = F.struct("_level", *CELL, "_n", "_leaf").alias("_next")
+    seen = with_scalars(places, tree.where("_level = 0").select("_level", *CELL, "_n", "_leaf"))
+    for level in range(STEP, depth + 1, STEP):
+        above = [F.lit(level - STEP).alias("_level"), *[F.col(f"_p{c}").alias(c) for c in CELL]]
+        below = tree.where(F.col("_level") == level).select(*above, node)
+        below = below.unionByName(tree.where(F.col("_leaf") & (F.col("_level") < level)).select("_level", *CELL, node))  # a leaf stays itself
+        seen = seen.select(*here, "_level", *CELL).join(below, ["_level", *CELL]).select(*here, "_next.*").withColumns(_chord_bounds())
+        seen = seen.withColumn("_cum", F.sum("_n").over(by_place))
+        seen = seen.withColumn("_reach", F.min(F.when(F.col("_cum") >= k, F.col("_far"))).over(whole))
+        seen = seen.where(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") + LOOSE))
+
+    leaves = tree.where("_leaf").select("_level", *CELL)
+    ups = F.explode(F.sequence(F.lit(0), F.lit(FINEST), F.lit(STEP)))
+    homes = cells.select(*[F.col(c).alias(f"_f{c}") for c in CELL], *CELL, ups.alias("_up")).select(
+        *[f"_f{c}" for c in CELL], (F.lit(FINEST) - F.col("_up")).alias("_level"), *_above("_up")).join(leaves, ["_level", *CELL])
+    stored = spots.select(right_id, "_lat", "_lon", *[F.col(c).alias(f"_f{c}") for c in CELL]).join(
+        homes, [f"_f{c}" for c in CELL]).select("_level", *CELL, right_id, "_lat", "_lon")
+    near = seen.select(lat, lon, "_level", *CELL).join(stored, ["_level", *CELL]).withColumn(
         "dist_mi", haversine(F.col(lat), F.col(lon), F.col("_lat"), F.col("_lon"))
     )
     best = top_k_per_group(near, [lat, lon], [F.col("dist_mi"), F.col(right_id)], k)
-    return split_join(
-        left.select(left_id, lat, lon), best.select(lat, lon, right_id, "dist_mi", "rank"),
-        [lat, lon], "inner",
+    return left.select(left_id, lat, lon).join(
+        best.select(lat, lon, right_id, "dist_mi", "rank"), [lat, lon]
     ).select(left_id, right_id, "dist_mi", "rank")
 
 
-def ring_edges(rings: DataFrame, poly: str, seq: str = "seq", x: str = "x", y: str = "y") -> DataFrame:
-    """Edges of closed rings given as vertices numbered 1..n in order."""
-    nxt = rings.select(poly, (F.col(seq) - 1).alias(seq), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    starts = rings.where(F.col(seq) == 1).select(poly, F.col(x).alias("_x0"), F.col(y).alias("_y0"))
-    return (
-        rings.join(nxt, [poly, seq], "left").join(starts, poly)
-        .select(
-            poly, F.col(x).alias("x1"), F.col(y).alias("y1"),
-            F.coalesce("x2", "_x0").alias("x2"), F.coalesce("y2", "_y0").alias("y2"),
-        )
-    )
+def ring_edges(rings: DataFrame, poly: str, ring: str = "ring", seq: str = "seq", x: str = "x", y: str = "y") -> DataFrame:
+    """Edges (poly, x1, y1, x2, y2) of closed rings whose vertices ascend by ``seq``, from any number and with gaps.
+
+    Each ring closes on itself; a table without the column ``ring`` has one ring per polygon.
+    """
+    of = [poly, ring] if ring in rings.columns else [poly]
+    order = Window.partitionBy(*of).orderBy(seq)
+    first = Window.partitionBy(*of).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(first))
+    return rings.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        poly, F.col(x).alias("x1"), F.col(y).alias("y1"), after(x).alias("x2"), after(y).alias("y2"))
+
+
+def polygon_tiles(edges: DataFrame, poly: str, cell: float) -> DataFrame:
+    """(poly, _tile, _band, _border): the grid tiles that a polygon touches.
+
+    A border tile meets an edge. The other tiles are wholly inside or outside: the edges cut
+    the middle line of each band in pairs of crossings, over all rings, and a tile whose
+    middle lies between the two of a pair is inside. Tiles outside are left out.
+    """
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    margin = cell * 1e-6
+    banded = edges.withColumn("_band", F.explode(F.sequence(F.floor((low - margin) / cell), F.floor((high + margin) / cell))))
+    slope = (F.col("x2") - F.col("x1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1"))
+    at = lambda y: F.coalesce(F.col("x1") + (F.least(F.greatest(y, low), high) - F.col("y1")) * slope, F.col("x1"))
+    ends = [at(F.col("_band") * cell - margin), at((F.col("_band") + 1) * cell + margin)]
+    flat = F.col("y1") == F.col("y2")
+    x_low = F.when(flat, F.least("x1", "x2")).otherwise(F.least(*ends)) - margin
+    x_high = F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(*ends)) + margin
+    border = banded.select(poly, "_band", F.explode(F.sequence(F.floor(x_low / cell), F.floor(x_high / cell))).alias("_tile")).distinct()
+    middle = (F.col("_band") + 0.5) * cell
+    crossing = banded.where((F.col("y1") > middle) != (F.col("y2") > middle)).select(
+        poly, "_band", (F.col("x1") + (middle - F.col("y1")) * slope).alias("_x"))
+    line = Window.partitionBy(poly, "_band").orderBy("_x")
+    pairs = crossing.select(poly, "_band", "_x", F.lead("_x").over(line).alias("_to"), F.row_number().over(line).alias("_no")).where("_no % 2 = 1")
+    first, last = F.ceil(F.col("_x") / cell - 0.5), F.floor(F.col("_to") / cell - 0.5)
+    inside = pairs.where(first <= last).select(poly, "_band", F.explode(F.sequence(first, last)).alias("_tile"))
+    return border.withColumn("_border", F.lit(True)).unionByName(
+        inside.join(border, [poly, "_band", "_tile"], "left_anti").withColumn("_border", F.lit(False)))
 
 
 def points_in_polygons(
@@ -117,30 +180,23 @@ def points_in_polygons(
 ) -> DataFrame:
     """(point_id, poly) for every polygon that contains the point, border included.
 
-    Ray casting: distinct places meet the polygons through grid cells of the
-    bounding boxes, then only the edges of the same horizontal band.
+    A polygon has any number of rings (column ``ring``): a point is inside if a ray from it
+    crosses an odd number of edges of all rings together, so islands belong to it and
+    holes do not. Distinct places meet the tiles of the polygons; those in a tile wholly
+    inside are settled, and only those in border tiles meet the edges of their band.
     """
     edges = ring_edges(rings, poly)
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     bands = edges.withColumn(
         "_band", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
     )
-    boxes = rings.groupBy(poly).agg(
-        F.min("x").alias("_x1"), F.max("x").alias("_x2"), F.min("y").alias("_y1"), F.max("y").alias("_y2")
-    )
-    tiles = boxes.withColumn(
-        "_tile", F.explode(F.sequence(F.floor(F.col("_x1") / cell), F.floor(F.col("_x2") / cell)))
-    ).withColumn(
-        "_band", F.explode(F.sequence(F.floor(F.col("_y1") / cell), F.floor(F.col("_y2") / cell)))
-    )
+    tiles = polygon_tiles(edges, poly, cell)
     places = points.select(x, y).dropna().distinct().withColumns(
         {"_tile": F.floor(F.col(x) / cell), "_band": F.floor(F.col(y) / cell)}
     )
     px, py = F.col(x), F.col(y)
-    near = split_join(places, tiles, ["_tile", "_band"], "inner").where(
-        px.between(F.col("_x1"), F.col("_x2")) & py.between(F.col("_y1"), F.col("_y2"))
-    ).select(x, y, poly, "_band")
-    tested = split_join(near, bands, [poly, "_band"], "inner")
+    met = places.join(tiles, ["_tile", "_band"])
+    tested = met.where("_border").select(x, y, poly, "_band").join(bands, [poly, "_band"])
     cross = (F.col("x2") - F.col("x1")) * (py - F.col("y1")) - (F.col("y2") - F.col("y1")) * (px - F.col("x1"))
     on_edge = (
         (cross == 0)
@@ -151,9 +207,8 @@ def points_in_polygons(
     right_of = px < F.col("x1") + (py - F.col("y1")) * F.try_divide(
         F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     )
-    inside = tested.groupBy(x, y, poly).agg(
+    by_edges = tested.groupBy(x, y, poly).agg(
         (F.count_if(spans & right_of) % 2 == 1).alias("_odd"), F.max(on_edge).alias("_edge")
     ).where(F.col("_odd") | F.col("_edge"))
-    return split_join(points.select(point_id, x, y), inside.select(x, y, poly), [x, y], "inner").select(
-        point_id, poly
-    )
+    inside = met.where(~F.col("_border")).select(x, y, poly).unionByName(by_edges.select(x, y, poly))
+    return points.select(point_id, x, y).join(inside, [x, y]).select(point_id, poly)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyledger.operators.skew import attach_totals, with_scalars
 from skyledger.session import shuffle_width
 
-CUTS = 64  # fewest cut points of an order
-SAMPLE = 16  # sampled values for each cut point
-STEP = 64
+CUTS = 64  # fewest splitters of an order
+SAMPLE = 16  # sampled rows for each splitter
 
 
 def _sort(name: str, ascending: bool = True) -> Column:
@@ -55,56 +54,47 @@ def with_cuts(df: DataFrame, cuts: int = CUTS, **values: Column) -> DataFrame:
     return with_scalars(df, df.agg(*[c.alias(n) for n, c in points.items()]))
 
 
-def typed_cuts(df: DataFrame, name: str, order: Sequence[str], cuts: int) -> DataFrame:
-    """One row, one column ``cuts``: ascending values of the column's own type.
-
-    Numbers use approximate percentiles. Other types use the values of the
-    ``cuts * SAMPLE`` rows with the smallest hash of the ordering columns. The
-    points steer the layout only; rows are compared with them exactly.
-    """
-    if isinstance(df.schema[name].dataType, T.NumericType):
-        grid = [i / (cuts + 1) for i in range(1, cuts + 1)]
-        points = F.sort_array(F.array_distinct(F.percentile_approx(name, grid, 10_000)))
-        return df.agg(F.coalesce(points, F.array(F.lit(None).cast(df.schema[name].dataType))).alias("cuts"))
-    few = df.where(F.col(name).isNotNull()).select(name, F.xxhash64(*order).alias("_h")).orderBy("_h").limit(cuts * SAMPLE)
-    every = F.filter(F.sort_array(F.collect_list(name)), lambda _, i: i % SAMPLE == SAMPLE - 1)
-    return few.agg(F.array_distinct(every).alias("cuts"))
+def before(a: Callable[[str], Column], b: Callable[[str], Column], order: Sequence[tuple[str, bool]]) -> Column:
+    """Whether row ``a`` stands before row ``b`` in a mixed order, nulls last in both directions."""
+    (name, up), rest = order[0], order[1:]
+    x, y = a(name), b(name)
+    less = F.coalesce(x < y if up else x > y, x.isNotNull() & y.isNull())
+    return less | (x.eqNullSafe(y) & before(a, b, rest)) if rest else less
 
 
-def slice_index(cuts: str, value: Column) -> Column:
-    """Slice number of a value: odd where it equals a cut point, else even.
+def splitters(df: DataFrame, order: Sequence[tuple[str, bool]], cuts: int) -> DataFrame:
+    """One row, one column ``_cuts``: ascending rows of the order that cut the table into even slices.
 
-    Looked up in two levels: every ``STEP``-th point, then the points after it.
+    They are taken from the ``cuts * SAMPLE`` rows with the smallest hash of all columns of
+    the order, so a key with many rows gets many of them, however narrow its range of
+    values. They steer the layout only; rows are compared with them exactly.
     """
-    heads = F.filter(cuts, lambda _, i: i % STEP == 0)
-    block = F.greatest(F.size(F.filter(heads, lambda p: p < value)) - 1, F.lit(0))
-    below = block * STEP + F.size(F.filter(F.slice(cuts, block * STEP + 1, STEP), lambda p: p < value))
-    equal = F.coalesce(F.get(cuts, below) == value, F.lit(False))
-    return F.when(value.isNotNull(), below * 2 + equal.cast("int"))
+    names = [c for c, _ in order]
+    few = df.select(*names, F.xxhash64(*names).alias("_h")).orderBy("_h").limit(cuts * SAMPLE)
+    place = Window.orderBy(*[_sort(c, up) for c, up in order])  # over the sample only
+    picked = few.withColumn("_i", F.row_number().over(place)).where(F.col("_i") % SAMPLE == 0)
+    return picked.agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", F.struct(*names).alias("_row")))), lambda e: e["_row"]).alias("_cuts"))
 
 
 def with_slices(df: DataFrame, order: Sequence[tuple[str, bool]]) -> DataFrame:
-    """Add ``_s1``/``_s2``, slice numbers that ascend with the sort order.
+    """Add ``_slice``, the number of splitters at or before a row: it ascends with the order.
 
-    A value frequent enough to be a cut point has a slice of its own; such a
-    slice is cut again by the second ordering column. There are at least as many
-    cuts as shuffle partitions.
+    Found by halving in about ``log2`` of the number of splitters, of which there
+    are as many as shuffle partitions and at least ``CUTS``.
     """
     cuts = max(CUTS, shuffle_width(df.sparkSession))
-    names = [c for c, _ in order]
-    for i, c in enumerate(names[:2]):
-        df = with_scalars(df, typed_cuts(df, c, names, cuts).withColumnRenamed("cuts", f"_c{i}"))
+    steps = F.sequence(F.lit(1), F.lit(cuts.bit_length()))
+    row = lambda name: F.col(name)
 
-    def slot(i: int) -> Column:
-        raw = slice_index(f"_c{i}", F.col(names[i]))
-        return F.coalesce(raw if order[i][1] else 4 * cuts - raw, F.lit(4 * cuts + 1))
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.shiftright(span["low"] + span["high"], 1)
+        after = before(row, lambda name: F.get("_cuts", middle)[name], order)
+        ended = span["low"] >= span["high"]
+        return F.struct(F.when(ended | after, span["low"]).otherwise(middle + 1).alias("low"), F.when(after & ~ended, middle).otherwise(span["high"]).alias("high"))
 
-    first = slot(0)
-    if len(names) == 1:
-        return df.withColumns({"_s1": first, "_s2": F.lit(0)}).drop("_c0")
-    own = slice_index("_c0", F.col(names[0])) % 2 == 1
-    inner = F.when(own, slot(1)).otherwise(F.lit(0))
-    return df.withColumns({"_s1": first, "_s2": inner}).drop("_c0", "_c1")
+    start = F.struct(F.lit(0).alias("low"), F.size("_cuts").alias("high"))
+    found = F.aggregate(steps, start, halve, lambda span: span["low"])
+    return with_scalars(df, splitters(df, order, cuts)).withColumn("_slice", found).drop("_cuts")
 
 
 def numbered(
@@ -115,29 +105,28 @@ def numbered(
 ) -> DataFrame:
     """Row number per key in a total order, without one task per key.
 
-    Rows are numbered inside slices of the order; the number of rows in the
-    earlier slices of the key is added. The slice table has a fixed largest size
-    per key, so its running sum is small work even for the hottest key.
+    The table is cut into slices of the order (keys, then ``order``); a hot key covers
+    many of them. Rows are numbered inside their slice, and where a key goes on from the slice
+    before, the number of its rows in earlier slices is added. Only the first key
+    of a slice can go on, so the table of these numbers has at most two rows for each slice.
     """
     keys = list(keys)
-    sliced = with_slices(df, order)
-    slots = [*keys, "_s1", "_s2"]
-    sizes = sliced.groupBy(*slots).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_s1", "_s2").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = sizes.select(
-        *slots, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(*slots).orderBy(*[_sort(c, up) for c, up in order])
+    whole = [*[(k, True) for k in keys], *order]
+    sliced = with_slices(df, whole)
+    sizes = sliced.groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    # the first and the last key of each slice; a key between them lies in this slice only
+    entry = F.struct(*[c for k in keys for c in (F.col(k).isNull().alias(f"_no_{k}"), F.col(k))], F.col("_n"))
+    edge = sizes.groupBy("_slice").agg(F.array_distinct(F.array(F.min(entry), F.max(entry))).alias("_ends")).select("_slice", F.inline("_ends"))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = edge.withColumn("_before", F.sum("_n").over(earlier)).where("_before IS NOT NULL").select("_slice", *keys, "_before")
+    inside = Window.partitionBy("_slice", *keys).orderBy(*[_sort(c, up) for c, up in order])
     left = sliced.withColumn("_inside", F.row_number().over(inside)).alias("l")
-    right = offsets.alias("r")
-    same = F.lit(True)
-    for c in slots:
+    same = F.col("l._slice") == F.col("r._slice")
+    for c in keys:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    return left.join(right, same, "left").select(
+    return left.join(F.broadcast(offsets).alias("r"), same, "left").select(
         *[F.col(f"l.{c}") for c in df.columns],
-        (F.col("l._inside") + F.col("r._before")).cast("bigint").alias(name),
+        (F.col("l._inside") + F.coalesce("r._before", F.lit(0))).cast("bigint").alias(name),
     )
 
 

@@ -98,11 +98,27 @@ def test_row_numbers_beyond_double_precision(spark):
 def test_strings_of_one_prefix_have_many_slices(spark):
     df = spark.range(20_000).select(F.concat(F.lit("frame Brand#"), "id").alias("s"))
     sliced = ranking.with_slices(df, [("s", True)])
-    assert sliced.groupBy("_s1", "_s2").count().agg(F.max("count")).first()[0] < 2000
+    assert sliced.groupBy("_slice").count().agg(F.max("count")).first()[0] < 2000
     out = {r.s: r.n for r in ranking.numbered(df, [], [("s", False)], "n").collect()}
     assert all(out[s] == n for n, s in enumerate(sorted(out, reverse=True), 1))
 
 
+def test_hot_key_of_a_narrow_range_has_many_slices(spark):
+    """Most rows are of one key whose values lie between those of two other rows."""
+    hot = spark.range(30_000).select(F.lit("hot").alias("k"), (F.lit(500.0) + F.col("id") / 1e6).alias("v"), "id")
+    rest = spark.range(3000).select(F.when(F.col("id") % 50 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"), F.col("id").cast("double").alias("v"), F.col("id") + 10**6)
+    df = hot.unionAll(rest)
+    order = [("k", True), ("v", False), ("id", True)]
+    sizes = [r["count"] for r in ranking.with_slices(df, order).groupBy("_slice").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 4 * 33_000 / 64
+    out = {r.id: r.n for r in ranking.numbered(df, ["k"], order[1:], "n").collect()}
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.k, []).append((-r.v, r.id))
+    for rows in groups.values():
+        assert [out[i] for _, i in sorted(rows)] == list(range(1, len(rows) + 1))
+
+
 def test_long_title(spark):
     df = spark.createDataFrame([("A" * 20_001 + " bC",)], "n string")
     assert df.select(text.title("n")).first()[0] == "A" + "a" * 20_000 + " Bc"
@@ -219,6 +235,68 @@ def test_point_in_polygon_border(spark):
     assert {r.id for r in hits.collect()} == {"in", "edge", "corner", "top"}
 
 
+def plain_inside(x, y, rings):
+    """Even-odd over all rings; a point on an edge is inside."""
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return True
+            if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * ((x2 - x1) / (y2 - y1)):
+                odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("cell", [0.3, 1.0, 7.0])
+def test_polygons_of_several_rings(spark, cell):
+    """Holes, an island in a hole, a second outline, and vertex numbers that begin anywhere."""
+    rng = random.Random(int(cell * 10))
+    square = lambda x, y, d: [(x, y), (x + d, y), (x + d, y + d), (x, y + d)]
+    wild = [(20 + r * math.cos(a / 20 * math.pi), 5 + r * math.sin(a / 20 * math.pi)) for a in range(40) for r in [rng.uniform(1, 6)]]
+    polygons = {1: [square(0, 0, 10), square(2, 2, 6), square(4, 4, 2)], 2: [square(-9, -9, 3), square(-3, -9, 2)], 3: [wild], 4: [square(3, 3, 4)]}
+    rows = [(p, r, 7 + 3 * i, float(x), float(y)) for p, rings in polygons.items() for r, ring in enumerate(rings) for i, (x, y) in enumerate(ring)]
+    points = [(i, rng.uniform(-12, 28), rng.uniform(-12, 14)) for i in range(600)] + [(1000 + 30 * x + y, float(x), float(y)) for x in range(-10, 12) for y in range(-10, 12)]
+    points += [(5000, None, 1.0), (5001, 3.0, None)]
+    hits = geo.points_in_polygons(
+        spark.createDataFrame(points, "id int, lon double, lat double"), spark.createDataFrame(rows, "poly int, ring int, seq int, x double, y double"), "id", "poly", cell=cell)
+    got = sorted((r.id, r.poly) for r in hits.collect())
+    assert got == sorted((i, p) for i, x, y in points if x is not None and y is not None for p, rings in polygons.items() if plain_inside(x, y, rings))
+
+
+def test_only_border_tiles_meet_edges(spark):
+    ring = [(1, 1, 0.0, 0.0), (1, 2, 40.0, 1.0), (1, 3, 39.0, 40.0), (1, 4, 0.5, 38.0)]
+    tiles = geo.polygon_tiles(geo.ring_edges(spark.createDataFrame(ring, "poly int, seq int, x double, y double"), "poly"), "poly", 1.0)
+    found = {r._border: r.n for r in tiles.groupBy("_border").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert found[False] > 1200 and found[True] < 250
+
+
+def test_right_points_are_stored_once(spark):
+    """A dense town, a line of places and lone ones: every point lies in one leaf, and no leaf is crowded."""
+    rng = random.Random(2)
+    right = [(f"t{i}", 40 + rng.uniform(0, 0.05), 20 + rng.uniform(0, 0.05)) for i in range(3000)]
+    right += [(f"l{i}", -60 + i / 50, 179.99) for i in range(500)] + [(f"s{i}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(40)] + [(f"d{i}", 10.0, 10.0) for i in range(300)]
+    places = spark.createDataFrame(right, "r string, lat double, lon double").select("r", "lat", "lon", *geo._sphere("lat", "lon"))
+    cells = places.select(*geo._index(geo.FINEST)).groupBy(*geo.CELL).agg(F.count(F.lit(1)).alias("_n"))
+    leaves = geo.occupancy_tree(cells).where("_leaf").collect()
+    assert sum(r._n for r in leaves) == len(right)
+    assert all(r._n <= geo.LEAF or r._level == geo.FINEST for r in leaves)
+    left = [(f"p{i}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(30)] + [("town", 40.02, 20.02), ("line", -55.0, -179.99), ("pole", 90.0, 0.0), ("same", 10.0, 10.0)]
+    found = geo.k_nearest(spark.createDataFrame(left, "l string, lat double, lon double"), spark.createDataFrame(right, "r string, lat double, lon double"), "l", "r", 4)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.l, []).append((r.rank, r.r, r.dist_mi))
+
+    def dist(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * geo.EARTH_MILES * math.asin(math.sqrt(min(1, h)))
+
+    for a in left:
+        want = sorted((dist(a, b), b[0]) for b in right)[:4]
+        assert [round(d, 6) for _, _, d in sorted(got[a[0]])] == [round(d, 6) for d, _ in want]
+    assert [r for _, r, _ in sorted(got["same"])] == sorted(r for r, _, _ in right if r[0] == "d")[:4]
+
+
 def test_null_safe_join_and_second_chance(spark):
     a = spark.createDataFrame([(None, 1), ("x", 2)], "k string, a int")
     b = spark.createDataFrame([(None, 3), ("y", 4)], "k string, b int")

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from skyledger.functions.numbers import ratio
 from skyledger.operators import donors, geo, joins, measures, ranking, reshape
 from skyledger.operators.skew import with_scalars
-from skyledger.session import settle
 import workload.roles  # noqa: F401
 from workload.registry import query
 
@@ -403,7 +402,7 @@ SELECT l_suppkey, l_partkey, op_type, ltos, CAST(ceil(row_number() OVER (PARTITI
 def _(t):
     units = measures.group_sums(t.lineitem, ["l_suppkey", "l_partkey"], ops="l_quantity")
     moves = units.select("l_suppkey", "l_partkey", F.bround(F.col("ops") / 2, 0).alias("ltos"), F.explode(F.array(F.lit("A"), F.lit("D"))).alias("op_type"))
-    return ranking.pair_ids(settle(moves), ["l_suppkey"], [("ltos", False), ("l_partkey", True), ("op_type", True)])
+    return ranking.pair_ids(moves, ["l_suppkey"], [("ltos", False), ("l_partkey", True), ("op_type", True)])
 
 
 @query("base_year_factor", """
@@ -579,9 +578,8 @@ def _(t):
     return geo.k_nearest(t.points, t.sites, "facility_id", "match_id", 3).withColumn("dist_mi", F.round("dist_mi", 4))
 
 
-POLYGON_SQL = """WITH e AS (SELECT a.poly_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM {rings} a
-  JOIN (SELECT poly_id, max(seq) AS n FROM {rings} GROUP BY 1) m USING (poly_id)
-  JOIN {rings} b ON a.poly_id = b.poly_id AND b.seq = a.seq % m.n + 1),
+POLYGON_SQL = """WITH v AS (SELECT *, row_number() OVER r AS i, count(*) OVER (PARTITION BY poly_id, ring) AS n FROM {rings} WINDOW r AS (PARTITION BY poly_id, ring ORDER BY seq)),
+e AS (SELECT a.poly_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON a.poly_id = b.poly_id AND a.ring = b.ring AND b.i = a.i % a.n + 1),
 hits AS (SELECT facility_id, poly_id FROM {points}, e GROUP BY facility_id, poly_id
   HAVING sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * ((x2 - x1) / nullif(y2 - y1, 0)) THEN 1 ELSE 0 END) % 2 = 1
   OR max(CASE WHEN (x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1) = 0 AND lon BETWEEN least(x1, x2) AND greatest(x1, x2)

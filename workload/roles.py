@@ -169,15 +169,22 @@ SELECT 'g' || CAST(s_suppkey AS STRING) AS match_id,
   CAST(s_suppkey * 6101 % 36000 AS DOUBLE) / 100 - 180 AS lon, CAST(s_suppkey * 15013 % 17000 AS DOUBLE) / 100 - 85 AS lat
 FROM {supplier}""")
 
-# A triangle or quadrilateral per nation, vertices numbered in order.
+# Rings of each nation, vertices numbered in order: a triangle or quadrilateral, a hole in it for every
+# second nation (numbered from 5 in steps of 2) and an island for every third.
 role("corners", """
-SELECT n_nationkey AS poly_id, 1 AS seq, n_nationkey * 14.0 - 180.0 AS x, -60.0 AS y FROM {nation} UNION ALL
-SELECT n_nationkey, 2, n_nationkey * 14.0 - 168.0, -50.0 + n_nationkey FROM {nation} UNION ALL
-SELECT n_nationkey, 3, n_nationkey * 14.0 - 174.0, 40.0 + n_nationkey FROM {nation} UNION ALL
-SELECT n_nationkey, 4, n_nationkey * 14.0 - 181.0, 10.0 FROM {nation} WHERE n_regionkey > 1""")
+SELECT n_nationkey AS poly_id, 1 AS ring, 1 AS seq, n_nationkey * 14.0 - 180.0 AS x, -60.0 AS y FROM {nation} UNION ALL
+SELECT n_nationkey, 1, 2, n_nationkey * 14.0 - 168.0, -50.0 + n_nationkey FROM {nation} UNION ALL
+SELECT n_nationkey, 1, 3, n_nationkey * 14.0 - 174.0, 40.0 + n_nationkey FROM {nation} UNION ALL
+SELECT n_nationkey, 1, 4, n_nationkey * 14.0 - 181.0, 10.0 FROM {nation} WHERE n_regionkey > 1 UNION ALL
+SELECT n_nationkey, 2, 5, n_nationkey * 14.0 - 175.0, -25.0 FROM {nation} WHERE n_nationkey % 2 = 0 UNION ALL
+SELECT n_nationkey, 2, 7, n_nationkey * 14.0 - 171.5, -22.0 FROM {nation} WHERE n_nationkey % 2 = 0 UNION ALL
+SELECT n_nationkey, 2, 9, n_nationkey * 14.0 - 174.0, 5.0 FROM {nation} WHERE n_nationkey % 2 = 0 UNION ALL
+SELECT n_nationkey, 3, 1, n_nationkey * 14.0 - 180.0, 68.0 FROM {nation} WHERE n_nationkey % 3 = 0 UNION ALL
+SELECT n_nationkey, 3, 2, n_nationkey * 14.0 - 170.0, 70.0 FROM {nation} WHERE n_nationkey % 3 = 0 UNION ALL
+SELECT n_nationkey, 3, 3, n_nationkey * 14.0 - 171.0, 84.0 FROM {nation} WHERE n_nationkey % 3 = 0""")
 
 role("rings", """
-SELECT CAST(poly_id AS INT) AS poly_id, seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {corners}""")
+SELECT CAST(poly_id AS INT) AS poly_id, ring, seq, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM {corners}""")
 
 # Fleet of a facility: shares of each part type, brand and size in its quantity.
 role("fleet_counts", """
