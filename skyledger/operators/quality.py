@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,6 +20,19 @@ def _result(bad: DataFrame, name: str) -> DataFrame:
     )
 
 
+def row_checks(df: DataFrame, rows: Mapping[str, Column], values: Mapping[str, tuple[str, int]] | None = None) -> DataFrame:
+    """Several checks of one table in one scan, a row each.
+
+    ``rows``: tests that hold on every row, null being a violation. ``values``: a column and the
+    number of distinct values it has to have; the violations are the difference.
+    """
+    values = values or {}
+    counts = [F.count_if(~F.coalesce(test, F.lit(False))) for test in rows.values()]
+    counts += [F.abs(F.count_distinct(F.col(c)) - n) for c, n in values.values()]
+    found = df.agg(F.array(*[F.struct(F.lit(name).alias("check"), n.cast("bigint").alias("violations")) for name, n in zip([*rows, *values], counts)]).alias("_c"))
+    return found.select(F.inline("_c")).select("check", (F.col("violations") == 0).alias("passed"), "violations")
+
+
 def sums_to_one(df: DataFrame, keys: Sequence[str], share: str, name: str) -> DataFrame:
     sums = df.groupBy(*keys).agg(F.sum(share).alias("s"))
     return _result(sums.where(~close_to("s", F.lit(1.0))), name)

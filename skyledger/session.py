@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,21 +33,32 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table that several later steps read to the checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named in ``spark.checkpoint.dir``.
 
-    Later steps then read the written rows instead of repeating the work, also
-    after an executor is lost. The folder is the one the cluster names in
-    ``spark.checkpoint.dir``; only a local session without one gets a folder of
-    its own. On a cluster that names none the table is left as it is.
+    Only a local session that names none gets one of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="skyledger-")
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("the cluster names no shared folder in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="skyledger-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return folder.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write a table that several later steps read to the shared folder and read it back.
+
+    Later steps then read the written columns that they use instead of repeating the
+    work, also after an executor is lost, and Spark knows the table's size.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

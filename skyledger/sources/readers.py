@@ -24,6 +24,44 @@ def read_delimited(
     )
 
 
+FORMAT = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+CORRUPT = "_corrupt_line"
+
+
+def parse_lines(
+    lines: DataFrame, line: str, schema: T.StructType | str, sep: str = ","
+) -> tuple[DataFrame, DataFrame]:
+    """Delimited text in a column: typed rows, and apart from them the rows that do not fit.
+
+    Both keep the other columns of ``lines``; a parsed column takes the place of one of its
+    name. The rows that do not fit keep their line and get a ``reason``: ``no line``, ``number of fields``,
+    or the columns whose text is not of their type, in the schema's order.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    ddl = lambda fields: ", ".join(f"`{f}` {t}" for f, t in [*fields, (CORRUPT, "string")])
+    options = {**FORMAT, "sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    typed = F.from_csv(line, ddl([(f.name, f.dataType.simpleString()) for f in schema]), options)
+    plain = F.from_csv(line, ddl([(f.name, "string") for f in schema]), options)
+    parsed = lines.withColumns({"_typed": typed, "_plain": plain})
+    blank = F.coalesce(F.trim(line) == "", F.lit(True))
+    fits = ~blank & F.col(f"_typed.{CORRUPT}").isNull()
+    others = [c for c in lines.columns if c != line and c not in schema.names]
+    good = parsed.where(fits).select(*others, *[F.col(f"_typed.`{f.name}`").alias(f.name) for f in schema])
+    wrong = F.concat_ws(", ", *[
+        F.when(F.col(f"_plain.`{f.name}`").isNotNull() & F.col(f"_typed.`{f.name}`").isNull(), f.name) for f in schema])
+    reason = F.when(blank, "no line").when(F.col(f"_plain.{CORRUPT}").isNotNull(), "number of fields").otherwise(wrong)
+    bad = parsed.where(~fits).select(*others, line, reason.alias("reason"))
+    return good, bad
+
+
+def read_lines(
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str, sep: str = ","
+) -> tuple[DataFrame, DataFrame]:
+    """Delimited files without header: typed rows, and the lines that do not fit with the reason and their file."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file_name"))
+    return parse_lines(lines, "line", schema, sep)
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
     return read_delimited(spark, path, schema, ",")
 
@@ -40,11 +78,6 @@ def read_text_columns(
     return read_delimited(spark, path, schema, sep)
 
 
-def read_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Declare the columns in use; the scan then reads no others."""
-    return df.select(*columns)
-
-
 def with_file_keys(df: DataFrame, patterns: Mapping[str, str], numbers: Sequence[str] = ()) -> DataFrame:
     """Add keys taken from the name of the file a row came from.
 
@@ -83,11 +116,6 @@ def check_schema(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     return df
 
 
-def read_dimension(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A whole reference table from its Parquet snapshot."""
-    return spark.read.parquet(f"{path}/{name}")
-
-
 def read_database(
     spark: SparkSession, url: str, table: str, split_on: str | None = None,
     bounds: tuple[int, int] | None = None, parts: int = 16, **options: str,

@@ -48,6 +48,62 @@ def test_partitioned_write_and_pruned_read(spark, tmp_path):
     assert readers.read_tsv(spark, str(tmp_path / "tsv"), "year int, v double").count() == 3
 
 
+def test_lines_that_do_not_fit(spark):
+    rows = [(1, '5,"a, ""b""",1.5'), (2, "x,b,2"), (3, "6,b"), (4, "6,b,2,3"), (5, None), (6, ""), (7, "7,,"), (8, "y,b,z"), (9, '8,"open,2')]
+    good, bad = readers.parse_lines(spark.createDataFrame(rows, "no int, line string"), "line", "k int, name string, v double")
+    assert sorted(tuple(r) for r in good.collect()) == [(1, 5, 'a, "b"', 1.5), (7, 7, None, None)]
+    reasons = {r.no: r.reason for r in bad.collect()}
+    assert reasons == {2: "k", 3: "number of fields", 4: "number of fields", 5: "no line", 6: "no line", 8: "k, v", 9: "number of fields"}
+    assert {r.no: r.line for r in bad.collect()}[2] == "x,b,2"
+
+
+def test_only_partitions_of_the_dimension_are_read(spark):
+    text = plan(QUERIES["partition_pruning"](spark, DATA))
+    assert "dynamicpruning" in text
+
+
+def files(path):
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_other_groups_keep_their_files(spark, tmp_path):
+    path = str(tmp_path / "groups")
+    df = spark.range(3000).select((F.col("id") % 3).cast("int").alias("g"), "id")
+    writers.write_by_group(df, path, ["g"])
+    before = files(path)
+    for _ in range(2):
+        writers.replace_groups(df.where("g = 1 AND id < 100"), path, ["g"])
+    after = files(path)
+    assert {f for f in before if "g=1" not in f} == {f for f in after if "g=1" not in f}
+    assert not {f for f in before if "g=1" in f} & after
+    back = {r.g: r.n for r in spark.read.parquet(path).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert back == {0: 1000, 1: 33, 2: 1000}
+
+
+def test_hot_group_is_cut_and_keeps_its_keys(spark, tmp_path):
+    path = str(tmp_path / "hot")
+    df = spark.range(0, 400_000, 1, 8).select(F.when(F.col("id") % 20 < 18, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 20)).alias("k"), F.xxhash64("id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "400000")
+    try:
+        writers.write_group_files(df, path, ["k"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    counts = {g: len(files(f"{path}/of_k={g}")) for g in ("hot", "g18", "g19")}
+    assert counts["hot"] > 3 and counts["g18"] <= 2 and counts["g19"] <= 2
+    assert spark.read.parquet(f"{path}/of_k=g18").select("k").distinct().first()[0] == "g18"
+    back = writers.read_group_files(spark, path)
+    assert back.columns == ["k", "v"] and back.exceptAll(df).isEmpty() and df.exceptAll(back).isEmpty()
+    assert "PartitionFilters: [isnotnull(of_k" in plan(writers.read_group_files(spark, path, k="g18"))
+
+
+def test_failed_rows_stop_a_checked_write(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "i int, s string")
+    found = writers.write_checked(df, str(tmp_path / "a"), {"number": F.col("i") > 0})
+    assert found == {"rows": 3, "number": 0}
+    with pytest.raises(ValueError, match="text 2"):
+        writers.write_checked(df, str(tmp_path / "b"), {"number": F.col("i") > 0, "text": F.col("s") != ""})
+
+
 def test_tables_append_and_replace(spark):
     df = spark.createDataFrame([(1, "a")], "i int, s string")
     try:
