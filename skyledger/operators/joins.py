@@ -175,32 +175,45 @@ def resolve_ambiguous(
     )
 
 
+def priority_match(
+    a: DataFrame, b: DataFrame, a_id: str, b_id: str, rules: Mapping[str, tuple[Column, Column]]
+) -> DataFrame:
+    """(a_id, match_id, method) of the rows of ``a`` that match by some rule, by the first rule that they match by.
+
+    ``rules`` maps a method, in order of priority, to the key of ``a`` and the key of ``b``; a null key
+    matches nothing. Every row gives all its keys with the rule's rank. The keys of ``a`` that
+    ``b`` has are reduced to the best of each row before they meet the rows of ``b``,
+    so a match by a later rule is never made and dropped again. Both steps join on the
+    same (rank, key). Ids are unique on each side.
+    """
+    def keyed(side: int) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(i).alias("_rank"), pair[side].cast("string").alias("_key")) for i, pair in enumerate(rules.values())]))
+
+    left = a.select(F.col(a_id), keyed(0).alias("_k")).select(a_id, "_k.*").where(F.col("_key").isNotNull())
+    right = b.select(F.col(b_id).alias("match_id"), keyed(1).alias("_k")).select("match_id", "_k.*").where(F.col("_key").isNotNull())
+    best = left.join(right.select("_rank", "_key"), ["_rank", "_key"], "left_semi").groupBy(a_id).agg(F.min(F.struct("_rank", "_key")).alias("_k"))
+    names = F.array(*[F.lit(n) for n in rules])
+    return best.select(a_id, "_k.*").join(right, ["_rank", "_key"]).select(a_id, "match_id", F.get(names, F.col("_rank")).alias("method"))
+
+
 def cascade_match(
     a: DataFrame, b: DataFrame, id_col: str, name_col: str, value_col: str, group_col: str
 ) -> DataFrame:
     """Match by id; the rest by name; the rest to the nearest value in the group.
 
-    Returns ``(id, match_id, method)``. ``b`` has unique ids; several ``b`` rows
-    of one name are all matches, and one used by an earlier pass is not offered
+    Returns ``(id, match_id, method)``. Both sides have unique ids; several ``b`` rows
+    of one name are all matches, and one used by an earlier rule is not offered
     to the nearest pass.
     """
-    by_id = a.join(b.select(id_col), id_col, "inner").select(
-        F.col(id_col), F.col(id_col).alias("match_id"), F.lit("id").alias("method")
-    )
-    rest = only_left(a, b, [id_col])
-    named = rest.select(id_col, name_col)
-    by_name = split_join(
-        named, b.select(F.col(id_col).alias("match_id"), name_col), [name_col], "inner", a
-    ).select(id_col, "match_id", F.lit("name").alias("method"))
-    by_name = settle(by_name)
-    rest = settle(only_left(rest, by_name, [id_col]))
-    used = by_id.unionByName(by_name).select(F.col("match_id").alias(id_col)).distinct()
+    found = settle(priority_match(a, b, id_col, id_col, {
+        "id": (F.col(id_col), F.col(id_col)), "name": (F.col(name_col), F.col(name_col))}))
+    columns = [id_col, group_col, value_col]
     near = nearest_value(
-        rest.select(id_col, group_col, value_col),
-        only_left(b, used, [id_col]).select(id_col, group_col, value_col),
+        only_left(a, found, [id_col]).select(*columns),
+        only_left(b, found.select(F.col("match_id").alias(id_col)), [id_col]).select(*columns),
         group_col, value_col, id_col, a,
     )
     by_value = near.where(F.col("donor_id").isNotNull()).select(
         id_col, F.col("donor_id").alias("match_id"), F.lit("nearest").alias("method")
     )
-    return by_id.unionByName(by_name).unionByName(by_value)
+    return found.unionByName(by_value)

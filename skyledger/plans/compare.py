@@ -10,7 +10,7 @@ from skyledger.functions.numbers import percent_change, ratio
 from skyledger.functions.rules import first_rule
 from skyledger.functions.text import clean_key, recode, recode_or_null
 from skyledger.operators.geo import k_nearest
-from skyledger.operators.joins import compare_outer, lookup, only_left, second_chance
+from skyledger.operators.joins import priority_match, compare_outer, lookup, only_left, second_chance
 from skyledger.operators.measures import group_sums, unit_sum, weighted_totals
 from skyledger.operators.ranking import first_per_group
 from skyledger.operators.reshape import unpivot
@@ -186,22 +186,15 @@ def facility_match(own: DataFrame, other: DataFrame, k: int = 3, fixes: Mapping[
     for i, axis in enumerate(("lon", "lat")):
         moved = first_rule([(F.col("facility_id") == f, xy[i]) for f, xy in fixes.items()], F.col(axis))
         ours = ours.withColumn(axis, moved)
-    by_id = ours.join(theirs.select("facility_id"), "facility_id", "left_semi").select(
-        "facility_id", F.col("facility_id").alias("match_id"), F.lit("id").alias("method")
-    )
-    rest = only_left(ours, theirs, ["facility_id"])
-    by_name = split_join(
-        rest.select("facility_id", "facility_name"),
-        theirs.select(F.col("facility_id").alias("match_id"), "facility_name"), ["facility_name"], "inner", ours,
-    ).select("facility_id", "match_id", F.lit("name").alias("method"))
-    by_name = settle(by_name)
-    used = by_id.unionByName(by_name).select(F.col("match_id").alias("facility_id"))
+    key, name = F.col("facility_id"), F.col("facility_name")
+    found = settle(priority_match(ours, theirs, "facility_id", "facility_id", {"id": (key, key), "name": (name, name)}))
     near = k_nearest(
-        only_left(rest, by_name, ["facility_id"]).select("facility_id", "lat", "lon"),
-        only_left(theirs, used, ["facility_id"]).select(F.col("facility_id").alias("match_id"), "lat", "lon"),
+        only_left(ours, found, ["facility_id"]).select("facility_id", "lat", "lon"),
+        only_left(theirs, found.select(F.col("match_id").alias("facility_id")), ["facility_id"]).select(
+            F.col("facility_id").alias("match_id"), "lat", "lon"),
         "facility_id", "match_id", k,
     ).withColumn("method", F.lit("nearest"))
-    return by_id.unionByName(by_name).unionByName(near, allowMissingColumns=True)
+    return found.unionByName(near, allowMissingColumns=True)
 
 
 def pollutant_crosswalk(lists: Mapping[str, DataFrame], code: str = "polcode", left_out: Sequence[str] = BASE_POLLUTANTS, spare: Sequence[str] = ()) -> DataFrame:

@@ -34,11 +34,6 @@ SELF_REPORTING = ("hou", "iah", "efd")
 EXTRA_AIRFRAMES = {"A109": 5238, "EC130": 5177}
 EXTRA_AIRFRAMES_2020 = {**EXTRA_AIRFRAMES, "B407": 5079}
 
-RATES = (
-    "fuel_st", "co_st", "thc_st", "tog_st", "voc_st", "nmhc_st", "nox_st", "nvpm_mass_st",
-    "nvpm_number", "pmso_st", "pmfo_st", "co2_st", "h2o_st", "sox_st", "pm25_st", "pm10_st",
-)
-
 
 def filter_modes(rates: DataFrame, modes: Sequence[str] = MODES) -> DataFrame:
     return rates.where(F.col("mode").isin(*modes))
@@ -153,6 +148,27 @@ def noncommercial_inventory(
     )
 
 
+def noncommercial_coverage(
+    classed_ops: DataFrame, fleet: DataFrame, emissions: DataFrame, rate: str = "co_st",
+) -> DataFrame:
+    """(facility_id, fac_class, covered_by, units, units_without_rates): every facility of the classes, once.
+
+    ``fleet`` and ``emissions`` come from ``noncommercial_inventory``. ``covered_by`` is ``fleet``
+    if some unit has rates, else what is missing: ``no rates``, ``no fleet`` or ``no class``.
+    A facility that the inventory leaves out is a row here.
+    """
+    unit = ["facility_id", "equipment_type"]
+    rated = emissions.where(F.col(rate).isNotNull()).select(*unit).distinct().withColumn("_rated", F.lit(1))
+    units = fleet.select(*unit).distinct().join(rated, unit, "left").groupBy("facility_id").agg(
+        F.count(F.lit(1)).alias("units"), F.count_if(F.col("_rated").isNull()).alias("units_without_rates"))
+    every = classed_ops.select("facility_id", "fac_class").distinct().join(units, "facility_id", "left").fillna(0, ["units", "units_without_rates"])
+    state = first_rule([
+        (F.col("fac_class").isNull(), "no class"), (F.col("units") == 0, "no fleet"),
+        (F.col("units") == F.col("units_without_rates"), "no rates"),
+    ], F.lit("fleet"))
+    return every.select("facility_id", "fac_class", state.alias("covered_by"), "units", "units_without_rates")
+
+
 def equipment_lookup(
     rates: DataFrame, engines: DataFrame, airframes: DataFrame, extra: Mapping[str, int] = EXTRA_AIRFRAMES
 ) -> DataFrame:

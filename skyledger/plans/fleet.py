@@ -30,6 +30,7 @@ HELICOPTERS = (
 # Airframe of each military helicopter.
 MILITARY_HELICOPTERS = {"CH47D": 4891, "S70": 4935, "B212": 5245}
 FUEL_TRUCK = '"Diesel - F750 Dukes Transportation Services DART 3000 to 6000 gallon - Fuel Truck"'
+LIST_BLOCK = 1000  # entries of an equipment list in one row
 GENERIC_CODE = 999900  # equipment codes above it are generic
 
 
@@ -206,11 +207,21 @@ def reported_fleet_mix(
     )
 
 
-def spread_list(facilities: DataFrame, items: DataFrame) -> DataFrame:
-    """Every facility with every entry of an equipment list. The one join key is
-    hot by construction, so ``split_join`` cuts the facilities into even pieces."""
-    right = items.withColumn("_list", F.lit(1))
-    return split_join(facilities.withColumn("_list", F.lit(1)), right, ["_list"], "inner").drop("_list")
+def spread_list(facilities: DataFrame, items: DataFrame, size: int = LIST_BLOCK) -> DataFrame:
+    """Every facility with every entry of an equipment list.
+
+    The list is cut into blocks of about ``size`` entries, one row each; a facility names
+    the blocks that there are and takes their entries from the rows. However long the list,
+    no row holds all of it, and however many facilities, there is a key for each block.
+    """
+    columns = items.columns
+    entry = F.struct(*columns)
+    blocks = items.agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_blocks"))
+    lists = with_scalars(items, blocks).groupBy(F.pmod(F.xxhash64(*columns), F.col("_blocks")).cast("int").alias("_block")).agg(
+        F.collect_list(entry).alias("_entries"))
+    named = with_scalars(facilities, blocks).where("_blocks > 0").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rest = [c for c in facilities.columns if c not in columns]
+    return named.join(lists, "_block").select(*rest, F.inline("_entries"))
 
 
 def military_heli_fleet(rates: DataFrame, engines: DataFrame, airframes: DataFrame, facilities: DataFrame) -> DataFrame:
@@ -224,7 +235,7 @@ def military_heli_fleet(rates: DataFrame, engines: DataFrame, airframes: DataFra
     )
     items = lookup(items, engines, ["engine_code"], ["engine_id"], "inner")
     items = lookup(items, airframes, ["airframe_id"], ["model"], "inner").withColumn("fleetmix", F.lit(1.0 / 3))
-    return spread_list(facilities, settle(items))
+    return spread_list(facilities, items)
 
 
 def farm_fleet(rates: DataFrame, engines: DataFrame, airframes: DataFrame, facilities: DataFrame) -> DataFrame:
@@ -233,7 +244,7 @@ def farm_fleet(rates: DataFrame, engines: DataFrame, airframes: DataFrame, facil
     names = rates.select("equipment_type").distinct().where(F.col("equipment_type") != FUEL_TRUCK)
     items = names.select(frame.alias("model"), engine.alias("engine_code"))
     items = lookup(items, engines, ["engine_code"], ["engine_id"], "inner")
-    items = settle(lookup(items, airframes, ["model"], ["airframe_id"]))
+    items = lookup(items, airframes, ["model"], ["airframe_id"])
     items = with_scalars(items, items.agg(ratio(F.lit(1.0), F.count(F.lit(1))).alias("fleetmix")))
     return spread_list(facilities, items).withColumn("label", F.col("model"))
 

@@ -75,7 +75,7 @@ def track_layout(
     layouts: DataFrame, codes: DataFrame, mains: DataFrame, day: str = "2019-01-01", open_ended: bool = False,
 ) -> dict[str, DataFrame]:
     """Tracks (lowest valid id per operation and aircraft kind, with runway and
-    segments) and the airport layout valid on the day.
+    segments) and the one airport layout valid on the day.
 
     ``open_ended`` leaves the expiry date out of the test.
     """
@@ -96,7 +96,14 @@ def track_layout(
     preferred = codes.where(F.lower("preferred") == "y").select(F.col("apt_id"), "apt_code")
     layout = layouts.where(now).withColumnRenamed("airport_id", "apt_id")
     layout = layout.join(preferred, "apt_id").join(mains.drop("eff_date", "exp_date"), "apt_id")
-    return {"track": full, "layout": layout}
+    return {"track": full, "layout": only_row(layout, "layouts valid on the day")}
+
+
+def only_row(df: DataFrame, what: str) -> DataFrame:
+    """The one row of ``df``; none or several are an error."""
+    n = F.count(F.lit(1))
+    row = F.when(n == 1, F.max(F.struct(*df.columns))).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), n.cast("string"))))
+    return df.agg(row.alias("_row")).select("_row.*")
 
 
 def attach_profiles(
@@ -177,6 +184,42 @@ def scenario_nested(ltos: DataFrame, tracks: DataFrame, minutes: float = APU_MIN
     )
 
 
+# Names of the scenario's elements in its text form.
+OPERATION_ELEMENTS = {
+    "no": "no", "id": "id", "airframe_model": "airframeModel", "engine_code": "engineCode", "apu_name": "apuName",
+    "arrival_apu_time": "arrivalApuTime", "departure_apu_time": "departureApuTime", "num_operations": "numOperations",
+    "profile": "saeProfile", "stage_len": "stageLength",
+}
+SCENARIO_XML = (
+    "optype string, aircraftType int, blockNo int, "
+    "track struct<trackName: string, runwayEnd: string, segmentType: string, distOrRad: double>, "
+    "operations struct<operation: array<struct<no: bigint, id: string, airframeModel: string, engineCode: string, apuName: string, "
+    "arrivalApuTime: double, departureApuTime: double, numOperations: double, saeProfile: string, stageLength: string>>>"
+)
+
+
+def scenario_xml(nested: DataFrame) -> DataFrame:
+    """(facility_id, xml): each row of ``scenario_nested`` as one ``trackOpSet`` element."""
+    operations = F.transform("operations", lambda o: F.struct(*[o[c].alias(e) for c, e in OPERATION_ELEMENTS.items()]))
+    track = F.struct(
+        F.col("track.track_name").alias("trackName"), F.col("track.rwy_end_name").alias("runwayEnd"),
+        F.col("track.segment_type").alias("segmentType"), F.col("track.dist_or_rad").cast("double").alias("distOrRad"))
+    whole = F.struct(
+        F.col("op_type").alias("optype"), F.col("aircraft_type").alias("aircraftType"), F.col("block_no").alias("blockNo"),
+        track.alias("track"), F.struct(operations.alias("operation")).alias("operations"))
+    return nested.select("facility_id", F.to_xml(whole, {"rowTag": "trackOpSet", "nullValue": ""}).alias("xml"))
+
+
+def read_scenario_xml(texts: DataFrame) -> DataFrame:
+    """The operations of ``scenario_xml`` texts, a row each; a text that does not fit the form is an error."""
+    parsed = F.from_xml("xml", SCENARIO_XML, {"rowTag": "trackOpSet", "mode": "FAILFAST", "nullValue": ""})
+    names = {e: c for c, e in OPERATION_ELEMENTS.items()}
+    return texts.withColumn("_s", parsed).select(
+        "facility_id", F.col("_s.optype").alias("op_type"), F.col("_s.aircraftType").alias("aircraft_type"), F.col("_s.blockNo").alias("block_no"),
+        F.col("_s.track.trackName").alias("track_name"), F.explode_outer("_s.operations.operation").alias("_o"),
+    ).select("facility_id", "op_type", "aircraft_type", "block_no", "track_name", *[F.col(f"_o.{e}").alias(c) for e, c in names.items()])
+
+
 def stage_apu_lookup(fleet: DataFrame, profiles: DataFrame, apu: DataFrame) -> DataFrame:
     """Fleet with operations, standard profiles and APU."""
     ops = fleet.withColumn("ops_fleet", F.col("annual_operations") * F.col("fleetmix"))

@@ -297,6 +297,43 @@ def test_right_points_are_stored_once(spark):
     assert [r for _, r, _ in sorted(got["same"])] == sorted(r for r, _, _ in right if r[0] == "d")[:4]
 
 
+def test_priority_match(spark):
+    a = spark.createDataFrame([("1", "x"), ("2", "y"), ("3", "z"), ("4", None), (None, "y"), ("5", "x")], "id string, name string")
+    b = spark.createDataFrame([("1", "y"), ("7", "y"), ("8", "y"), ("9", "x"), (None, "z"), ("10", None)], "id string, name string")
+    rules = {"id": (F.col("id"), F.col("id")), "name": (F.col("name"), F.col("name"))}
+    got = joins.priority_match(a, b, "id", "id", rules)
+    assert pairs(got.where("id IS NOT NULL").na.fill("none"), "id", "match_id", "method") == [
+        ("1", "1", "id"), ("2", "1", "name"), ("2", "7", "name"), ("2", "8", "name"), ("3", "none", "name"), ("5", "9", "name")]
+    assert got.where("id IS NULL").count() == 3
+
+
+def test_list_in_blocks(spark):
+    items = spark.range(250).select(F.concat(F.lit("i"), "id").alias("item"), F.lit(0.5).alias("share"))
+    places = spark.range(40).select(F.concat(F.lit("f"), "id").alias("facility_id"), F.lit("own").alias("item"))
+    for size in (7, 1000):
+        out = fleet.spread_list(places, items, size)
+        assert out.columns == ["facility_id", "item", "share"] and out.count() == out.distinct().count() == 40 * 250
+        assert "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
+    assert fleet.spread_list(places, items.limit(0)).count() == 0
+
+
+def test_scenario_text(spark):
+    track = F.struct(F.lit("t <&> 1").alias("track_name"), F.lit(None).cast("string").alias("rwy_end_name"), F.lit("V").alias("segment_type"), F.lit(1.5).alias("dist_or_rad"))
+    op = lambda no, name, apu: F.struct(F.lit(no).cast("bigint").alias("no"), F.lit(f"A{no}").alias("id"), F.lit(name).alias("airframe_model"), F.lit("E & <1>").alias("engine_code"),
+                                        F.lit(apu).cast("string").alias("apu_name"), F.lit(13.0).alias("arrival_apu_time"), F.lit(None).cast("double").alias("departure_apu_time"),
+                                        F.lit(2.0).alias("num_operations"), F.lit("STANDARD").alias("profile"), F.lit("M").alias("stage_len"))
+    rows = spark.range(1).select(F.lit("dal").alias("facility_id"), F.lit("A").alias("op_type"), F.lit(0).alias("aircraft_type"), F.lit(2).alias("block_no"),
+                                 track.alias("track"), F.array(op(1, 'Cessna "172"', None), op(2, "x", "APU 1")).alias("operations"))
+    texts = performance.scenario_xml(rows)
+    text_ = texts.first().xml
+    assert text_.startswith("<trackOpSet>") and text_.count("<operation>") == 2 and "E &amp; &lt;1" in text_
+    got = performance.read_scenario_xml(texts).orderBy("no").collect()
+    assert [(r.no, r.id, r.airframe_model, r.engine_code, r.apu_name, r.arrival_apu_time, r.departure_apu_time, r.track_name, r.block_no) for r in got] == [
+        (1, "A1", 'Cessna "172"', "E & <1>", None, 13.0, None, "t <&> 1", 2), (2, "A2", "x", "E & <1>", "APU 1", 13.0, None, "t <&> 1", 2)]
+    with pytest.raises(Exception):
+        performance.read_scenario_xml(texts.withColumn("xml", F.replace("xml", F.lit(">2.0<"), F.lit(">two<")))).collect()
+
+
 def test_null_safe_join_and_second_chance(spark):
     a = spark.createDataFrame([(None, 1), ("x", 2)], "k string, a int")
     b = spark.createDataFrame([(None, 3), ("y", 4)], "k string, b int")

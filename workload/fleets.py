@@ -240,6 +240,28 @@ def _(t):
     return out.select("aircraft_type", "op_type", "track_id", "track_name", "rwy_end_name", "subtrack_num", "segment_id", "dist_or_rad")
 
 
+@query("airport_layout", """
+SELECT n_nationkey AS apt_id, 'layout ' || n_name AS layout_name, n_name AS apt_code, r_name AS main_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+WHERE n_nationkey = (SELECT max(n_nationkey) FROM {nation})""")
+def _(t):
+    """Only the layout of the last nation is valid on the day; the others begin or end before or after it."""
+    key = F.col("n_nationkey")
+    begin = F.when(key % 2 == 0, "1990-01-01").otherwise("2001-01-01")
+    end = F.when(key % 2 == 0, "1998-01-01").otherwise("2030-01-01")
+    last = key == t.nation.agg(F.max("n_nationkey")).scalar()
+    layouts = t.nation.select(
+        key.alias("airport_id"), F.concat(F.lit("layout "), "n_name").alias("layout_name"),
+        F.when(last, "1990-01-01").otherwise(begin).cast("timestamp").alias("eff_date"), F.when(last, "2030-01-01").otherwise(end).cast("timestamp").alias("exp_date"))
+    codes = t.nation.select(key.alias("apt_id"), F.col("n_name").alias("apt_code"), F.lit("Y").alias("preferred"))
+    mains = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(key.alias("apt_id"), F.col("r_name").alias("main_name"))
+    ends = t.customer.select(F.col("c_custkey").cast("int").alias("rwy_end_id"), F.col("c_name").alias("rwy_end_name"))
+    subs = t.lineitem.select(F.col("l_partkey").alias("subtrack_id"), F.col("l_orderkey").cast("int").alias("track_id"), F.col("l_linenumber").alias("subtrack_num"))
+    segs = t.part.select(F.col("p_partkey").alias("segment_id"), F.col("p_partkey").alias("subtrack_id"), F.lit(1).alias("segment_num"), F.lit("V").alias("segment_type"),
+                         F.col("p_size").alias("param_1"), F.lit(0.0).alias("param_2"))
+    out = performance.track_layout(_tracks(t), ends, subs, segs, layouts, codes, mains, "1999-01-01")["layout"]
+    return out.select("apt_id", "layout_name", "apt_code", "main_name")
+
+
 ATTACHED = "WITH " + PROFILE_SQL + ", " + COLLAPSED + """,
 mk AS (SELECT *, coalesce(ap, he) AS anp_id, annual_operations * mix AS ops_fleet, coalesce(coalesce(ap, he) IN (SELECT acft_id FROM pr), false) AS has FROM fo),
 ad AS (SELECT *, mix * coalesce(sum(CASE WHEN NOT has THEN ops_fleet END) OVER (PARTITION BY facility_id), 0) + ops_fleet AS adj FROM mk),
@@ -298,6 +320,22 @@ def _(t):
     )
 
 
+@query("scenario_xml", ATTACHED.replace("round(adj / 2, 6)", "round(adj, 6) / 2") + """,
+k AS (SELECT *, CASE WHEN he IS NOT NULL THEN 1 ELSE 0 END AS aircraft_type FROM sp),
+nb AS (SELECT *, row_number() OVER (PARTITION BY facility_id, aircraft_type, op_type ORDER BY ids, airframe_id, engine_id) AS no FROM k)
+SELECT facility_id, aircraft_type, op_type, CAST(floor((no - 1) / 20) AS INT) AS block_no, no, op_type || CAST(ids AS VARCHAR) AS id, arfm_mod AS airframe_model,
+  engine_code, apu_name, CASE WHEN apu_name IS NOT NULL AND op_type = 'A' THEN 13.0 END AS arrival_apu_time,
+  CASE WHEN apu_name IS NOT NULL AND op_type = 'D' THEN 13.0 END AS departure_apu_time, ltos AS num_operations, profile, stage_len
+FROM nb LEFT JOIN (SELECT * FROM {apu} JOIN {apu_defaults} USING (apu_id)) a USING (airframe_id)""")
+def _(t):
+    """The nested rows as XML texts, read back to one row for each operation."""
+    tracks = _tracks(t).groupBy("aircraft_type", "op_type").agg(F.min("track_id").alias("track_id"), F.min("track_name").alias("track_name")).withColumns({
+        "rwy_end_name": F.lit("1"), "segment_type": F.lit("V"), "dist_or_rad": F.lit(1.0), "subtrack_num": F.lit(1), "segment_num": F.lit(1),
+    })
+    nested = performance.scenario_nested(_split(t), tracks, block=20)
+    return performance.read_scenario_xml(performance.scenario_xml(nested)).drop("track_name")
+
+
 @query("collect_nested", """
 WITH n AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) - 1) AS i FROM {lineitem})
 SELECT l_orderkey, CAST(floor(i / 50) AS INT) AS block_no, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ',' ORDER BY i) AS lines, sum(l_quantity) AS qty FROM n GROUP BY 1, 2""")

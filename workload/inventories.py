@@ -109,6 +109,19 @@ def _(t):
     )
 
 
+@query("noncommercial_coverage", INVENTORY_SQL + f""",
+ac AS (SELECT facility_id, {CLASS_SPLIT} AS fac_class FROM {{facilities}} WHERE facility_group <> 'Commercial' AND facility_type <> 'GLIDERPORT'),
+un AS (SELECT facility_id, fac_class, eq FROM hf UNION SELECT facility_id, fac_class, lower(label) || '/e' || CAST(engine_id AS VARCHAR) FROM pf),
+ra AS (SELECT DISTINCT fac_class, equipment_type AS eq FROM {{class_rates}} WHERE mode IN {MODES} AND fac_class LIKE '%_heli' AND co_st IS NOT NULL UNION SELECT fac_class, eq FROM fr WHERE co_st IS NOT NULL),
+nu AS (SELECT facility_id, count(*) AS units, count(*) FILTER (ra.eq IS NULL) AS bare FROM un LEFT JOIN ra USING (fac_class, eq) GROUP BY 1)
+SELECT facility_id, fac_class, CASE WHEN fac_class IS NULL THEN 'no class' WHEN coalesce(units, 0) = 0 THEN 'no fleet' WHEN units = bare THEN 'no rates' ELSE 'fleet' END AS covered_by,
+  coalesce(units, 0) AS units, coalesce(bare, 0) AS units_without_rates FROM ac LEFT JOIN nu USING (facility_id)""")
+def _(t):
+    """Facilities without a fleet row or without a class stay in the list, with what they lack."""
+    made, out = _noncommercial(t)
+    return emissions.noncommercial_coverage(facility.class_split(t.facilities), made, out)
+
+
 OWN_SQL = f"""WITH rr AS (SELECT r.*, CASE WHEN facility_id IN ('f1', 'f2', 'f7') THEN sum(CASE WHEN mode IN {MODES[:-1].replace(", 'GSE LTO', 'APU'", "")}) THEN num_ops END) OVER (PARTITION BY facility_id) / 2 ELSE annual_operations END AS annual
   FROM {{own_rates}} r JOIN (SELECT facility_id, annual_operations FROM {{facilities}}) f USING (facility_id)),
 ro AS (SELECT * FROM rr WHERE mode IN {MODES}),
@@ -131,6 +144,23 @@ def _(t):
     return out.select("facility_id", "equipment_type", "ltos", "ops", "fleetmix", "source")
 
 
+@query("commercial_fleet_2020", """
+WITH named AS (SELECT facility_id, equipment_type, mode, num_ops FROM {own_rates} WHERE facility_id IN ('f1', 'f2', 'f7')),
+other AS (SELECT facility_id, CASE WHEN equipment_type LIKE '%Brand#1/%' THEN 'A109/' || split_part(equipment_type, '/', 2) WHEN equipment_type LIKE '%Brand#2/%' THEN 'B407/' || split_part(equipment_type, '/', 2) ELSE equipment_type END AS eq, mode, num_ops FROM named)
+SELECT facility_id, eq AS equipment_type, CASE split_part(eq, '/', 1) WHEN 'A109' THEN 5238 WHEN 'B407' THEN 5079 ELSE airframe_id END AS airframe_id, CAST(engine_id AS INT) AS engine_id
+FROM (SELECT DISTINCT facility_id, eq FROM other WHERE mode = 'Climb Below Mixing Height') LEFT JOIN {airframes} ON model = split_part(eq, '/', 1) LEFT JOIN {engines} ON engine_code = split_part(eq, '/', 2)""")
+def _(t):
+    """The 2020 edition's list of airframes that the equipment tables lack, for facilities that report themselves."""
+    frame, engine = F.split_part("equipment_type", F.lit("/"), F.lit(1)), F.split_part("equipment_type", F.lit("/"), F.lit(2))
+    named = F.when(frame.endswith("Brand#1"), "A109").when(frame.endswith("Brand#2"), "B407").otherwise(frame)
+    rates = t.own_rates.withColumn("equipment_type", F.concat_ws("/", named, engine))
+    out, _emis = emissions.commercial_inventory(
+        rates, t.own_scenario, t.facilities, t.engines, t.airframes, [F.col("mode_no"), F.col("user_id")],
+        self_reporting=("f1", "f2", "f7"), extra=emissions.EXTRA_AIRFRAMES_2020,
+    )
+    return out.where("source = 'reported'").select("facility_id", "equipment_type", F.col("airframe_id").cast("int"), F.col("engine_id").cast("int"))
+
+
 @query("commercial_emissions", OWN_SQL + """
 SELECT ro.facility_id, ro.equipment_type, ro.mode, ro.num_ops * k AS ltos, fl.num_ops * k * 2 AS ops, co_st FROM ro JOIN fa USING (facility_id) LEFT JOIN fl USING (facility_id, equipment_type)""")
 def _(t):
@@ -251,6 +281,27 @@ def _(t):
     )
 
 
+FACTOR_SQL = """pf AS (SELECT facility_id, sum(CASE WHEN sysyear = 2000 THEN t_aops END) * 1.0 / nullif(sum(CASE WHEN sysyear = 1998 THEN t_aops END), 0) AS proj_fac FROM {forecast} GROUP BY 1)"""
+
+
+@query("scaled_intensity", f"""
+WITH m AS (SELECT facility_id, CASE WHEN mode IN ('GSE LTO', 'APU') THEN mode ELSE 'Aircraft' END AS mode, mode_no, user_id, equipment_type, num_ops AS ltos, co_st, nox_st FROM {{own_rates}} WHERE mode IN {MODES}),
+e AS (SELECT facility_id, mode, equipment_type, sum(co_st * ltos) AS co, sum(nox_st * ltos) AS nox, arg_min(ltos, (mode_no, user_id)) AS lto FROM m GROUP BY 1, 2, 3),
+a AS (SELECT facility_id, mode, equipment_type, 'CO' AS p, co AS t, lto FROM e UNION ALL SELECT facility_id, mode, equipment_type, 'NOX', nox, lto FROM e),
+{FACTOR_SQL}
+SELECT facility_id, mode, equipment_type, p AS eis_pollutant_id, round(lto * proj_fac, 6) AS lto, round(t * proj_fac, 4) AS emis_tons,
+  round(t / nullif(lto, 0), 6) AS per_lto, round(t / nullif(lto, 0) * proj_fac, 6) AS scaled_per_lto FROM a LEFT JOIN pf USING (facility_id)""")
+def _(t):
+    """Tons and LTOs of another year by the projection factor, per equipment, with and without the scaled ratio."""
+    year = lambda y: F.sum(F.when(F.col("sysyear") == y, F.col("t_aops")))
+    factor = t.forecast.groupBy("facility_id").agg(F.try_divide(year(2000) * F.lit(1.0), year(1998)).alias("proj_fac"))
+    rows, order = t.own_rates.withColumnRenamed("num_ops", "ltos"), [F.col("mode_no"), F.col("user_id")]
+    of = lambda scale: compare.own_intensity(rows, order, {"CO": "co_st", "NOX": "nox_st"}, factor, scale, ["equipment_type"])
+    keys = ["facility_id", "mode", "equipment_type", "eis_pollutant_id"]
+    both = of(False).withColumnRenamed("emis_per_lto", "per_lto").join(of(True).select(*keys, F.col("emis_per_lto").alias("scaled_per_lto")), keys)
+    return rounded(rounded(both, 4, "emis_tons"), 6, "lto", "per_lto", "scaled_per_lto").select(*keys, "lto", "emis_tons", "per_lto", "scaled_per_lto")
+
+
 @query("known_unknown_rollup", f"""
 WITH g AS (SELECT facility_id, code, sum(lto) AS lto FROM {{coded_ltos}} WHERE code > 999900 GROUP BY 1, 2),
 f AS (SELECT DISTINCT CAST(999901 + l_linenumber AS INT) AS code, l_linenumber AS n FROM {{lineitem}} WHERE l_linenumber < 7),
@@ -412,6 +463,14 @@ def _(t):
     return out.withColumn("Fleetmix", F.round("Fleetmix", 8))
 
 
+@query("report_factors", """SELECT facility_id AS "Facility", facility_name AS "Facility Name", facility_group AS "Facility Group", facility_type AS "Facility Type", sysyear AS "Year",
+  round(t_aops / annual_operations, 8) AS "Projection Factor" FROM {forecast} JOIN {facilities} USING (facility_id)""")
+def _(t):
+    factors = t.forecast.join(t.facilities, "facility_id").withColumn("proj_fac", F.try_divide("t_aops", "annual_operations"))
+    out = reports.report_tables(t.facilities, t.fleet_input, factors)["factors"]
+    return out.withColumn("Projection Factor", F.round("Projection Factor", 8))
+
+
 @query("report_extract", """SELECT airport AS "Airport", facility_group AS "Facility Group", county AS "County", year AS "Year", mode AS "Mode", CAST(count(*) AS BIGINT) AS n, sum(ltos) AS "LTOs" FROM {inventory} GROUP BY ALL""")
 def _(t):
     out = reports.emission_extract(t.inventory)
