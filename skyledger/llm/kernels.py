@@ -108,7 +108,7 @@ class Words:
         return line, begin, begin + size
 
 
-def parts(size: np.ndarray, most: int = 1 << 26) -> Iterator[slice]:
+def parts(size: np.ndarray, most: int = 1 << 22) -> Iterator[slice]:
     """Slices of the items whose sizes add up to about ``most``."""
     total, low = np.concatenate([[0], np.cumsum(size)]), 0
     while low < len(size):

@@ -16,7 +16,7 @@ without counting the rare ones:
    are counted too and then dropped by the threshold.
 
 A run is known by a 64-bit hash in the first pass and when one task adds equal runs of one
-slice of about two megabytes; counts are otherwise taken by the words themselves.
+slice of about a megabyte; counts are otherwise taken by the words themselves.
 
 Defined cases: a null text is empty; a null language is ``und``; texts of any length are
 counted whole, and one text is held by one task; repeated rows count each time; equal
@@ -42,8 +42,9 @@ COVERED = 80  # per cent of a phrase's occurrences inside a longer one from whic
 FIRST = 2000
 CAPACITY = 1 << 20  # entries of one summary, from which more hash partitions are made
 MOST_BITS = 20  # of the number of a hash partition
-HELD = 1 << 21  # entries a task sums before it sends them on
-BLOCK = 512  # entries sent in one row
+HELD = 1 << 19  # entries a task sums before it sends them on
+BLOCK = 128  # entries sent in one row
+BYTES = 1 << 20  # of texts worked on at once
 WIDEST_BITS = 30
 SALT = 64
 BREAK = np.zeros(256, bool)
@@ -73,7 +74,7 @@ def runs_of(batch: pa.RecordBatch):
     names = coded.dictionary
     hashes = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names.to_pylist()], np.uint64)
     codes = coded.indices.to_numpy()
-    for start, data, off in kernels.slices(batch.column(1)):
+    for start, data, off in kernels.slices(batch.column(1), BYTES):
         own = codes[start:start + len(off) - 1]
         yield own, names, Runs(data, off, hashes[own])
 
@@ -189,8 +190,8 @@ def survivors(sent: DataFrame, threshold: int) -> DataFrame:
                 rows = batch.slice(low, high - low)
                 mass += sum(x or 0 for x in rows.column(1).to_pylist())  # of a partition the masses come first
                 blocks = rows.filter(rows.column(1).is_null())
-                for start in range(0, len(blocks), 512):
-                    some = blocks.slice(start, 512)
+                for start in range(0, len(blocks), 1024):
+                    some = blocks.slice(start, 1024)
                     keys.append(np.frombuffer(b"".join(some.column(2).to_pylist()), np.uint64))
                     counts.append(np.frombuffer(b"".join(some.column(3).to_pylist()), np.uint32).astype(np.int64))
                     size += len(keys[-1])
