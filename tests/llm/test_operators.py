@@ -718,7 +718,6 @@ def test_pipeline(spark, docs):
     for text in left.values():
         w = " ".join(words(text, True))
         assert not any(len(b) >= 20 and " ".join(b[2:-2]) in w for b in bench)
-    assert set(plain_components(list(left.items())).items()) >= set()
     ends = corpus_pipeline.STAGES[-1][1](spark, table, DATA)
     assert {r.doc_id for r in ends.select("doc_id").distinct().collect()} == set(left)
     assert corpus_pipeline.STAGES[0][1](spark, docs, DATA).columns == docs.columns
