@@ -6,8 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skyledger.operators.skew import attach_totals, with_scalars
-from skyledger.session import shuffle_width
+from skyledger.operators.skew import attach_totals, hot_keys, with_scalars
+from skyledger.session import settle, shuffle_width
 
 CUTS = 64  # fewest splitters of an order
 SAMPLE = 16  # sampled rows for each splitter
@@ -102,24 +102,34 @@ def numbered(
     keys: Sequence[str],
     order: Sequence[tuple[str, bool]],
     name: str = "row_no",
+    sketch_of: DataFrame | None = None,
 ) -> DataFrame:
-    """Row number per key in a total order, without one task per key.
+    """Row number per key in a total order, without one task per hot key.
 
-    The table is cut into slices of the order (keys, then ``order``); a hot key covers
+    A key that is not hot holds a small share of the rows and is numbered by one window. The
+    rows of hot keys are cut into slices of the order (keys, then ``order``); a hot key covers
     many of them. Rows are numbered inside their slice, and where a key goes on from the slice
     before, the number of its rows in earlier slices is added. Only the first key
     of a slice can go on, so the table of these numbers has at most two rows for each slice.
+    Where ``df`` is costly, ``sketch_of`` is a plainer table with some of the keys to look for hot ones in.
     """
     keys = list(keys)
+    sorts = [_sort(c, up) for c, up in order]
+    hot = hot_keys(df, keys, sketch_of) if keys else []
+    if keys and not hot:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*sorts))
+        return df.select("*", place.cast("bigint").alias(name))
+    is_hot = F.xxhash64(*keys).isin(*hot) if keys else F.lit(True)
     whole = [*[(k, True) for k in keys], *order]
-    sliced = with_slices(df, whole)
-    sizes = sliced.groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    spread = with_slices(df.where(is_hot), whole)
+    sliced = settle(spread.unionByName(df.where(~is_hot).withColumn("_slice", F.lit(-1))) if keys else spread)
+    sizes = sliced.where("_slice >= 0").groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_n"))
     # the first and the last key of each slice; a key between them lies in this slice only
     entry = F.struct(*[c for k in keys for c in (F.col(k).isNull().alias(f"_no_{k}"), F.col(k))], F.col("_n"))
     edge = sizes.groupBy("_slice").agg(F.array_distinct(F.array(F.min(entry), F.max(entry))).alias("_ends")).select("_slice", F.inline("_ends"))
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = edge.withColumn("_before", F.sum("_n").over(earlier)).where("_before IS NOT NULL").select("_slice", *keys, "_before")
-    inside = Window.partitionBy("_slice", *keys).orderBy(*[_sort(c, up) for c, up in order])
+    inside = Window.partitionBy("_slice", *keys).orderBy(*sorts)
     left = sliced.withColumn("_inside", F.row_number().over(inside)).alias("l")
     same = F.col("l._slice") == F.col("r._slice")
     for c in keys:
@@ -147,11 +157,11 @@ def exact_quantile(df: DataFrame, column: str, p: float, name: str = "quantile")
 
 
 def pair_ids(
-    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], name: str = "ids"
+    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], name: str = "ids", sketch_of: DataFrame | None = None,
 ) -> DataFrame:
     """Consecutive rows of the order share an id: 1, 1, 2, 2, ..."""
     return (
-        numbered(df, keys, order, "_no")
+        numbered(df, keys, order, "_no", sketch_of)
         .withColumn(name, F.ceil(F.col("_no") / 2).cast("int"))
         .drop("_no")
     )

@@ -39,6 +39,18 @@ def hot_key_hashes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sketch.select(hot.alias("_hot"))
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], sketch_of: DataFrame | None = None) -> list[int]:
+    """Hashes of the hot keys, at most ``MAX_HOT``, looked up now.
+
+    ``sketch_of`` is a plainer table with some of the keys: where none of these is hot there, no key is.
+    """
+    if sketch_of is not None:
+        some = [k for k in keys if k in sketch_of.columns]
+        if some and not hot_key_hashes(sketch_of, some).first()[0]:
+            return []
+    return hot_key_hashes(df, keys).first()[0]
+
+
 def split_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
     sketch_of: DataFrame | None = None,
@@ -51,11 +63,14 @@ def split_join(
     right rows are repeated once per piece. Every other key keeps one piece.
     ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``. Where ``left``
     is itself costly, ``sketch_of`` names a plainer table with the same keys to
-    look for hot keys in.
+    look for hot keys in; this is done at once, and without hot keys the join is a plain
+    one, whose layout by the keys serves the steps after it.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"split_join cannot run a {how} join")
     keys = list(keys)
+    if sketch_of is not None and not hot_keys(sketch_of, keys):
+        return left.join(right, keys, how)
     pieces = shuffle_width(left.sparkSession)
     hot = hot_key_hashes(left if sketch_of is None else sketch_of, keys)
     is_hot = F.coalesce(F.array_contains("_hot", F.xxhash64(*keys)), F.lit(False))
@@ -71,7 +86,7 @@ def split_join(
 
 
 def attach_totals(
-    df: DataFrame, keys: Sequence[str], split: bool = True, **aggregates: Column
+    df: DataFrame, keys: Sequence[str], split: bool = True, sketch_of: DataFrame | None = None, **aggregates: Column
 ) -> DataFrame:
     """Put group aggregates on every row of the group.
 
@@ -81,7 +96,7 @@ def attach_totals(
     are short by nature (the years of one facility).
     """
     totals = df.groupBy(*keys).agg(*[c.alias(name) for name, c in aggregates.items()])
-    return split_join(df, totals, keys, "left") if split else df.join(totals, list(keys), "left")
+    return split_join(df, totals, keys, "left", sketch_of) if split else df.join(totals, list(keys), "left")
 
 
 def attach_scalar(df: DataFrame, **aggregates: Column) -> DataFrame:
