@@ -55,7 +55,7 @@ def reshare(df: DataFrame, keys: Sequence[str], share: str, total: str, ops: str
 
 
 def redistribute(
-    df: DataFrame, keys: Sequence[str], keep: Column, share: str, ops: str
+    df: DataFrame, keys: Sequence[str], keep: Column, share: str, ops: str, sketch_of: DataFrame | None = None,
 ) -> DataFrame:
     """Drop rows and hand their operations to the rest in proportion to the share.
 
@@ -66,7 +66,7 @@ def redistribute(
     lost = F.coalesce(F.sum(F.when(~F.col("_keep"), F.col(ops))), F.lit(0.0))
     mix = F.sum(F.when(F.col("_keep"), F.col(share)))
     kept = F.sum(F.when(F.col("_keep"), F.col(ops)))
-    with_sums = attach_totals(marked, keys, lost_ops=lost, _mix=mix, _kept=kept)
+    with_sums = attach_totals(marked, keys, sketch_of=sketch_of, lost_ops=lost, _mix=mix, _kept=kept)
     adjusted = F.col(share) * F.col("lost_ops") + F.col(ops)
     whole = F.col("_mix") * F.col("lost_ops") + F.col("_kept")
     return with_sums.where("_keep").withColumn("ops_fleet_adj", adjusted).withColumn(

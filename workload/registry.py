@@ -13,12 +13,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.session import SETTINGS
+from skyledger.session import SETTINGS, settle
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 ROLES: dict[str, str] = {}
+SETTLED: set[str] = set()
 
 
 class Tables:
@@ -31,7 +32,8 @@ class Tables:
         if name not in self._made:
             if name in ROLES:
                 needs = {n: getattr(self, n) for n in references(ROLES[name])}
-                self._made[name] = self._spark.sql(ROLES[name], **needs)
+                made = self._spark.sql(ROLES[name], **needs)
+                self._made[name] = settle(made, name) if name in SETTLED else made
             elif name in TABLES:
                 self._made[name] = self._spark.read.parquet(f"{self._path}/{name}.parquet")
             else:
@@ -43,8 +45,11 @@ def references(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
-def role(name: str, sql: str) -> None:
+def role(name: str, sql: str, settled: bool = False) -> None:
+    """Name a role table; a ``settled`` one is written once, as several steps read it or its size must be known."""
     ROLES[name] = sql
+    if settled:
+        SETTLED.add(name)
 
 
 def oracle_text(sql: str) -> str:

@@ -39,7 +39,7 @@ role("base_traffic", "SELECT * FROM {traffic} WHERE year_id = 1998")
 role("brands", """
 SELECT p_brand AS brand, CAST(min(p_partkey) AS INT) AS airframe_id, min(p_name) AS model_name,
   min(p_type) AS kind, CAST(substr(p_brand, 7) AS INT) AS brand_no
-FROM {part} GROUP BY p_brand""")
+FROM {part} GROUP BY p_brand""", settled=True)
 
 role("aircraft_map", """
 SELECT lower(brand) AS aircraft_id, model_name AS aircraft_type, kind AS aircraft_type_id,
@@ -53,12 +53,12 @@ SELECT airframe_id, p_size AS engine_id,
   min(CASE WHEN brand_no <= 4 THEN p_type END) AS anp_helicopter_id,
   min(CASE WHEN p_retailprice > 950 THEN p_name END) AS bada_id,
   CAST(NULL AS STRING) AS bada4_id
-FROM {part} JOIN {brands} ON p_brand = brand GROUP BY airframe_id, p_size""")
+FROM {part} JOIN {brands} ON p_brand = brand GROUP BY airframe_id, p_size""", settled=True)
 
-role("engines", "SELECT DISTINCT p_size AS engine_id, 'E' || CAST(p_size AS STRING) AS engine_code FROM {part}")
+role("engines", "SELECT DISTINCT p_size AS engine_id, 'E' || CAST(p_size AS STRING) AS engine_code FROM {part}", settled=True)
 role("airframes", """
 SELECT airframe_id, 'frame ' || brand AS model FROM {brands} UNION ALL SELECT 4891, 'CH-47' UNION ALL
-SELECT 4935, 'UH-60' UNION ALL SELECT 5245, 'AH-64'""")
+SELECT 4935, 'UH-60' UNION ALL SELECT 5245, 'AH-64'""", settled=True)
 
 role("forecast", """
 SELECT 'f' || CAST(o_custkey AS STRING) AS facility_id, CAST(year(o_orderdate) AS INT) AS sysyear,
@@ -204,21 +204,21 @@ SELECT p_type AS acft_id, CASE WHEN l_linestatus = 'F' THEN 'A' ELSE 'D' END AS
   CASE WHEN p_size <= 30 AND p_type <> 'PROMO' THEN 'STANDARD' ELSE 'NOISEMAP' END AS prof_id1,
   CASE WHEN p_size % 9 = 8 THEN 'M' ELSE CAST(p_size % 9 + 1 AS STRING) END AS prof_id2,
   max(p_retailprice) AS weight, min(p_partkey) AS profile_id
-FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE p_type <> 'LARGE' GROUP BY 1, 2, 3, 4""")
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE p_type <> 'LARGE' GROUP BY 1, 2, 3, 4""", settled=True)
 
 role("heli_profiles", """
 SELECT 'H' || p_brand AS helo_id, CASE WHEN p_size < 25 THEN 'A' WHEN p_size < 48 THEN 'D' ELSE 'X' END AS op_type,
   'STANDARD' AS prof_id1, CAST(p_size % 9 AS STRING) AS prof_id2, p_retailprice AS weight
 FROM {part} JOIN {brands} ON p_brand = brand WHERE brand_no <= 4""")
 
-role("apu", "SELECT airframe_id, brand_no % 5 AS apu_id, 0 AS user_defined FROM {brands} WHERE brand_no > 6")
-role("apu_defaults", "SELECT DISTINCT n_regionkey AS apu_id, 'APU ' || CAST(n_regionkey AS STRING) AS apu_name FROM {nation}")
+role("apu", "SELECT airframe_id, brand_no % 5 AS apu_id, 0 AS user_defined FROM {brands} WHERE brand_no > 6", settled=True)
+role("apu_defaults", "SELECT DISTINCT n_regionkey AS apu_id, 'APU ' || CAST(n_regionkey AS STRING) AS apu_name FROM {nation}", settled=True)
 
 # Rate tables of facilities with their own model runs.
 role("own_units", """
 SELECT c.facility_id, airframe_id, engine_id, 'frame ' || brand AS arfm_mod, 'E' || CAST(engine_id AS STRING) AS engine_code,
   CAST(airframe_id * 100 + engine_id AS INT) AS ids, sum(qty) AS qty
-FROM {fleet_counts} c JOIN {brands} b USING (airframe_id) GROUP BY c.facility_id, airframe_id, engine_id, brand""")
+FROM {fleet_counts} c JOIN {brands} b USING (airframe_id) GROUP BY c.facility_id, airframe_id, engine_id, brand""", settled=True)
 
 role("own_scenario", """
 SELECT facility_id, op_type, ids, airframe_id, arfm_mod, 'x' AS aircraft_id, engine_id, engine_code
