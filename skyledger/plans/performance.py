@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyledger.functions.numbers import half_even
 from skyledger.functions.rules import valid_on
 from skyledger.operators.joins import lookup
-from skyledger.operators.measures import group_count, redistribute
+from skyledger.operators.measures import redistribute
 from skyledger.operators.ranking import first_per_group, numbered, pair_ids, tied_at_extreme
 from skyledger.operators.skew import split_join
 from skyledger.session import settle
@@ -111,11 +111,13 @@ def attach_profiles(
 ) -> dict[str, DataFrame]:
     """Profiles of each aircraft; operations of aircraft without one go to the rest.
 
-    More than ``most_lost`` operations lost at a facility is an error.
+    More than ``most_lost`` operations lost at a facility is an error. ``marked`` is the
+    written table of all operations, in which later steps may look for hot keys.
     """
+    profiles = settle(profiles)  # the list of profiles is short, and its written size tells so
     have = profiles.select(F.col("acft_id").alias("anp_id"), F.lit(True).alias("_has")).distinct()
     marked = settle(ops.join(have, "anp_id", "left"))
-    adjusted = redistribute(marked, ["facility_id"], F.col("_has"), "fleetmix", "ops_fleet")
+    adjusted = redistribute(marked, ["facility_id"], F.col("_has"), "fleetmix", "ops_fleet", marked)
     if most_lost is not None:
         adjusted = adjusted.withColumn(
             "lost_ops",
@@ -124,18 +126,22 @@ def attach_profiles(
             ).otherwise(F.col("lost_ops")),
         )
     data = split_join(
-        adjusted.drop("_has"), profiles.withColumnRenamed("acft_id", "anp_id"), ["anp_id"], "inner"
+        adjusted.drop("_has"), profiles.withColumnRenamed("acft_id", "anp_id"), ["anp_id"], "inner", marked
     )
-    return {"data": data, "dropped": marked.where("_has is null").drop("_has")}
+    return {"data": data, "dropped": marked.where("_has is null").drop("_has"), "marked": marked}
 
 
-def split_arr_dep(data: DataFrame, strict: bool = True) -> DataFrame:
+def split_arr_dep(data: DataFrame, strict: bool = True, sketch_of: DataFrame | None = None) -> DataFrame:
     """LTOs of the arrival and departure row of each unit, and the pair's id.
 
     LTO = operations over the unit's rows, rounded half to even. ``strict`` fails
-    when a unit does not have exactly two rows.
+    when a unit does not have exactly two rows. ``sketch_of`` is a plainer table with
+    the same facilities.
     """
-    counted = group_count(data, ["facility_id", "airframe_id", "engine_id"], "op_type", "op_counts")
+    unit = ["facility_id", "airframe_id", "engine_id"]
+    whole = F.col("facility_id").isNotNull() & F.col("airframe_id").isNotNull() & F.col("engine_id").isNotNull()
+    counted = data.withColumn("op_counts", F.count("op_type").over(Window.partitionBy(*unit)))  # a unit has two rows
+    counted = counted.withColumn("op_counts", F.when(whole, F.col("op_counts")))
     if strict:
         counted = counted.withColumn(
             "op_counts",
@@ -145,22 +151,26 @@ def split_arr_dep(data: DataFrame, strict: bool = True) -> DataFrame:
         )
     ltos = counted.withColumn("ltos", half_even(F.try_divide("ops_fleet_adj", "op_counts")))
     return pair_ids(
-        settle(ltos), ["facility_id"],
-        [("ltos", False), ("arfm_mod", True), ("engine_code", True), ("op_type", True)],
+        ltos if sketch_of is not None else settle(ltos), ["facility_id"],
+        [("ltos", False), ("arfm_mod", True), ("engine_code", True), ("op_type", True)], sketch_of=sketch_of,
     )
 
 
-def scenario_nested(ltos: DataFrame, tracks: DataFrame, minutes: float = APU_MINUTES, block: int = BLOCK_ROWS) -> DataFrame:
+def scenario_nested(
+    ltos: DataFrame, tracks: DataFrame, minutes: float = APU_MINUTES, block: int = BLOCK_ROWS,
+    sketch_of: DataFrame | None = None,
+) -> DataFrame:
     """Per facility, aircraft kind and operation: the track and the operations.
 
     A long list is cut into blocks of ``block`` operations (``block_no``), so that
     no row and no task holds an unbounded list. Facilities without helicopters
-    have no helicopter rows.
+    have no helicopter rows. ``sketch_of`` is a plainer table with the same facilities.
     """
     kind = F.when(F.col("anp_helicopter_id").isNotNull(), 1).otherwise(0)
+    typed = ltos.withColumn("aircraft_type", kind)
     rows = numbered(
-        settle(ltos.withColumn("aircraft_type", kind)), ["facility_id", "aircraft_type", "op_type"],
-        [("ids", True), ("airframe_id", True), ("engine_id", True)], "_no",
+        typed if sketch_of is not None else settle(typed), ["facility_id", "aircraft_type", "op_type"],
+        [("ids", True), ("airframe_id", True), ("engine_id", True)], "_no", sketch_of,
     ).withColumn("block_no", F.floor((F.col("_no") - 1) / block).cast("int"))
     track = tracks.groupBy("aircraft_type", "op_type").agg(
         F.min_by(

@@ -295,13 +295,15 @@ def _(t):
 
 
 def _split(t):
-    data = _attached(t)["data"].withColumn("ops_fleet_adj", F.round("ops_fleet_adj", 6))
-    return performance.split_arr_dep(data)
+    """(ltos, a written table of the same facilities)"""
+    made = _attached(t)
+    data = made["data"].withColumn("ops_fleet_adj", F.round("ops_fleet_adj", 6))
+    return performance.split_arr_dep(data, sketch_of=made["marked"]), made["marked"]
 
 
 @query("split_arr_dep", ATTACHED.replace("round(adj / 2, 6)", "round(adj, 6) / 2") + " SELECT facility_id, airframe_id, engine_id, op_type, ltos, ids FROM sp")
 def _(t):
-    return _split(t).select("facility_id", "airframe_id", "engine_id", "op_type", "ltos", "ids")
+    return _split(t)[0].select("facility_id", "airframe_id", "engine_id", "op_type", "ltos", "ids")
 
 
 @query("scenario_nested", ATTACHED.replace("round(adj / 2, 6)", "round(adj, 6) / 2") + """,
@@ -313,7 +315,8 @@ def _(t):
         "rwy_end_name": F.lit("1"), "segment_type": F.lit("V"), "dist_or_rad": F.lit(1.0), "subtrack_num": F.lit(1), "segment_num": F.lit(1),
     })
     ops = "operations"
-    return performance.scenario_nested(_split(t), tracks, block=20).select(
+    ltos, marked = _split(t)
+    return performance.scenario_nested(ltos, tracks, block=20, sketch_of=marked).select(
         "facility_id", "aircraft_type", "op_type", "block_no", F.size(ops).cast("bigint").alias("n"),
         F.array_join(F.transform(ops, lambda o: o["id"]), ",").alias("ids"),
         F.aggregate(F.transform(ops, lambda o: o["num_operations"]), F.lit(0.0), lambda a, b: a + b).alias("ltos"),
@@ -332,7 +335,8 @@ def _(t):
     tracks = _tracks(t).groupBy("aircraft_type", "op_type").agg(F.min("track_id").alias("track_id"), F.min("track_name").alias("track_name")).withColumns({
         "rwy_end_name": F.lit("1"), "segment_type": F.lit("V"), "dist_or_rad": F.lit(1.0), "subtrack_num": F.lit(1), "segment_num": F.lit(1),
     })
-    nested = performance.scenario_nested(_split(t), tracks, block=20)
+    ltos, marked = _split(t)
+    nested = performance.scenario_nested(ltos, tracks, block=20, sketch_of=marked)
     return performance.read_scenario_xml(performance.scenario_xml(nested)).drop("track_name")
 
 
