@@ -6,13 +6,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from skyledger.functions.numbers import ratio
 from skyledger.functions.rules import first_rule
 from skyledger.functions.text import joined, right_split
 from skyledger.operators.joins import drop_listed, lookup
 from skyledger.operators.measures import reshare
 from skyledger.operators.ranking import first_per_group
-from skyledger.operators.skew import attach_totals, split_join
-from skyledger.plans.fleet import farm_fleet, military_heli_fleet
+from skyledger.operators.skew import attach_totals, split_join, with_scalars
+from skyledger.plans.fleet import farm_list, military_heli_fleet, spread_list
 from skyledger.session import settle
 
 # Fixed values.
@@ -54,16 +55,10 @@ def heli_emissions(fleet: DataFrame, rates: DataFrame, engines: DataFrame, keys:
     return out, split_join(out, rates.drop("num_ops"), [*keys, "equipment_type"], "left")
 
 
-def airport_fleet(
+def airport_units(
     fleet: DataFrame, engines: DataFrame, airframes: DataFrame, omitted: Mapping[str, Sequence[str]] | Sequence[str],
-    filled_source: str = "donor", own_source: str = "traffic",
 ) -> DataFrame:
-    """Fleet of airports ready for the rates.
-
-    Omitted airframe_engine pairs and the float plane go, shares are scaled back
-    to one, equipment is named by airframe model (airplanes) or helicopter id.
-    ``omitted`` may be a list, or a list per ``fac_class``.
-    """
+    """The units that stay, with label and equipment: omitted airframe_engine pairs and the float plane go."""
     pair = joined("airframe_id", "engine_id", sep="_")
     if isinstance(omitted, Mapping):
         for name, pairs in omitted.items():
@@ -78,15 +73,25 @@ def airport_fleet(
         fleet = lookup(fleet, airframes, ["airframe_id"], ["model"])
     label = F.col("label") if "label" in fleet.columns else F.coalesce("anp_helicopter_id", "model")
     kept = fleet.withColumn("label", label).where(F.coalesce(F.col("model") != FLOAT_PLANE, F.lit(True)))
+    return kept.withColumn("equipment_type", joined(F.lower("label"), F.lower("engine_code"), sep="/"))
+
+
+def airport_fleet(
+    fleet: DataFrame, engines: DataFrame, airframes: DataFrame, omitted: Mapping[str, Sequence[str]] | Sequence[str],
+    filled_source: str = "donor", own_source: str = "traffic",
+) -> DataFrame:
+    """Fleet of airports ready for the rates.
+
+    Omitted airframe_engine pairs and the float plane go, shares are scaled back
+    to one, equipment is named by airframe model (airplanes) or helicopter id.
+    ``omitted`` may be a list, or a list per ``fac_class``.
+    """
+    kept = airport_units(fleet, engines, airframes, omitted)
     out = reshare(kept, ["facility_id"], "fleetmix", "annual_operations", "ops")
     source = F.lit(filled_source)
     if "filled_from_facility_id" in fleet.columns:
         source = F.when(F.col("filled_from_facility_id").isNull(), own_source).otherwise(filled_source)
-    return out.withColumns({
-        "ltos": F.col("ops") / 2,
-        "equipment_type": joined(F.lower("label"), F.lower("engine_code"), sep="/"),
-        "source": source,
-    })
+    return out.withColumns({"ltos": F.col("ops") / 2, "source": source})
 
 
 def flight_rates(rates: DataFrame, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
@@ -115,33 +120,53 @@ def noncommercial_inventory(
     ``classed_ops`` comes from ``class_split``; ``fleet`` has facility_id, ids,
     shares; ``rates`` carries ``fac_class``. One pass for all heliport classes and
     one for all airport classes, with the class in the join key.
+
+    All farms have one list of equipment. Its units, rates and sum of shares are worked out
+    on the list, and the sum of each farm on its one row; the rows of list and farms are made
+    last, so that they meet no further join.
     """
     use = filter_modes(rates, modes)
     facts = classed_ops.select(
         "facility_id", "facility_name", "facility_group", "facility_type", "annual_operations", "fac_class"
     )
     drop = [c for c in ("facility_name", "facility_group", "facility_type", "annual_operations") if c in fleet.columns]
-    own = fleet.drop(*drop).join(facts, "facility_id", "inner")
+    own = settle(fleet.drop(*drop).join(facts, "facility_id", "inner"))
     is_heli = F.col("fac_class").endswith("_heli")
     of = lambda df, name: df.where(F.col("fac_class") == name)
-    # The two classes whose fleet comes from the rates themselves.
-    military = military_heli_fleet(of(use, "mil_heli"), engines, airframes, of(facts, "mil_heli"))
-    farm = farm_fleet(of(use, "fandr_arpt"), engines, airframes, of(facts, "fandr_arpt"))
-    heli = own.where(is_heli & (F.col("fac_class") != "mil_heli")).unionByName(military, allowMissingColumns=True)
-    port = own.where(~is_heli & (F.col("fac_class") != "fandr_arpt")).unionByName(
-        farm.drop("label"), allowMissingColumns=True
-    )
-    heli, port = settle(heli), settle(port)
     engine_codes = engines.select("engine_id", "engine_code")
+    heli_rates = settle(use.where(is_heli))
+    flights = settle(flight_rates(use.where(~is_heli), order, ["fac_class"]))
+    # The two classes whose fleet comes from the rates themselves.
+    military = military_heli_fleet(of(heli_rates, "mil_heli"), engines, airframes, of(facts, "mil_heli"))
+    heli = settle(own.where(is_heli & (F.col("fac_class") != "mil_heli")).unionByName(military, allowMissingColumns=True))
     heli_fleet, heli_emis = heli_emissions(
-        lookup(heli.drop("engine_code"), engine_codes, ["engine_id"]), use, engines, ["fac_class"]
+        lookup(heli.drop("engine_code"), engine_codes, ["engine_id"]), heli_rates, engines, ["fac_class"]
     )
     heli_fleet = heli_fleet.withColumn("source", F.lit("generic helicopters"))
     heli_emis = heli_emis.withColumn("source", F.lit("generic helicopters"))
-    port_fleet = airport_fleet(
-        lookup(port.drop("engine_code", "model"), engine_codes, ["engine_id"]), engines, airframes, omitted
-    )
-    port_emis = airport_emissions(port_fleet, use, order, ["fac_class"])
+
+    port = own.where(~is_heli & (F.col("fac_class") != "fandr_arpt"))
+    port = airport_units(lookup(port, engine_codes, ["engine_id"]), engines, airframes, omitted)
+    items = farm_list(of(use, "fandr_arpt"), engines, airframes).drop("engine_code", "model").withColumns({
+        "fac_class": F.lit("fandr_arpt"), "anp_helicopter_id": F.lit(None).cast("string")})
+    items = settle(airport_units(lookup(items, engine_codes, ["engine_id"]), engines, airframes, omitted))
+    farms = of(facts, "fandr_arpt")
+    sums = port.select("facility_id", "fleetmix").unionByName(
+        with_scalars(farms.select("facility_id"), items.agg(F.sum("fleetmix").alias("fleetmix")))
+    ).groupBy("facility_id").agg(F.sum("fleetmix").alias("_whole"))
+    port = split_join(port, sums, ["facility_id"], "left", own)
+    farms = farms.join(sums, "facility_id", "left")
+
+    def shared(df: DataFrame) -> DataFrame:
+        """Shares of the facility's sum, and operations from them."""
+        out = df.withColumn("fleetmix", ratio("fleetmix", "_whole")).drop("_whole")
+        ops = F.col("fleetmix") * F.col("annual_operations")
+        return out.withColumns({"ops": ops, "ltos": ops / 2, "source": F.lit("donor")})
+
+    unit = ["fac_class", "equipment_type"]
+    port_fleet = shared(port).unionByName(shared(spread_list(farms, items)), allowMissingColumns=True)
+    port_emis = shared(lookup(port, flights, unit)).unionByName(
+        shared(spread_list(farms, lookup(items, flights, unit))), allowMissingColumns=True)
     return (
         heli_fleet.unionByName(port_fleet, allowMissingColumns=True),
         heli_emis.unionByName(port_emis, allowMissingColumns=True),
@@ -158,9 +183,11 @@ def noncommercial_coverage(
     A facility that the inventory leaves out is a row here.
     """
     unit = ["facility_id", "equipment_type"]
-    rated = emissions.where(F.col(rate).isNotNull()).select(*unit).distinct().withColumn("_rated", F.lit(1))
-    units = fleet.select(*unit).distinct().join(rated, unit, "left").groupBy("facility_id").agg(
-        F.count(F.lit(1)).alias("units"), F.count_if(F.col("_rated").isNull()).alias("units_without_rates"))
+    known = F.col(rate).isNotNull() & F.col("facility_id").isNotNull() & F.col("equipment_type").isNotNull()
+    seen = fleet.select(*unit, F.lit(1).alias("_unit"), F.lit(0).alias("_rated")).unionByName(
+        emissions.where(known).select(*unit, F.lit(0).alias("_unit"), F.lit(1).alias("_rated")))
+    units = seen.groupBy(*unit).agg(F.max("_unit").alias("_unit"), F.max("_rated").alias("_rated")).where("_unit = 1").groupBy(
+        "facility_id").agg(F.count(F.lit(1)).alias("units"), F.count_if(F.col("_rated") == 0).alias("units_without_rates"))
     every = classed_ops.select("facility_id", "fac_class").distinct().join(units, "facility_id", "left").fillna(0, ["units", "units_without_rates"])
     state = first_rule([
         (F.col("fac_class").isNull(), "no class"), (F.col("units") == 0, "no fleet"),

@@ -18,7 +18,7 @@ from skyledger.operators.measures import (
 )
 from skyledger.operators.ranking import first_per_group
 from skyledger.operators.skew import split_join, with_scalars
-from skyledger.session import settle
+from skyledger.session import settle, shuffle_width
 
 MIX = ["aircraft_id", "aircraft_type_id", "aircraft_type", "airframe_id", "airframe_type", "fleetmix"]
 # The generic helicopters.
@@ -212,9 +212,12 @@ def spread_list(facilities: DataFrame, items: DataFrame, size: int = LIST_BLOCK)
 
     The list is cut into blocks of about ``size`` entries, one row each; a facility names
     the blocks that there are and takes their entries from the rows. However long the list,
-    no row holds all of it, and however many facilities, there is a key for each block.
+    no row holds all of it, and however many facilities, there is a key for each block. The
+    facilities are dealt over all tasks before their rows multiply.
     """
     columns = items.columns
+    items = settle(items)
+    facilities = facilities.repartition(shuffle_width(facilities.sparkSession), *facilities.columns)
     entry = F.struct(*columns)
     blocks = items.agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_blocks"))
     lists = with_scalars(items, blocks).groupBy(F.pmod(F.xxhash64(*columns), F.col("_blocks")).cast("int").alias("_block")).agg(
@@ -238,15 +241,20 @@ def military_heli_fleet(rates: DataFrame, engines: DataFrame, airframes: DataFra
     return spread_list(facilities, items)
 
 
-def farm_fleet(rates: DataFrame, engines: DataFrame, airframes: DataFrame, facilities: DataFrame) -> DataFrame:
-    """Equipment named in the rates, in equal shares, at every facility."""
+def farm_list(rates: DataFrame, engines: DataFrame, airframes: DataFrame) -> DataFrame:
+    """Equipment named in the rates, in equal shares."""
     frame, engine = right_split("equipment_type", "/")
     names = rates.select("equipment_type").distinct().where(F.col("equipment_type") != FUEL_TRUCK)
     items = names.select(frame.alias("model"), engine.alias("engine_code"))
     items = lookup(items, engines, ["engine_code"], ["engine_id"], "inner")
     items = lookup(items, airframes, ["model"], ["airframe_id"])
-    items = with_scalars(items, items.agg(ratio(F.lit(1.0), F.count(F.lit(1))).alias("fleetmix")))
-    return spread_list(facilities, items).withColumn("label", F.col("model"))
+    items = settle(items)
+    return with_scalars(items, items.agg(ratio(F.lit(1.0), F.count(F.lit(1))).alias("fleetmix")))
+
+
+def farm_fleet(rates: DataFrame, engines: DataFrame, airframes: DataFrame, facilities: DataFrame) -> DataFrame:
+    """Equipment named in the rates, in equal shares, at every facility."""
+    return spread_list(facilities, farm_list(rates, engines, airframes)).withColumn("label", F.col("model"))
 
 
 def epa_code_map(codes: DataFrame, equipment: DataFrame, engines: DataFrame, keep_all_agreeing: bool = True) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from skyledger.operators import ranking, skew
-from skyledger.plans import performance
+from skyledger.plans import emissions, performance
 
 
 def plan_of(df):
@@ -62,3 +62,24 @@ def test_operations_without_a_hot_facility_are_not_written_again(spark):
     other = performance.scenario_nested(plain, tracks, block=3)
     key = lambda r: (r.facility_id, r.op_type, r.block_no, r.operations)
     assert sorted(map(key, nested.collect())) == sorted(map(key, other.collect()))
+
+
+def test_farms_share_one_list(spark):
+    """Shares and rates of the farms' list are settled before facilities and list are multiplied."""
+    facts = "facility_id string, facility_name string, facility_group string, facility_type string, annual_operations double, fac_class string"
+    classed = spark.createDataFrame([(f"f{i}", "n", "g", "AIRPORT", 100.0, "fandr_arpt" if i < 300 else "mil_arpt") for i in range(1200)]
+                                    + [("f0", "n", "g", "AIRPORT", 100.0, "mil_arpt")], facts)
+    own = spark.createDataFrame([(f"f{i}", 1, 1, "a", 0.25, None, None) for i in (0, *range(300, 1200))],
+                                "facility_id string, airframe_id int, engine_id int, aircraft_id string, fleetmix double, anp_airplane_id string, anp_helicopter_id string")
+    rates = spark.createDataFrame([(c, "D", m, 1, f"Jet{j}/E1", 1.0, 2.0) for c in ("fandr_arpt", "mil_arpt") for m in emissions.FLIGHT_MODES for j in range(4)],
+                                  "fac_class string, departure_airport string, mode string, event_no int, equipment_type string, num_ops double, co_st double")
+    engines = spark.createDataFrame([(1, "E1")], "engine_id int, engine_code string")
+    frames = spark.createDataFrame([(j, f"Jet{j}") for j in range(4)], "airframe_id int, model string")
+    units, tons = emissions.noncommercial_inventory(classed, own, rates, engines, frames, [F.col("event_no")])
+    assert "_piece" not in plan_of(units.where(F.col("source") == "donor"))
+    shares = {r.facility_id: (r.n, round(r.s, 9), round(r.ops, 6)) for r in units.groupBy("facility_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("fleetmix").alias("s"), F.sum("ops").alias("ops")).collect()}
+    assert shares == {f"f{i}": (5 if i == 0 else 4 if i < 300 else 1, 1.0, 100.0) for i in range(1200)}
+    assert tons.count() == 2 * units.count() and tons.where("co_st IS NULL").count() == 0
+    cover = emissions.noncommercial_coverage(classed, units, tons)
+    assert {(r.covered_by, r.units_without_rates) for r in cover.collect()} == {("fleet", 0)}
