@@ -56,26 +56,36 @@ def mode_class(mode: str = "mode") -> Column:
 
 def own_intensity(
     emissions: DataFrame, order: Sequence[Column], rates: Mapping[str, str] = RATE_POLLUTANTS,
-    factor: DataFrame | None = None, scale_intensity: bool = False, detail: Sequence[str] = (),
+    factor: DataFrame | None = None, scale_intensity: bool = False, detail: Sequence[str] = (), scaled_name: str | None = None,
 ) -> DataFrame:
     """Tons, LTOs and tons per LTO by facility, mode class and pollutant.
 
     LTOs repeat per row of an equipment, so each equipment counts once. ``factor``
     (facility_id, proj_fac) scales tons and LTOs to another year; the ratio scales
-    only with ``scale_intensity``. ``detail`` adds key columns such as equipment.
+    only with ``scale_intensity``; ``scaled_name`` adds the scaled ratio as a column of its own.
+    ``detail`` adds key columns such as equipment.
+
+    Tons and LTOs are summed in one pass over the rows: by equipment with the LTOs of its
+    first row, and then, where the keys are wider, by the keys.
     """
     keys = ["facility_id", "mode", *detail]
-    use = emissions.withColumn("mode", mode_class()).where(F.col("mode").isNotNull())
-    tons = weighted_totals(use, keys, rates, "ltos")
-    long = unpivot(tons, keys, list(rates), "eis_pollutant_id", "emis_tons")
     unit = list(dict.fromkeys([*keys, "equipment_type"]))
-    ltos = unit_sum(use, keys, unit, order, "ltos", "lto")
-    out = long.join(ltos, keys, "inner").withColumn("emis_per_lto", ratio("emis_tons", "lto"))
+    use = emissions.withColumn("mode", mode_class()).where(F.col("mode").isNotNull())
+    at = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    first = F.min_by(F.col("ltos"), F.struct(*[x for c, name in zip(order, at) for x in (c.isNotNull(), name)]))
+    tons = [F.sum(F.col(r) * F.col("ltos")).alias(n) for n, r in rates.items()]
+    units = use.dropna(subset=keys).groupBy(*unit).agg(first.alias("lto"), *tons)
+    known = lambda c, of: F.coalesce(of, F.lit(0.0)).alias(c)
+    sums = units.groupBy(*keys).agg(*[known(c, F.sum(c)) for c in ("lto", *rates)]) if unit != keys else units.select(
+        *keys, *[known(c, F.col(c)) for c in ("lto", *rates)])
+    out = unpivot(sums, [*keys, "lto"], list(rates), "eis_pollutant_id", "emis_tons").withColumn("emis_per_lto", ratio("emis_tons", "lto"))
     if factor is None:
         return out
     scaled = lookup(out, factor, ["facility_id"], ["proj_fac"]).withColumns(
         {c: F.col(c) * F.col("proj_fac") for c in ("lto", "emis_tons")}
     )
+    if scaled_name is not None:
+        scaled = scaled.withColumn(scaled_name, F.col("emis_per_lto") * F.col("proj_fac"))
     if scale_intensity:
         scaled = scaled.withColumn("emis_per_lto", F.col("emis_per_lto") * F.col("proj_fac"))
     return scaled.drop("proj_fac")

@@ -296,9 +296,9 @@ def _(t):
     year = lambda y: F.sum(F.when(F.col("sysyear") == y, F.col("t_aops")))
     factor = t.forecast.groupBy("facility_id").agg(F.try_divide(year(2000) * F.lit(1.0), year(1998)).alias("proj_fac"))
     rows, order = t.own_rates.withColumnRenamed("num_ops", "ltos"), [F.col("mode_no"), F.col("user_id")]
-    of = lambda scale: compare.own_intensity(rows, order, {"CO": "co_st", "NOX": "nox_st"}, factor, scale, ["equipment_type"])
+    made = compare.own_intensity(rows, order, {"CO": "co_st", "NOX": "nox_st"}, factor, False, ["equipment_type"], "scaled_per_lto")
     keys = ["facility_id", "mode", "equipment_type", "eis_pollutant_id"]
-    both = of(False).withColumnRenamed("emis_per_lto", "per_lto").join(of(True).select(*keys, F.col("emis_per_lto").alias("scaled_per_lto")), keys)
+    both = made.withColumnRenamed("emis_per_lto", "per_lto")
     return rounded(rounded(both, 4, "emis_tons"), 6, "lto", "per_lto", "scaled_per_lto").select(*keys, "lto", "emis_tons", "per_lto", "scaled_per_lto")
 
 
