@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyledger.functions.numbers import ratio
 from skyledger.functions.rules import first_rule
@@ -12,7 +12,7 @@ from skyledger.functions.text import joined, right_split
 from skyledger.operators.joins import drop_listed, lookup
 from skyledger.operators.measures import reshare
 from skyledger.operators.ranking import first_per_group
-from skyledger.operators.skew import attach_totals, split_join, with_scalars
+from skyledger.operators.skew import attach_totals, hot_keys, split_join, with_scalars
 from skyledger.plans.fleet import farm_list, military_heli_fleet, spread_list
 from skyledger.session import settle
 
@@ -209,6 +209,52 @@ def equipment_lookup(
     return items.withColumn("airframe_id", manual)
 
 
+def scaled_by_joins(rows: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """(fleet, emissions): LTOs scaled so that a facility's operations add up to its annual operations, also where a facility is hot."""
+    rows = settle(rows)
+    air = rows.where(~F.col("mode").isin(*GROUND_MODES))
+    units = settle(first_per_group(air, ["facility_id", "equipment_type"], order))
+    # The correction is one number per facility, taken from its units.
+    factors = units.groupBy("facility_id").agg(
+        F.try_divide(F.max("annual_operations"), F.sum("ltos") * 2).alias("_factor")
+    )
+    scaled = split_join(rows, factors, ["facility_id"], "left").withColumn(
+        "ltos", F.col("ltos") * F.col("_factor")
+    ).drop("_factor")
+    fleet = split_join(units, factors, ["facility_id"], "left").withColumn(
+        "ltos", F.col("ltos") * F.col("_factor")
+    ).withColumn("ops", F.col("ltos") * 2).drop("_factor")
+    fleet = fleet.withColumn("fleetmix", F.try_divide("ops", "annual_operations"))
+    emissions = split_join(
+        scaled, fleet.select("facility_id", "equipment_type", "fleetmix", "ops"), ["facility_id", "equipment_type"], "left", rows,
+    )
+    return fleet, emissions
+
+
+def scaled_by_windows(rows: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """The same in windows of the facility and of its equipment, for tables in which no facility is hot."""
+    unit, place = Window.partitionBy("facility_id", "equipment_type"), Window.partitionBy("facility_id")
+    factor = lambda annual, ltos: F.when(F.col("facility_id").isNotNull(), F.try_divide(
+        F.max(annual).over(place), F.sum(ltos).over(place) * 2))
+    air = ~F.col("mode").isin(*GROUND_MODES)
+    order = [*order, F.col("ltos"), F.col("annual_operations")]  # both tables below take the same row as first
+    units = first_per_group(rows.where(air), ["facility_id", "equipment_type"], order)
+    fleet = units.withColumn("_factor", factor(F.col("annual_operations"), F.col("ltos"))).withColumn(
+        "ltos", F.col("ltos") * F.col("_factor")).withColumn("ops", F.col("ltos") * 2).drop("_factor")
+    fleet = fleet.withColumn("fleetmix", F.try_divide("ops", "annual_operations"))
+
+    at = F.row_number().over(unit.orderBy(air.desc(), *order))
+    marked = rows.withColumn("_first", (at == 1) & air)
+    of_first = lambda c: F.when(F.col("_first"), F.col(c))
+    known = F.col("facility_id").isNotNull() & F.col("equipment_type").isNotNull()
+    marked = marked.withColumns({
+        "_ltos": F.when(known, F.max(of_first("ltos")).over(unit)), "_annual": F.when(known, F.max(of_first("annual_operations")).over(unit))})
+    marked = marked.withColumn("_factor", factor(of_first("annual_operations"), of_first("ltos")))
+    emissions = marked.withColumns({"ltos": F.col("ltos") * F.col("_factor"), "ops": F.col("_ltos") * F.col("_factor") * 2})
+    emissions = emissions.withColumn("fleetmix", F.try_divide("ops", "_annual"))
+    return fleet, emissions.drop("_first", "_ltos", "_annual", "_factor")
+
+
 def commercial_inventory(
     rates: DataFrame, scenario: DataFrame, ops: DataFrame, engines: DataFrame, airframes: DataFrame,
     order: Sequence[Column], self_reporting: Sequence[str] = SELF_REPORTING,
@@ -228,36 +274,32 @@ def commercial_inventory(
         *keys, "airframe_id", "arfm_mod", "aircraft_id", "engine_id", "engine_code"
     )
     facts = ops.select("facility_id", "facility_name", "facility_group", "facility_type", "annual_operations")
-    simulated = split_join(rates.where(~reports), inputs, keys, "left")
-    simulated = lookup(simulated, facts, ["facility_id"]).withColumn("source", F.lit("traffic"))
-
-    flights = F.col("mode").isin(*FLIGHT_MODES)
     told = settle(rates.where(reports))
+    flights = F.col("mode").isin(*FLIGHT_MODES)
     named = split_join(told, equipment_lookup(told, engines, airframes, extra), ["equipment_type"], "left")
     named = lookup(named, facts.drop("annual_operations"), ["facility_id"])
     named = attach_totals(
         named, ["facility_id"], annual_operations=F.sum(F.when(flights, F.col("num_ops"))) / 2
     ).withColumn("source", F.lit("reported"))
 
-    rows = simulated.unionByName(named, allowMissingColumns=True)
-    rows = rows.where(F.coalesce(F.col("arfm_mod") != FLOAT_PLANE, F.lit(True)))
-    rows = settle(filter_modes(rows, modes).withColumnRenamed("num_ops", "ltos"))
-    air = rows.where(~F.col("mode").isin(*GROUND_MODES))
-    units = settle(first_per_group(air, ["facility_id", "equipment_type"], order))
-    # The correction is one number per facility, taken from its units.
-    factors = units.groupBy("facility_id").agg(
-        F.try_divide(F.max("annual_operations"), F.sum("ltos") * 2).alias("_factor")
-    )
-    scaled = split_join(rows, factors, ["facility_id"], "left").withColumn(
-        "ltos", F.col("ltos") * F.col("_factor")
-    ).drop("_factor")
-    fleet = split_join(units, factors, ["facility_id"], "left").withColumn(
-        "ltos", F.col("ltos") * F.col("_factor")
-    ).withColumn("ops", F.col("ltos") * 2).drop("_factor")
-    fleet = fleet.withColumn("fleetmix", F.try_divide("ops", "annual_operations"))
-    emissions = split_join(
-        scaled, fleet.select("facility_id", "equipment_type", "fleetmix", "ops"), ["facility_id", "equipment_type"], "left", rows,
-    )
+    use = filter_modes(rates.where(~reports), modes)
+    even = not hot_keys(rates, ["facility_id"])
+    if even:  # one layout by the facility serves all joins and windows below
+        use, inputs = use.repartition("facility_id"), inputs.repartition("facility_id")
+        simulated = use.join(inputs, keys, "left")
+    else:
+        simulated = split_join(use, inputs, keys, "left")
+    simulated = lookup(simulated, facts, ["facility_id"]).withColumn("source", F.lit("traffic"))
+
+    def stays(rows: DataFrame) -> DataFrame:
+        rows = filter_modes(rows, modes).where(F.coalesce(F.col("arfm_mod") != FLOAT_PLANE, F.lit(True)))
+        return rows.withColumnRenamed("num_ops", "ltos")
+
+    # A facility is simulated or reports itself, so each of the two is scaled apart.
+    scale = scaled_by_windows if even else scaled_by_joins
+    (fleet, emissions), (other, others) = scale(stays(simulated), order), scale(settle(stays(named)), order)
+    fleet = fleet.unionByName(other, allowMissingColumns=True)
+    emissions = emissions.unionByName(others, allowMissingColumns=True)
     columns = [
         "facility_id", "facility_name", "facility_group", "facility_type", "annual_operations", "airframe_id",
         "aircraft_id", "engine_id", "engine_code", "equipment_type", "fleetmix", "ops", "ltos", "source",

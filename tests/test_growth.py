@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from skyledger.operators import ranking, skew
+from skyledger.operators import geo, ranking, skew
 from skyledger.plans import emissions, performance
 
 
@@ -83,3 +83,27 @@ def test_farms_share_one_list(spark):
     assert tons.count() == 2 * units.count() and tons.where("co_st IS NULL").count() == 0
     cover = emissions.noncommercial_coverage(classed, units, tons)
     assert {(r.covered_by, r.units_without_rates) for r in cover.collect()} == {("fleet", 0)}
+
+
+def test_commercial_scaling_in_windows_equals_joins(spark):
+    rows = [("f1", "A/1", emissions.FLIGHT_MODES[0], 1, "u1", 4.0, 90.0), ("f1", "A/1", emissions.FLIGHT_MODES[1], 2, "u2", 7.0, 90.0),
+            ("f1", "B/1", emissions.FLIGHT_MODES[0], 1, "u3", 6.0, 90.0), ("f1", "C/1", "APU", 3, "u4", 9.0, 90.0), ("f1", "A/1", "APU", 0, "u0", 1.0, 90.0),
+            ("f2", "A/1", emissions.FLIGHT_MODES[1], 2, "u1", 0.0, 50.0), (None, "A/1", emissions.FLIGHT_MODES[0], 1, "u1", 3.0, 10.0),
+            ("f3", None, emissions.FLIGHT_MODES[0], 1, "u1", 5.0, 20.0), ("f3", "A/1", emissions.FLIGHT_MODES[0], 1, "u2", 5.0, None)]
+    df = spark.createDataFrame(rows, "facility_id string, equipment_type string, mode string, mode_no int, user_id string, ltos double, annual_operations double")
+    order = [F.col("mode_no"), F.col("user_id")]
+    for a, b in zip(emissions.scaled_by_windows(df, order), emissions.scaled_by_joins(df, order)):
+        assert set(a.columns) == set(b.columns)
+        assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+
+
+def test_nearest_points_of_crowded_places(spark):
+    """Only the nearest points of a leaf are rows, also where a leaf has many pages."""
+    crowd = spark.range(400).select(F.concat(F.lit("r"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("r"), (F.lit(10.0) + F.col("id") * 1e-7).alias("lat"), F.lit(20.0).alias("lon"))
+    left = spark.createDataFrame([("x", 10.0, 20.0), ("y", -60.0, 100.0)], "l string, lat double, lon double")
+    out = geo.k_nearest(left, crowd, "l", "r", 3)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.l, {})[r["rank"]] = r.r
+    assert got["x"] == {1: "r000", 2: "r001", 3: "r002"} and set(got["y"]) == {1, 2, 3}
+    assert "slice(array_sort(" in plan_of(out)

@@ -81,7 +81,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, path: str) -> DataFrame:
-            for key in ("spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.sql.session.timeZone"):
+            for key in ("spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.sql.session.timeZone", "spark.sql.requireAllClusterKeysForCoPartition"):
                 spark.conf.set(key, SETTINGS[key])
             return fn(Tables(spark, path))
 
