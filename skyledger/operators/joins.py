@@ -208,9 +208,10 @@ def cascade_match(
     found = settle(priority_match(a, b, id_col, id_col, {
         "id": (F.col(id_col), F.col(id_col)), "name": (F.col(name_col), F.col(name_col))}))
     columns = [id_col, group_col, value_col]
+    # A name may be matched many times over: the ids are made single before they meet the sides.
     near = nearest_value(
-        only_left(a, found, [id_col]).select(*columns),
-        only_left(b, found.select(F.col("match_id").alias(id_col)), [id_col]).select(*columns),
+        only_left(a, found.select(id_col).distinct(), [id_col]).select(*columns),
+        only_left(b, found.select(F.col("match_id").alias(id_col)).distinct(), [id_col]).select(*columns),
         group_col, value_col, id_col, a,
     )
     by_value = near.where(F.col("donor_id").isNotNull()).select(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from skyledger.operators import geo, ranking, skew
+from skyledger.operators import geo, joins, ranking, skew
 from skyledger.plans import emissions, performance
 
 
@@ -107,3 +107,12 @@ def test_nearest_points_of_crowded_places(spark):
         got.setdefault(r.l, {})[r["rank"]] = r.r
     assert got["x"] == {1: "r000", 2: "r001", 3: "r002"} and set(got["y"]) == {1, 2, 3}
     assert "slice(array_sort(" in plan_of(out)
+
+
+def test_many_matches_of_a_name_are_single_ids_in_the_last_step(spark):
+    a = spark.range(300).select("id", F.lit("same").alias("name"), F.col("id").cast("double").alias("v"), F.lit(1).alias("g"))
+    b = spark.range(1000, 1040).select("id", F.when(F.col("id") < 1030, "same").otherwise("other").alias("name"), F.col("id").cast("double").alias("v"), F.lit(1).alias("g"))
+    out = joins.cascade_match(a.unionByName(a.limit(1).withColumns({"id": F.lit(5000).cast("long"), "name": F.lit("none")})), b, "id", "name", "v", "g")
+    assert {(r.method, r["count"]) for r in out.groupBy("method").count().collect()} == {("name", 9000), ("nearest", 1)}
+    plan = plan_of(out)
+    assert "LeftAnti" in plan and "Aggregate [id" in plan.split("LeftAnti", 1)[1]
