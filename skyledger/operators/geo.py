@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyledger.operators.ranking import top_k_per_group
 from skyledger.operators.skew import with_scalars
-from skyledger.session import settle as written
+from skyledger.session import settle as written, shuffle_width
 
 EARTH_MILES = 3958.7613
 STEP = 2  # levels of the tree between two looks
 FINEST = 20  # cell side: 2 / 2**level of the unit cube, about 12 m on the ground
 LEAF = 64  # right points in a cell that is not divided again
 LOOSE = 1e-9  # margin of chord bounds, far beyond rounding
+PLACES = 5000  # left places that one task takes down the tree
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -89,7 +90,8 @@ def k_nearest(
     of one cell). Every distinct left place goes down the tree: the
     cells in sight, by greatest distance, hold ``k`` points from some distance on, and
     cells wholly beyond that are dropped before the others are divided. Only the points
-    of the leaves left at the end are measured.
+    of the leaves left at the end are measured, and of each leaf (in pages of about ``LEAF``
+    points) only its ``k`` nearest go on. A task has about ``PLACES`` places, however many there are.
     """
     # At one place only the k lowest ids can be among the k nearest.
     spots = top_k_per_group(
@@ -99,14 +101,16 @@ def k_nearest(
     cells = spots.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"))
     tree = written(occupancy_tree(cells))
     depth = tree.agg(F.max("_level")).first()[0]
-    places = left.select(lat, lon).dropna().distinct().select(lat, lon, *_sphere(lat, lon))
+    places = written(left.select(lat, lon).dropna().distinct())
+    tasks = max(shuffle_width(left.sparkSession), places.count() // PLACES + 1)
+    places = places.withColumn("_spot", F.xxhash64(lat, lon)).repartition(tasks, "_spot").select("_spot", lat, lon, *_sphere(lat, lon))
     if depth is None:
         return left.select(left_id).join(right.select(right_id), F.lit(False)).select(
             left_id, right_id, F.lit(0.0).alias("dist_mi"), F.lit(1).alias("rank"))
 
-    by_place = Window.partitionBy(lat, lon).orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(lat, lon)
-    here = [lat, lon, *[f"_{c}" for c in AXES]]
+    by_place = Window.partitionBy("_spot", lat, lon).orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("_spot", lat, lon)
+    here = ["_spot", lat, lon, *[f"_{c}" for c in AXES]]
     node = F.struct("_level", *CELL, "_n", "_leaf").alias("_next")
     seen = with_scalars(places, tree.where("_level = 0").select("_level", *CELL, "_n", "_leaf"))
     for level in range(STEP, depth + 1, STEP):
@@ -118,16 +122,18 @@ def k_nearest(
         seen = seen.withColumn("_reach", F.min(F.when(F.col("_cum") >= k, F.col("_far"))).over(whole))
         seen = seen.where(F.col("_reach").isNull() | (F.col("_near") <= F.col("_reach") + LOOSE))
 
-    leaves = tree.where("_leaf").select("_level", *CELL)
+    leaves = tree.where("_leaf").select("_level", *CELL, F.ceil(F.col("_n") / LEAF).alias("_pages"))
     ups = F.explode(F.sequence(F.lit(0), F.lit(FINEST), F.lit(STEP)))
     homes = cells.select(*[F.col(c).alias(f"_f{c}") for c in CELL], *CELL, ups.alias("_up")).select(
-        *[f"_f{c}" for c in CELL], (F.lit(FINEST) - F.col("_up")).alias("_level"), *_above("_up")).join(leaves, ["_level", *CELL])
+        *[F.col(f"_f{c}") for c in CELL], (F.lit(FINEST) - F.col("_up")).alias("_level"), *_above("_up")).join(leaves, ["_level", *CELL])
+    point = F.struct(F.col("_lat").alias("a"), F.col("_lon").alias("o"), F.col(right_id).alias("id"))
     stored = spots.select(right_id, "_lat", "_lon", *[F.col(c).alias(f"_f{c}") for c in CELL]).join(
-        homes, [f"_f{c}" for c in CELL]).select("_level", *CELL, right_id, "_lat", "_lon")
-    near = seen.select(lat, lon, "_level", *CELL).join(stored, ["_level", *CELL]).withColumn(
-        "dist_mi", haversine(F.col(lat), F.col(lon), F.col("_lat"), F.col("_lon"))
-    )
-    best = top_k_per_group(near, [lat, lon], [F.col("dist_mi"), F.col(right_id)], k)
+        homes, [f"_f{c}" for c in CELL]).groupBy("_level", *CELL, F.pmod(F.xxhash64(right_id), F.col("_pages")).alias("_page")).agg(
+        F.collect_list(point).alias("_points")).drop("_page")
+    measured = F.transform("_points", lambda e: F.struct(haversine(F.col(lat), F.col(lon), e["a"], e["o"]).alias("dist_mi"), e["id"].alias(right_id)))
+    near = seen.select("_spot", lat, lon, "_level", *CELL).join(written(stored), ["_level", *CELL]).select(
+        "_spot", lat, lon, F.inline(F.slice(F.array_sort(measured), 1, k)))
+    best = top_k_per_group(near, ["_spot", lat, lon], [F.col("dist_mi"), F.col(right_id)], k)
     return left.select(left_id, lat, lon).join(
         best.select(lat, lon, right_id, "dist_mi", "rank"), [lat, lon]
     ).select(left_id, right_id, "dist_mi", "rank")

@@ -199,8 +199,8 @@ def facility_match(own: DataFrame, other: DataFrame, k: int = 3, fixes: Mapping[
     key, name = F.col("facility_id"), F.col("facility_name")
     found = settle(priority_match(ours, theirs, "facility_id", "facility_id", {"id": (key, key), "name": (name, name)}))
     near = k_nearest(
-        only_left(ours, found, ["facility_id"]).select("facility_id", "lat", "lon"),
-        only_left(theirs, found.select(F.col("match_id").alias("facility_id")), ["facility_id"]).select(
+        only_left(ours, found.select("facility_id").distinct(), ["facility_id"]).select("facility_id", "lat", "lon"),
+        only_left(theirs, found.select(F.col("match_id").alias("facility_id")).distinct(), ["facility_id"]).select(
             F.col("facility_id").alias("match_id"), "lat", "lon"),
         "facility_id", "match_id", k,
     ).withColumn("method", F.lit("nearest"))
