@@ -65,20 +65,21 @@ def own_intensity(
     only with ``scale_intensity``; ``scaled_name`` adds the scaled ratio as a column of its own.
     ``detail`` adds key columns such as equipment.
 
-    Tons and LTOs are summed in one pass over the rows: by equipment with the LTOs of its
-    first row, and then, where the keys are wider, by the keys.
+    Where the keys hold the equipment, tons and LTOs come from one pass over the rows.
     """
     keys = ["facility_id", "mode", *detail]
     unit = list(dict.fromkeys([*keys, "equipment_type"]))
     use = emissions.withColumn("mode", mode_class()).where(F.col("mode").isNotNull())
-    at = [c.alias(f"_o{i}") for i, c in enumerate(order)]
-    first = F.min_by(F.col("ltos"), F.struct(*[x for c, name in zip(order, at) for x in (c.isNotNull(), name)]))
-    tons = [F.sum(F.col(r) * F.col("ltos")).alias(n) for n, r in rates.items()]
-    units = use.dropna(subset=keys).groupBy(*unit).agg(first.alias("lto"), *tons)
-    known = lambda c, of: F.coalesce(of, F.lit(0.0)).alias(c)
-    sums = units.groupBy(*keys).agg(*[known(c, F.sum(c)) for c in ("lto", *rates)]) if unit != keys else units.select(
-        *keys, *[known(c, F.col(c)) for c in ("lto", *rates)])
-    out = unpivot(sums, [*keys, "lto"], list(rates), "eis_pollutant_id", "emis_tons").withColumn("emis_per_lto", ratio("emis_tons", "lto"))
+    if unit == keys:
+        first = F.min_by(F.col("ltos"), F.struct(*[x for i, c in enumerate(order) for x in (c.isNotNull(), c.alias(f"_o{i}"))]))
+        sums = {"lto": first, **{n: F.sum(F.col(r) * F.col("ltos")) for n, r in rates.items()}}
+        units = use.dropna(subset=keys).groupBy(*keys).agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in sums.items()])
+        out = unpivot(units, [*keys, "lto"], list(rates), "eis_pollutant_id", "emis_tons")
+    else:
+        tons = weighted_totals(use, keys, rates, "ltos")
+        long = unpivot(tons, keys, list(rates), "eis_pollutant_id", "emis_tons")
+        out = long.join(unit_sum(use, keys, unit, order, "ltos", "lto"), keys, "inner")
+    out = out.withColumn("emis_per_lto", ratio("emis_tons", "lto"))
     if factor is None:
         return out
     scaled = lookup(out, factor, ["facility_id"], ["proj_fac"]).withColumns(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from skyledger.operators import geo, joins, ranking, skew
-from skyledger.plans import emissions, performance
+from skyledger.plans import compare, emissions, performance
 
 
 def plan_of(df):
@@ -116,3 +116,15 @@ def test_many_matches_of_a_name_are_single_ids_in_the_last_step(spark):
     assert {(r.method, r["count"]) for r in out.groupBy("method").count().collect()} == {("name", 9000), ("nearest", 1)}
     plan = plan_of(out)
     assert "LeftAnti" in plan and "Aggregate [id" in plan.split("LeftAnti", 1)[1]
+
+
+def test_both_ratios_come_from_one_pass(spark):
+    rows = spark.createDataFrame([("f", "A/1", m, i, f"u{i}", 4.0 + i, 2.0) for i, m in enumerate(emissions.MODES)] + [("f", "B/1", "APU", 1, "u9", 0.0, 1.0)],
+                                 "facility_id string, equipment_type string, mode string, mode_no int, user_id string, ltos double, co_st double")
+    factor = spark.createDataFrame([("f", 2.0)], "facility_id string, proj_fac double")
+    order = [F.col("mode_no"), F.col("user_id")]
+    out = compare.own_intensity(rows, order, {"CO": "co_st"}, factor, False, ["equipment_type"], "scaled")
+    got = {(r["mode"], r.equipment_type): (r.lto, r.emis_tons, r.emis_per_lto, r.scaled) for r in out.collect()}
+    assert got == {("Aircraft", "A/1"): (8.0, 36.0, 4.5, 9.0), ("GSE LTO", "A/1"): (12.0, 24.0, 2.0, 4.0), ("APU", "A/1"): (14.0, 28.0, 2.0, 4.0),
+                   ("APU", "B/1"): (0.0, 0.0, None, None)}
+    assert "Window" not in plan_of(out)
