@@ -34,7 +34,9 @@ from skyledger.llm.store import keep
 
 DEPTH = 5
 LOOKUP_ROWS = 6_000_000
-CHUNK = 1 << 22
+CHUNK = 1 << 20  # bytes of text whose keys are sorted at once
+HELD = 1 << 20  # distinct keys a task adds up before it sends them on
+ROWS = 1 << 17  # of one batch sent on
 ALPHA = 0.1  # of the base score
 END_WORD = 0x454E44  # stands for the end among the words
 
@@ -118,21 +120,49 @@ def top_levels(roots: pa.Table) -> dict:
     return {"key": first.key, "acc": acc, "rem": rem, "end": end}
 
 
+def summed_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k)
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c, first) if len(first) else c
+
+
 def counted(docs: DataFrame, train: Column, key: str, text: str, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Runs (g, n) and words (g, n) of all texts with their training counts, kept."""
+    """Runs (g, n) and words (g, n) of all texts with their training counts, kept.
+
+    A task sorts the keys of about ``CHUNK`` bytes of text at once, those of training texts and the others apart,
+    and adds up ``HELD`` distinct ones before it sends them on.
+    """
     def run(batches):
+        held = {0: ([], []), 1: ([], [])}
+
+        def send(kind):
+            k, n = summed_counts(*held[kind])
+            held[kind] = ([], [])
+            for low in range(0, len(k), ROWS):
+                some = k[low:low + ROWS]
+                yield pa.record_batch([pa.array(np.full(len(some), kind, np.int32)), pa.array(kernels.signed(some)), pa.array(n[low:low + ROWS])], names=["kind", "g", "n"])
+
         for batch in batches:
-            learn = batch.column(0).to_numpy(zero_copy_only=False)
+            learn = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             for start, data, off in kernels.slices(batch.column(1), CHUNK):
                 mine = learn[start:start + len(off) - 1]
-                grams, first = kernels.byte_grams(kernels.LOWER[data], off, depth + 1)
-                words = kernels.Words(data, off)
-                ends = np.full(len(off) - 1, END_WORD, np.uint64)
-                owner = np.concatenate([np.repeat(np.arange(len(off) - 1), words.count), np.arange(len(off) - 1)])
-                for kind, keys, of in ((0, grams, np.repeat(np.arange(len(off) - 1), np.diff(first))), (1, np.concatenate([words.hashes(), ends]), owner)):
-                    u, inverse = np.unique(keys, return_inverse=True)
-                    n = np.bincount(inverse, mine[of], len(u)).astype(np.int64)
-                    yield pa.record_batch([pa.array(np.full(len(u), kind, np.int32)), pa.array(kernels.signed(u)), pa.array(n)], names=["kind", "g", "n"])
+                for kind in (0, 1):
+                    found, first = keys_of(data, off, depth, kind == 1)
+                    owned = np.repeat(mine, np.diff(first))
+                    for keys, own in ((found[owned], True), (found[~owned], False)):
+                        u, n = np.unique(keys, return_counts=True)
+                        held[kind][0].append(u)
+                        held[kind][1].append(n.astype(np.int64) * own)
+                    if sum(map(len, held[kind][0])) > HELD:
+                        held[kind] = tuple([x] for x in summed_counts(*held[kind]))
+                        if len(held[kind][0][0]) > HELD // 2:
+                            yield from send(kind)
+        for kind in (0, 1):
+            if held[kind][0]:
+                yield from send(kind)
 
     rows = docs.select(F.coalesce(train, F.lit(False)).alias("learn"), F.col(text).cast("string"))
     found = keep(rows.mapInArrow(run, "kind int, g long, n long").groupBy("kind", "g").agg(F.sum("n").alias("n")), "counts")
