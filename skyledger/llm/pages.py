@@ -11,7 +11,7 @@ and where a page marks an article, so is all outside of it.
 The order is cut into ranges, so a host may spread over many tasks. The first and the last
 page of each range are put off, with the page beside them, and finished together
 once the ranges are done: two pages for each range, read in order by one task. The result
-does not depend on the ranges.
+does not depend on the ranges. Pages are compressed one by one for the shuffle.
 
 Defined cases: pages of any length are read whole, and their alignment takes linear memory;
 of two neighbours whose paths share an equally long beginning, the earlier one counts; a null html is an empty page with an empty text; a null or malformed
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from itertools import accumulate
 
 import pyarrow as pa
@@ -170,13 +171,23 @@ def alike(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
+def deflated(batches):
+    """The rows with their third column compressed page by page, for the shuffle."""
+    for batch in batches:
+        for low in range(0, len(batch), 256):
+            rows = batch.slice(low, 256)
+            packed = [zlib.compress(x.as_buffer(), 1) for x in rows.column(2).cast(pa.large_binary())]
+            yield pa.record_batch([rows.column(0), rows.column(1), pa.array(packed, pa.binary()), rows.column(3), rows.column(4)], names=["k", "u", "h", "host", "path"])
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text) for each page."""
     host = F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:www\.|m\.)?([^/?#]*)", 1), F.lit(""))
     path = F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("h"),
                         F.lower(host).alias("host"), path.alias("path"))
-    ordered = rows.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k", "u")
+    small = rows.mapInArrow(deflated, "k long, u string, h binary, host string, path string")
+    ordered = small.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k", "u")
     side = "struct<h: string, host: string, path: string>"
     schema = f"k long, u string, text string, part int, last boolean, own {side}, inner {side}"
 
@@ -201,7 +212,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             yield table(out)
 
     def read(batch):
-        return [(k, u, h, site, p, blocks(h)) for k, u, h, site, p in zip(*batch.to_pydict().values())]
+        rows = ((k, u, zlib.decompress(h).decode(), site, p) for k, u, h, site, p in zip(*batch.to_pydict().values()))
+        return [(*row, blocks(row[2])) for row in rows]
 
     def done(before, now, after):
         near = [x for x in (before, after) if x is not None and x[3] == now[3]]
