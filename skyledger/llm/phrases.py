@@ -5,7 +5,7 @@ passes over the texts find the exact number of occurrences of every frequent phr
 without counting the rare ones:
 
 1. Every task sums its runs of one to four words by hash and sends these summaries, in
-   blocks of sorted hashes, to the hash partitions, together with the mass (occurrences) that each
+   blocks of steps between sorted hashes, to the hash partitions, together with the mass (occurrences) that each
    partition gets from it. There they are merged into one Misra-Gries summary for each
    partition: when it has more entries than its capacity, the first count beyond the
    capacity is taken from all. The capacity exceeds mass / threshold, so less than the
@@ -90,6 +90,35 @@ def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[first], np.add.reduceat(c, first)
 
 
+def byte_places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lowest byte of each number goes, and how far its next byte is, if each block (from ``at[i]`` to ``at[i + 1]``) has its bytes by rank."""
+    size = np.diff(at)
+    return np.arange(at[-1]) + np.repeat(7 * at[:-1], size), np.repeat(size, size)
+
+
+def differenced(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bytes of the blocks of ascending keys: the first key and the steps to the next, whose high bytes are zeros side by side."""
+    steps = keys.copy()
+    steps[1:] -= keys[:-1]
+    steps[at[:-1]] = keys[at[:-1]]
+    rows, out = steps.astype("<u8").view(np.uint8).reshape(-1, 8), np.empty(8 * len(keys), np.uint8)
+    place, far = byte_places(at)
+    for k in range(8):
+        out[place + k * far] = rows[:, k]
+    return out
+
+
+def summed_up(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The keys of the blocks that ``differenced`` made."""
+    rows = np.empty((at[-1], 8), np.uint8)
+    place, far = byte_places(at)
+    for k in range(8):
+        rows[:, k] = raw[place + k * far]
+    total = np.cumsum(rows.view("<u8").ravel(), dtype=np.uint64)
+    before = np.append(np.zeros(1, np.uint64), total)[at[:-1]]
+    return total - np.repeat(before, np.diff(at))
+
+
 def partition_bits(docs: DataFrame, text: str, longest: int, threshold: int, capacity: int) -> int:
     """Bits of a hash partition's number, so that a summary has about ``capacity`` entries at most.
 
@@ -113,7 +142,7 @@ def summaries(docs: DataFrame, lang: str, text: str, longest: int, bits: int) ->
             at = np.append(np.flatnonzero(block % BLOCK == 0), len(keys))
             some = np.minimum(counts, 2**32 - 1).astype(np.uint32)
             blocks = lambda size, data: pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * size).astype(np.int32)), pa.py_buffer(data)])
-            yield pa.record_batch([pa.array(part[at[:-1]]), pa.nulls(len(at) - 1, pa.int64()), blocks(8, keys), blocks(4, some)],
+            yield pa.record_batch([pa.array(part[at[:-1]]), pa.nulls(len(at) - 1, pa.int64()), blocks(8, differenced(keys, at)), blocks(4, some)],
                                   names=["part", "mass", "keys", "counts"])
             rest = counts > some  # counts beyond 32 bits go on in another block
             keys, counts, part = keys[rest], (counts - some)[rest], part[rest]
@@ -192,7 +221,8 @@ def survivors(sent: DataFrame, threshold: int) -> DataFrame:
                 blocks = rows.filter(rows.column(1).is_null())
                 for start in range(0, len(blocks), 1024):
                     some = blocks.slice(start, 1024)
-                    keys.append(np.frombuffer(b"".join(some.column(2).to_pylist()), np.uint64))
+                    raw = some.column(2).to_pylist()
+                    keys.append(summed_up(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *(len(x) // 8 for x in raw)])))
                     counts.append(np.frombuffer(b"".join(some.column(3).to_pylist()), np.uint32).astype(np.int64))
                     size += len(keys[-1])
                     if size > CAPACITY // 4:
