@@ -2,8 +2,9 @@
 
 A byte-level vocabulary splits a text before every run of white space that follows
 something else, and between a letter and a mark like a full stop, so the parts between
-such places can be encoded apart and each distinct part only once. New parts are
-encoded in joined runs that are cut again by the byte lengths of the tokens. Texts with
+such places can be encoded apart and each distinct part only once. A new part of letters
+alone, with at most a space before, is one piece of the byte-level splitter and goes
+straight to the vocabulary's model; the others are encoded in joined runs that are cut again by the byte lengths of the tokens. Texts with
 other white space than space and line feed, or with the string of a special token, which
 is one id wherever it stands, are encoded whole. The result is the same as encoding
 every text whole, with ``add_special_tokens=False``.
@@ -14,6 +15,7 @@ tasks that the worker runs. A text of any length is encoded as one; a null is em
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -23,15 +25,26 @@ PART = re.compile(r"[ \n]*[^\W\d_]+(?![^ \n.,;:!?|)])|[ \n]*[^ \n]+|[ \n]+")
 ODD = re.compile(r"[^\S \n]")
 MOST = 600_000  # parts remembered at once; the table starts anew beyond
 RUN = 512  # new parts encoded as one text
+LATEST = "\u0530"  # letters before this code point are letters to every version of the character tables
 WORKER = "skyledger_worker_tables"  # module of a Python worker that outlives its tasks
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it can be printed, else one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)}
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, each with the end id last."""
 
@@ -46,11 +59,27 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # one character stands for one byte
 
+        split = json.loads(self.tokenizer.to_str())
+        self.letters = byte_letters()
+        self.model = self.tokenizer.model if split["normalizer"] is None and {**(split["pre_tokenizer"] or {}), "trim_offsets": True} == BYTE_LEVEL else None
+
+    def is_word(self, part: str) -> bool:
+        """Whether the byte-level splitter takes the part as one piece."""
+        return (part[1:] if part[0] == " " else part).isalpha() and max(part) < LATEST
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
         """Encode new parts; those that start with white space and end without it are joined, as a split stands between them."""
+        if self.model is not None:
+            rest, tokenize = [], self.model.tokenize
+            for p in new:
+                if self.is_word(p):
+                    self.parts[p] = np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+                else:
+                    rest.append(p)
+            new = rest
         joined = [p for p in new if p[0] in " \n" and p[-1] not in " \n"]
         alone = [p for p in new if p[0] not in " \n" or p[-1] in " \n"]
         for low in range(0, len(joined), RUN):

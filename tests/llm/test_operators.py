@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skyledger.llm import chat, components, ctw, idfile, kernels, leaks, minhash, packing, pages, passages, quality, toxicity, workload
+from skyledger.llm import chat, components, ctw, idfile, kernels, leaks, minhash, packing, pages, passages, phrases, quality, toxicity, workload
 from skyledger.llm.tokens import Encoder, tokenizer_path
 from tests.conftest import DATA
 
@@ -536,6 +536,46 @@ def all_chains(p, q):
     return score
 
 
+def test_counts_of_one_task_are_added(spark, monkeypatch):
+    """Keys that a task meets in several slices are sent on once, with all their training occurrences."""
+    rows = [(i, "ab abc ab") for i in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    sent = []
+    monkeypatch.setattr(ctw, "CHUNK", 4)  # a text a slice
+    monkeypatch.setattr(ctw, "keep", lambda df, name: sent.append(df) or df)
+    runs, words = ctw.counted(table, F.col("doc_id") > 0, "doc_id", "text", 3)
+    assert sorted(r.n for r in words.collect()) == [3, 3, 6] and sum(r.n for r in runs.collect()) == 30
+    keys, counts = ctw.summed_counts([np.array([5, 7], np.uint64), np.array([5], np.uint64)], [np.array([1, 2]), np.array([4])])
+    assert (keys.tolist(), counts.tolist()) == ([5, 7], [5, 2])
+
+
+def test_words_go_straight_to_the_model():
+    """Parts of letters get the ids of the whole call without it."""
+    encoder = Encoder(tokenizer_path())
+    rng = random.Random(3)
+    parts = {rng.choice(["", " "]) + "".join(rng.choice("abcdefXYZéßçñЖяλ") for _ in range(rng.randint(1, 14))) for _ in range(500)}
+    assert all(map(encoder.is_word, parts)) and not any(map(encoder.is_word, [" ", "  a", "a1", "\na", "漢", "a.", "e\u0301"]))
+    want = dict(zip(parts, encoder.whole(list(parts))))
+    encoder.whole = None
+    encoder.learn(list(parts))
+    assert encoder.parts == want
+
+
+def test_pages_are_small_in_the_shuffle():
+    html = ["<p>" + "the same words again " * 200, ""]
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["u", None]), pa.array(html), pa.array(["", ""]), pa.array(["", ""])], names=list("kuhsp"))
+    got = pa.Table.from_batches(pages.deflated([batch])).to_pydict()
+    assert [zlib.decompress(x).decode() for x in got["h"]] == html and len(got["h"][0]) < len(html[0]) // 10 and got["k"] == [1, 2]
+
+
+def test_blocks_of_differences():
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
+    at = np.array([0, 128, 256, 300, 301, 1000])
+    raw = phrases.differenced(keys, at)
+    assert (phrases.summed_up(raw, at) == keys).all()
+    assert len(zlib.compress(raw, 1)) < 0.95 * len(zlib.compress(keys.tobytes(), 1))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_chain_against_all_chains(seed):
     """The Fenwick tree finds the chain scores of a quadratic search."""
@@ -570,6 +610,30 @@ def test_two_passages_of_one_source(spark):
     assert rest[1] == rows[0][1] and one not in rest[2] and two not in rest[2] and len(rest[2].split()) == 350
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_passage_whose_parts_stand_in_smaller_texts(spark, copies):
+    """Parts of a passage in other texts of smaller ids, also in many, do not hide the text that has all of it."""
+    rng = random.Random(8)
+    passage = prose(rng, 60).split()
+    parts = [" ".join(passage[k:k + 20]) for k in range(0, 60, 20)] + [" ".join(passage[k:k + 20]) for k in range(10, 50, 20)]
+    rows = [(1 + i, f"{prose(rng, 30)} {part} {prose(rng, 30)}") for i, part in enumerate(parts * copies)]
+    rows += [(1000, prose(rng, 40) + " " + " ".join(passage)), (1001, " ".join(passage) + " " + prose(rng, 40))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.start_word, r.end_word, r.source_id, r.source_start) for r in got] == [(1001, 0, 59, 1000, 40)]
+
+
+def test_altered_passage_at_a_later_place(spark):
+    """A seed that stands earlier in the source too is matched at all its places there."""
+    rng = random.Random(12)
+    p = prose(rng, 75).split()
+    q = list(p)
+    q[24] = q[49] = "typo"
+    apart = " ".join(f"{' '.join(p[k:k + 24])} {prose(rng, 80)}" for k in (50, 25, 0))
+    rows = [(1, apart + " " + " ".join(p)), (2, prose(rng, 20) + " " + " ".join(q))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert (2, 20, 94, 1) in {(r.doc_id, r.start_word, r.end_word, r.source_id) for r in got}
+
+
 def test_repeated_ids_with_other_texts(spark):
     """Only the row whose text the passages were found in is cut."""
     rng = random.Random(6)
