@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import islice
 
 import numpy as np
 
 END = 2
 PART = re.compile(r"[ \n]*[^\W\d_]+(?![^ \n.,;:!?|)])|[ \n]*[^ \n]+|[ \n]+")
 ODD = re.compile(r"[^\S \n]")
-MOST = 600_000  # parts remembered at once; the table starts anew beyond
+MOST = 600_000  # parts remembered at once; beyond, the half that was met first stays, which has the most frequent ones
 RUN = 512  # new parts encoded as one text
 LATEST = "\u0530"  # letters before this code point are letters to every version of the character tables
 WORKER = "skyledger_worker_tables"  # module of a Python worker that outlives its tasks
@@ -56,6 +57,7 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
         self.end = np.array([end], "<u4").tobytes()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.code = [i.to_bytes(4, "little") for i in range(max(vocabulary.values()) + 1)]
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # one character stands for one byte
 
@@ -73,10 +75,12 @@ class Encoder:
     def learn(self, new: list[str]) -> None:
         """Encode new parts; those that start with white space and end without it are joined, as a split stands between them."""
         if self.model is not None:
-            rest, tokenize = [], self.model.tokenize
+            rest, tokenize, code, space = [], self.model.tokenize, self.code, self.letters[32]
             for p in new:
-                if self.is_word(p):
-                    self.parts[p] = np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+                if p.isascii() and (p[1:] if p[0] == " " else p).isalpha():  # the other characters stand for themselves
+                    self.parts[p] = b"".join([code[t.id] for t in tokenize(p.replace(" ", space))])
+                elif self.is_word(p):
+                    self.parts[p] = b"".join([code[t.id] for t in tokenize(p.encode().decode("latin-1").translate(self.letters))])
                 else:
                     rest.append(p)
             new = rest
@@ -100,11 +104,13 @@ class Encoder:
         out = []
         for start in range(0, len(texts), 256):
             if len(self.parts) > MOST:
-                self.parts = {}
+                self.parts = dict(islice(self.parts.items(), MOST // 2))
             split = [None if t and (ODD.search(t) or self.special.search(t)) else PART.findall(t or "") for t in texts[start:start + 256]]
-            new = list({p for parts in split if parts for p in parts if p not in self.parts})
-            self.learn(new)
-            get = self.parts.__getitem__
+            met = set()
+            for parts in split:
+                met.update(parts or ())
+            self.learn([p for p in met if p not in self.parts])
+            get = {p: self.parts[p] for p in met}.__getitem__  # small, so that most lookups stay in the processor's cache
             for text, parts in zip(texts[start:start + 256], split):
                 out.append((self.whole([text])[0] if parts is None else b"".join(map(get, parts))) + self.end)
         return out
