@@ -11,8 +11,8 @@ training counts, and the words of all texts with theirs. Tree nodes are sums ove
 runs. Subtrees of the two nearest bytes are worked out apart in partitions of the
 runs; their roots (at most 65,280 numbers) join in the two top levels. Each run gets
 the log-probability of its last byte, and a text is the sum over its bytes and one
-end mark, so scoring is a lookup: in a broadcast table while that has at most
-``LOOKUP_ROWS`` rows, else in a join of the text's counted runs.
+end mark, so scoring is a lookup: in two broadcast tables while they have at most
+``LOOKUP_ROWS`` rows together, else in a join of the text's counted runs.
 
 Both ways give the same numbers, whatever the files the tables are split into. A text of
 any length is read whole by one task.
@@ -229,7 +229,7 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     size, kinds = int(total[0]), int(total[1])
     base = np.log10(size + ALPHA * (kinds + 1))
     width = "n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    if max(runs.count(), words.count()) > lookup_rows:
+    if runs.count() + kinds > lookup_rows:  # the rows that would be broadcast
         rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("t")).withColumn("row", F.monotonically_increasing_id())
         rows = keep(rows, "rows")
         by_run = looked_up(rows.select("row", "t"), logs.select("g", "v", F.lit(0).alias("c")), depth, False)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skyledger.llm import chat, components, ctw, idfile, kernels, leaks, minhash, packing, pages, passages, phrases, quality, toxicity, workload
+from skyledger.llm import chat, components, ctw, idfile, kernels, leaks, minhash, packing, pages, passages, phrases, quality, tokens, toxicity, workload
 from skyledger.llm.tokens import Encoder, tokenizer_path
 from tests.conftest import DATA
 
@@ -561,6 +561,20 @@ def test_words_go_straight_to_the_model():
     assert encoder.parts == want
 
 
+def test_first_parts_outlast_a_full_table(monkeypatch):
+    """A full table of parts keeps those met first, which are learned once; the ids stay those of the whole call."""
+    monkeypatch.setattr(tokens, "MOST", 40)
+    encoder, learned = Encoder(tokenizer_path()), Counter()
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda new: learned.update(new) or learn(new))
+    often = " the of and \n\nalso, " + "Straße кот 12. "
+    texts = [often + " ".join(f"q{chr(97 + i % 26)}x{chr(97 + i // 26)}" for i in range(k, k + 30)) for k in range(0, 300, 30)]
+    encoder.encode([often])
+    got = [x for t in texts for x in encoder.encode([t, None])]
+    assert got[::2] == [x + encoder.end for x in encoder.whole(texts)] and set(got[1::2]) == {encoder.end}
+    assert len(encoder.parts) < 40 + 60 and all(learned[p] == 1 for p in (" the", " of", " and", " Straße"))
+
+
 def test_pages_are_small_in_the_shuffle():
     html = ["<p>" + "the same words again " * 200, ""]
     batch = pa.record_batch([pa.array([1, 2]), pa.array(["u", None]), pa.array(html), pa.array(["", ""]), pa.array(["", ""])], names=list("kuhsp"))
@@ -722,6 +736,13 @@ def test_shared_lines(seed):
     assert len(got) == best[-1][-1] and all(a[i] in rest for i in got)
 
 
+def test_whole_texts_come_in_few_rows():
+    """Spans with a whole text beside each are not turned into words for a batch of any size at once."""
+    batch = pa.record_batch([pa.array(range(1000))], names=["a"])
+    got = [b.column(0).to_pylist() for b in passages.few_rows([batch, batch.slice(0, 0), batch.slice(5, 3)])]
+    assert max(map(len, got)) <= passages.ROWS < 1000 and sum(got, []) == [*range(1000), 5, 6, 7]
+
+
 # helpers
 
 def test_lookup():
@@ -795,3 +816,21 @@ def test_digest_of_packing(spark):
         assert r.ids_crc32 == zlib.crc32(encoder.encode([texts[r.doc_id]])[0][4 * r.start:4 * (r.start + r.length)])
 
 
+def test_lookup_in_pieces_without_copies(monkeypatch):
+    monkeypatch.setattr(kernels.Lookup, "PIECE", 7)
+    keys = np.unique(np.random.default_rng(4).integers(0, 2**63, 1000, dtype=np.uint64))
+    values = np.arange(len(keys)) / 3
+    table = kernels.Lookup(keys, values)
+    assert np.shares_memory(table.keys, keys) and np.shares_memory(table.values, values)
+    assert (table.get(keys[::-1]) == values[::-1]).all() and (table.get(keys + np.uint64(1)) == np.where(np.isin(keys + np.uint64(1), keys), 1, 0)).all()
+
+
+def test_both_score_tables_count(spark, monkeypatch):
+    """The bound on broadcast rows holds for the two tables together."""
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b e")], "doc_id long, text string")
+    joined, looked_up = [], ctw.looked_up
+    monkeypatch.setattr(ctw, "looked_up", lambda *a: joined.append(a) or looked_up(*a))
+    runs, words = (x.count() for x in ctw.counted(docs, F.lit(True), "doc_id", "text", 3))
+    ways = [sorted((r.doc_id, r.n_tokens, r.n_known, round(r.score, 9), round(r.base_score, 9)) for r in ctw.scores(docs, F.lit(True), depth=3, lookup_rows=n).collect())
+            for n in (runs + words, runs + words - 1)]
+    assert ways[0] == ways[1] and len(joined) == 2
