@@ -35,6 +35,7 @@ from skyledger.llm.store import keep
 DEPTH = 5
 LOOKUP_ROWS = 6_000_000
 CHUNK = 1 << 20  # bytes of text whose keys are sorted at once
+SCORED = 1 << 19  # bytes of text looked up at once, beside the two tables
 HELD = 1 << 20  # distinct keys a task adds up before it sends them on
 ROWS = 1 << 17  # of one batch sent on
 ALPHA = 0.1  # of the base score
@@ -245,7 +246,7 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
         lookup = kernels.Lookup(by_run.value[0].view(np.uint64), by_run.value[1])
         counts = kernels.Lookup(by_word.value[0].view(np.uint64), by_word.value[1])
         for batch in batches:
-            for start, data, off in kernels.slices(batch.column(1)):
+            for start, data, off in kernels.slices(batch.column(1), SCORED):
                 keys, first = keys_of(data, off, depth, False)
                 score = kernels.summed(lookup.get(keys), first)
                 n_bytes = np.diff(first)
