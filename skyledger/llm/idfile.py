@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skyledger.llm import kernels
 from skyledger.llm.store import keep, shared_folder, small
-from skyledger.llm.tokens import encoders
+from skyledger.llm.tokens import SLICE, encoders
 
 BLOCK_IDS = 1 << 16
 GROUP = 32
@@ -81,8 +82,8 @@ def write_ids(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str | No
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()),
                             ("keys", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
         for batch in batches:
-            for low in range(0, len(batch), 256):
-                rows = batch.slice(low, 256)
+            for low, _, off in kernels.slices(batch.column(1), SLICE):
+                rows = batch.slice(low, len(off) - 1)
                 for k, coded in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist())):
                     keys.append(k)
                     parts.append(coded)

@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.llm import kernels
 from skyledger.llm.store import keep
-from skyledger.llm.tokens import encoders
+from skyledger.llm.tokens import SLICE, encoders
 
 CAPACITY = 1024
 
@@ -41,8 +42,8 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
         encoder, part, seen = encoders(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for low in range(0, len(batch), 512):
-                rows = batch.slice(low, 512)
+            for low, _, off in kernels.slices(batch.column(1), SLICE):
+                rows = batch.slice(low, len(off) - 1)
                 owner, number, start, length, ids, rank = [], [], [], [], [], []
                 for i, coded in enumerate(encoder.encode(rows.column(1).to_pylist())):
                     n = len(coded) // 4

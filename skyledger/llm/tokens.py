@@ -1,8 +1,10 @@
 """Token ids of whole texts, by a tokenizer file of the tokenizers library.
 
-A byte-level vocabulary splits a text before every run of white space that follows
+Texts are cut before every space and line feed, and the pieces told apart, looked up and
+put together again as Arrow arrays, so that Python meets only the new ones. A byte-level
+vocabulary splits a text before every run of white space that follows
 something else, and between a letter and a mark like a full stop, so the parts between
-such places can be encoded apart and each distinct part only once. A new part of letters
+such places can be encoded apart: a new piece is put together from parts, and a text with longer runs of white space is made of parts alone. A new part of letters
 alone, with at most a space before, is one piece of the byte-level splitter and goes
 straight to the vocabulary's model; the others are encoded in joined runs that are cut again by the byte lengths of the tokens. Texts with
 other white space than space and line feed, or with the string of a special token, which
@@ -20,11 +22,16 @@ import re
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END = 2
 PART = re.compile(r"[ \n]*[^\W\d_]+(?![^ \n.,;:!?|)])|[ \n]*[^ \n]+|[ \n]+")
 ODD = re.compile(r"[^\S \n]")
 MOST = 600_000  # parts remembered at once; beyond, the half that was met first stays, which has the most frequent ones
+CUT = "\0"  # stands before each space and line feed of a text that is cut there
+BLANK = [" ", "\n"]
+SLICE = 2_000_000  # characters of texts that are encoded at once
 RUN = 512  # new parts encoded as one text
 LATEST = "\u0530"  # letters before this code point are letters to every version of the character tables
 WORKER = "skyledger_worker_tables"  # module of a Python worker that outlives its tasks
@@ -55,6 +62,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.parts: dict[str, bytes] = {}
+        self.pieces, self.coded = pa.array([], pa.large_string()), pa.array([], pa.large_binary())  # a piece and its ids have the same place
         self.end = np.array([end], "<u4").tobytes()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.code = [i.to_bytes(4, "little") for i in range(max(vocabulary.values()) + 1)]
@@ -100,19 +108,64 @@ class Encoder:
         for low in range(0, len(alone), 4096):
             self.parts.update(zip(alone[low:low + 4096], self.whole(alone[low:low + 4096])))
 
+    def of_pieces(self, new: list[str]) -> list[bytes]:
+        """The ids of pieces that are not in the table of pieces, put together from their parts."""
+        if len(self.parts) > MOST:
+            self.parts = dict(islice(self.parts.items(), MOST // 2))
+        split = [[p] if p[1:].isalpha() and p[0] == " " else PART.findall(p) for p in new]
+        self.learn([p for p in {p: 0 for parts in split for p in parts} if p not in self.parts])
+        return [b"".join([self.parts[p] for p in parts]) for parts in split]
+
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each of some distinct pieces in the table of pieces; new ones are added."""
+        if len(self.pieces) > MOST:
+            self.pieces, self.coded = self.pieces[:MOST // 2], self.coded[:MOST // 2]
+        at = pc.index_in(pieces, self.pieces)
+        new = pieces.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy().copy()
+        if len(new):
+            at[at < 0] = np.arange(len(self.pieces), len(self.pieces) + len(new))
+            coded = pa.array(self.of_pieces(new.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+            self.pieces, self.coded = pa.concat_arrays([self.pieces, new]), pa.concat_arrays([self.coded, coded])
+        return at
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        out, low = [], 0
+        while low < len(texts):
+            high, size = low, 0
+            while high < len(texts) and size < SLICE:
+                size += len(texts[high] or "")
+                high += 1
+            out += self.run([t or "" for t in texts[low:high]])
+            low = high
+        pa.default_memory_pool().release_unused()  # a worker keeps it else while other steps run
+        return out
+
+    def run(self, texts: list[str]) -> list[bytes]:
+        """Encode some texts at once: their pieces are told apart and looked up by array operations."""
+        odd = [CUT in t or ODD.search(t) or self.special.search(t) for t in texts]
+        marked = ["" if o else t.replace(" ", CUT + " ").replace("\n", CUT + "\n") for t, o in zip(texts, odd)]
+        pieces = pc.split_pattern(pa.array(marked, pa.large_string()), CUT)
+        met = pieces.values.dictionary_encode()
+        first, index = pieces.offsets.to_numpy(), met.indices.to_numpy()
+        blank = pc.is_in(met.dictionary, pa.array(BLANK, pa.large_string())).to_numpy(zero_copy_only=False)[index]
+        # white space of three characters or more, or of two at the end, is one piece of the splitter
+        spaced = set((np.searchsorted(first, np.flatnonzero(blank[1:] & blank[:-1]), side="right") - 1).tolist())
+        at = self.places(met.dictionary)
+        ids = self.coded.take(pa.array(at)).take(met.indices)
+        _, offsets, data = ids.buffers()
+        ends, raw = np.frombuffer(offsets, np.int64)[first].tolist(), memoryview(data or b"")
         out = []
-        for start in range(0, len(texts), 256):
-            if len(self.parts) > MOST:
-                self.parts = dict(islice(self.parts.items(), MOST // 2))
-            split = [None if t and (ODD.search(t) or self.special.search(t)) else PART.findall(t or "") for t in texts[start:start + 256]]
-            met = set()
-            for parts in split:
-                met.update(parts or ())
-            self.learn([p for p in met if p not in self.parts])
-            get = {p: self.parts[p] for p in met}.__getitem__  # small, so that most lookups stay in the processor's cache
-            for text, parts in zip(texts[start:start + 256], split):
-                out.append((self.whole([text])[0] if parts is None else b"".join(map(get, parts))) + self.end)
+        for k, t in enumerate(texts):
+            if odd[k]:
+                coded = self.whole([t])[0]
+            elif k in spaced:
+                parts = PART.findall(t)
+                self.learn([p for p in {*parts} if p not in self.parts])
+                coded = b"".join([self.parts[p] for p in parts])
+            else:
+                coded = raw[ends[k]:ends[k + 1]]
+            out.append(b"".join([coded, self.end]))
         return out
 
 

@@ -834,3 +834,18 @@ def test_both_score_tables_count(spark, monkeypatch):
     ways = [sorted((r.doc_id, r.n_tokens, r.n_known, round(r.score, 9), round(r.base_score, 9)) for r in ctw.scores(docs, F.lit(True), depth=3, lookup_rows=n).collect())
             for n in (runs + words, runs + words - 1)]
     assert ways[0] == ways[1] and len(joined) == 2
+
+
+def test_known_pieces_need_no_python(monkeypatch):
+    """Texts of known pieces are put together by array operations alone; all ids are those of the whole call."""
+    encoder, rng = Encoder(tokenizer_path()), random.Random(5)
+    words = ["the", "Straße", "кот", "a.b", "don't", "x,", "&&&", "12", "e\u0301", "\n", "\n\n", "", "", "\0", "\t", "<|endoftext|>"]
+    texts = [rng.choice(["", " ", "\n"]).join(rng.choice(words) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    assert encoder.encode(texts) == [x + encoder.end for x in encoder.whole(texts)]
+    plain = ["the кот\n\nStraße, don't a.b\n", " x,  the &&& 12\ne\u0301", "", None]
+    first = encoder.encode(plain)
+    monkeypatch.setattr(tokens, "PART", None)
+    encoder.learn = encoder.whole = None
+    assert encoder.encode(plain[::-1]) == first[::-1]
+    monkeypatch.setattr(tokens, "SLICE", 1)
+    assert encoder.encode(plain * 3) == first * 3
