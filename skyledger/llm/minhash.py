@@ -48,6 +48,7 @@ PERCENT = 75
 SYMBOLS, CHUNKS, DISTANCE = 40, 10, 19
 LENGTH, NEAR = 128, 56
 WIDEST = 8192  # bytes of the longest parity sketch
+BYTES = 1 << 19  # of whole texts that a task works on at once
 BLOCK = 1024  # texts of one key compared by one task
 SIZE, ERRORS = SYMBOLS // CHUNKS, DISTANCE // CHUNKS
 PICKS = np.array([[c * SIZE + i for i in pick] for c in range(CHUNKS) for pick in combinations(range(SIZE), SIZE - ERRORS)])
@@ -118,7 +119,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def run(batches):
         for batch in batches:
-            for start, data, off in kernels.slices(batch.column(1)):
+            for start, data, off in kernels.slices(batch.column(1), BYTES):
                 grams, first = shingles(data, off)
                 n, full = np.diff(first), np.flatnonzero(np.diff(first))
                 at = first[:-1][full]
@@ -140,7 +141,7 @@ def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, s): the full sets."""
     def run(batches):
         for batch in batches:
-            for start, data, off in kernels.slices(batch.column(1)):
+            for start, data, off in kernels.slices(batch.column(1), BYTES):
                 grams, first = shingles(data, off)
                 yield pa.record_batch([batch.column(0).slice(start, len(off) - 1), pa.ListArray.from_arrays(
                     pa.array(first, pa.int32()), pa.array(kernels.signed(grams)))], names=["id", "s"])

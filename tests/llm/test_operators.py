@@ -849,3 +849,18 @@ def test_known_pieces_need_no_python(monkeypatch):
     assert encoder.encode(plain[::-1]) == first[::-1]
     monkeypatch.setattr(tokens, "SLICE", 1)
     assert encoder.encode(plain * 3) == first * 3
+
+
+def test_texts_stand_once_before_their_spans(spark, monkeypatch):
+    """A text goes to a task once for all its spans there, not beside each; many spans are dealt out with a copy each."""
+    spans = spark.createDataFrame([(i, i % 2, i, i + 60, 0, 60) for i in range(2, 402)], "id long, src long, a int, b int, c int, d int")
+    texts = spark.createDataFrame([(0, "b"), (0, "a"), (1, "c"), (7, "no spans of it"), (None, "x")], "i long, t string")
+    for most, copies in ((1000, 1), (50, 5)):
+        monkeypatch.setattr(passages, "SPANS", most)
+        rows = passages.after_texts(spans, spans, texts, "src", "id").collect()
+        assert Counter((r.i, r.t) for r in rows if r.t is not None) == {(0, "a"): copies, (1, "c"): copies}
+        assert sorted(r.id for r in rows if r.t is None) == [*range(2, 402)]
+    last = None
+    for r in passages.after_texts(spans, spans, texts, "src", "id").coalesce(1).collect():
+        last = (r.i, r.g) if r.t is not None else last
+        assert last == (r.i, r.g) and (r.t is not None or r.src == r.i)
