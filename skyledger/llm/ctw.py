@@ -12,7 +12,8 @@ runs. Subtrees of the two nearest bytes are worked out apart in partitions of th
 runs; their roots (at most 65,280 numbers) join in the two top levels. Each run gets
 the log-probability of its last byte, and a text is the sum over its bytes and one
 end mark, so scoring is a lookup: in two broadcast tables while they have at most
-``LOOKUP_ROWS`` rows together, else in a join of the text's counted runs.
+``LOOKUP_ROWS`` rows together. Else half as many of their most frequent rows are broadcast, and
+only the runs and words of a text that are not among them are counted and joined.
 
 Both ways give the same numbers, whatever the files the tables are split into. A text of
 any length is read whole by one task.
@@ -131,8 +132,9 @@ def summed_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.
 
 
 def counted(docs: DataFrame, train: Column, key: str, text: str, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Runs (g, n) and words (g, n) of all texts with their training counts, kept.
+    """Runs (g, n, f) and words (g, n, f) of all texts with their training counts, kept.
 
+    ``f`` orders them by frequency: the training count and one for each time that a task sent the key on.
     A task sorts the keys of about ``CHUNK`` bytes of text at once, those of training texts and the others apart,
     and adds up ``HELD`` distinct ones before it sends them on.
     """
@@ -166,16 +168,17 @@ def counted(docs: DataFrame, train: Column, key: str, text: str, depth: int) ->
                 yield from send(kind)
 
     rows = docs.select(F.coalesce(train, F.lit(False)).alias("learn"), F.col(text).cast("string"))
-    found = keep(rows.mapInArrow(run, "kind int, g long, n long").groupBy("kind", "g").agg(F.sum("n").alias("n")), "counts")
-    return found.where("kind = 0").select("g", "n"), found.where("kind = 1").select("g", "n")
+    sums = F.sum("n").alias("n"), (F.sum("n") + F.count(F.lit(1))).alias("f")
+    found = keep(rows.mapInArrow(run, "kind int, g long, n long").groupBy("kind", "g").agg(*sums), "counts")
+    return found.where("kind = 0").select("g", "n", "f"), found.where("kind = 1").select("g", "n", "f")
 
 
 def run_logs(runs: DataFrame, depth: int) -> DataFrame:
-    """(g, v): log10 probability of the last byte of each run."""
+    """(g, v, f): log10 probability of the last byte of each run."""
     rows = runs.repartition(F.col("g").bitwiseAND(0xFFFF00))  # a shuffle puts the runs with the same two nearest bytes in one partition
 
     def table(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
+        got = [[c.to_numpy() for c in b.columns] for b in batches if len(b)]
         return [np.concatenate(x) for x in zip(*got)] if got else None
 
     def roots(batches):
@@ -192,9 +195,9 @@ def run_logs(runs: DataFrame, depth: int) -> DataFrame:
         got = table(batches)
         if got:
             v = logs_of_runs(got[0].view(np.uint64), got[1], depth, top.value)
-            yield pa.record_batch([pa.array(got[0]), pa.array(v)], names=["g", "v"])
+            yield pa.record_batch([pa.array(got[0]), pa.array(v), pa.array(got[2])], names=["g", "v", "f"])
 
-    return keep(rows.mapInArrow(logs, "g long, v double"), "run_logs")
+    return keep(rows.mapInArrow(logs, "g long, v double, f long"), "run_logs")
 
 
 def keys_of(data: np.ndarray, off: np.ndarray, depth: int, words: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -208,18 +211,71 @@ def keys_of(data: np.ndarray, off: np.ndarray, depth: int, words: bool) -> tuple
     return keys, first
 
 
-def looked_up(docs: DataFrame, table: DataFrame, depth: int, words: bool) -> DataFrame:
-    """(row, n, v, hits): for each text its number of keys, sum of their values and number with a positive ``c``; by a join."""
+def often(tables: list[DataFrame], most: int) -> Column:
+    """Whether a row is one of the most frequent of the tables, which are at most ``most`` in all of them together."""
+    bins = F.floor(8 * F.log2("f"))
+    both = tables[0].select("f")
+    for table in tables[1:]:
+        both = both.union(table.select("f"))
+    total, least = 0, None
+    for b, n in sorted(both.groupBy(bins.alias("b")).count().collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = b
+    return F.lit(False) if least is None else bins >= least
+
+
+def lookup_arrays(table: DataFrame) -> list[np.ndarray]:
+    """Keys and values of a table (key, value)."""
+    return [c.to_numpy() for c in table.toArrow().columns]
+
+
+def told_apart(docs: DataFrame, key: str, text: str, runs: DataFrame, words: DataFrame, base: float, depth: int) -> DataFrame:
+    """(row, key, kind, g, m, v, hits): for each text and kind of key a row without ``g``, and the keys that the tables lack; kept.
+
+    The row without ``g`` has the number of keys that the broadcast tables (g, v) and (g, n) have, the sum of their values
+    and the number of those with training counts; the others have their number in the text.
+    """
+    context = docs.sparkSession.sparkContext
+    by_run, by_word = context.broadcast(lookup_arrays(runs)), context.broadcast(lookup_arrays(words))
+
     def run(batches):
+        tables = [kernels.Lookup(x.value[0].view(np.uint64), x.value[1], np.nan) for x in (by_run, by_word)]
         for batch in batches:
-            for start, data, off in kernels.slices(batch.column(1)):
-                keys, first = keys_of(data, off, depth, words)
-                for t in range(len(off) - 1):
-                    u, n = np.unique(keys[first[t]:first[t + 1]], return_counts=True)
-                    yield pa.record_batch([pa.array(np.full(len(u), batch.column(0)[start + t].as_py())), pa.array(kernels.signed(u)), pa.array(n)], names=["row", "g", "m"])
-
-    found = docs.mapInArrow(run, "row long, g long, m long").join(table, "g")
-    return found.groupBy("row").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("v")).alias("v"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("hits"))
+            for start, data, off in kernels.slices(batch.column(2), SCORED):
+                rows, ids = (batch.column(c).slice(start, len(off) - 1) for c in (0, 1))
+                for kind in (0, 1):
+                    keys, first = keys_of(data, off, depth, kind == 1)
+                    found = tables[kind].get(keys)
+                    has = ~np.isnan(found)
+                    value = np.log10(found + ALPHA) - base if kind else found
+                    sums = kernels.summed(has, first), kernels.summed(np.where(has, value, 0), first), kernels.summed(found > 0, first)
+                    yield sent(rows, ids, kind, None, sums[0], sums[1], sums[2])
+                    t, k = np.repeat(np.arange(len(rows)), np.diff(first))[~has], keys[~has]
+                    order = np.lexsort((k, t))
+                    t, k = t[order], k[order]
+                    new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])])) if len(k) else np.zeros(0, np.int64)
+                    yield sent(rows.take(pa.array(t[new])), None, kind, k[new], np.diff(np.append(new, len(k))), None, None)
+
+    def sent(rows, ids, kind, g, m, v, hits):
+        size = len(rows)
+        column = lambda x, kind: pa.nulls(size, kind) if x is None else pa.array(x.astype(kind.to_pandas_dtype()), kind)
+        return pa.record_batch([rows, pa.nulls(size, pa.int64()) if ids is None else ids, pa.array(np.full(size, kind, np.int32)),
+                                column(g, pa.int64()), column(m, pa.int64()), column(v, pa.float64()), column(hits, pa.int64())],
+                               names=["row", key, "kind", "g", "m", "v", "hits"])
+
+    texts = docs.select(F.monotonically_increasing_id(), F.col(key).cast("long"), F.col(text).cast("string"))
+    return keep(texts.mapInArrow(run, f"row long, `{key}` long, kind int, g long, m long, v double, hits long"), "told_apart")
+
+
+def looked_up(found: DataFrame, table: DataFrame, kind: int) -> DataFrame:
+    """(row, n, v, hits): for each text its number of keys, sum of their values and number with a positive ``c``; the keys left by a join."""
+    mine = found.where(F.col("kind") == kind)
+    own = mine.where("g IS NULL").select("row", F.col("m").alias("n"), "v", "hits")
+    left = mine.where("g IS NOT NULL").select("row", "g", "m").join(table, "g")
+    left = left.select("row", F.col("m").alias("n"), (F.col("m") * F.col("v")).alias("v"), F.when(F.col("c") > 0, F.col("m")).otherwise(0).alias("hits"))
+    return own.unionByName(left).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n", "v", "hits")])
 
 
 def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
@@ -231,16 +287,17 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     base = np.log10(size + ALPHA * (kinds + 1))
     width = "n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     if runs.count() + kinds > lookup_rows:  # the rows that would be broadcast
-        rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("t")).withColumn("row", F.monotonically_increasing_id())
-        rows = keep(rows, "rows")
-        by_run = looked_up(rows.select("row", "t"), logs.select("g", "v", F.lit(0).alias("c")), depth, False)
-        by_word = looked_up(rows.select("row", "t"), words.select("g", (F.log10(F.col("n") + ALPHA) - base).alias("v"), F.col("n").alias("c")), depth, True)
-        out = rows.select("row", key).join(by_run.select("row", F.col("v").alias("score"), F.col("n").alias("bytes")), "row").join(by_word, "row")
+        frequent = often([logs, words], lookup_rows // 2)
+        found = told_apart(docs, key, text, logs.where(frequent).select("g", "v"), words.where(frequent).select("g", F.col("n").cast("double")), base, depth)
+        by_run = looked_up(found, logs.where(~frequent).select("g", "v", F.lit(0).alias("c")), 0)
+        by_word = looked_up(found, words.where(~frequent).select("g", (F.log10(F.col("n") + ALPHA) - base).alias("v"), F.col("n").alias("c")), 1)
+        rows = found.where("kind = 0 AND g IS NULL").select("row", key)
+        out = rows.join(by_run.select("row", F.col("v").alias("score"), F.col("n").alias("bytes")), "row").join(by_word, "row")
         return out.select(key, F.col("n").alias("n_tokens"), F.col("hits").alias("n_known"), F.lit(size).cast("long").alias("train_tokens"),
                           F.col("v").alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("bytes")).alias("bits_per_byte"))
     spark = docs.sparkSession
-    by_run = spark.sparkContext.broadcast([c.to_numpy() for c in logs.select("g", "v").toArrow().columns])
-    by_word = spark.sparkContext.broadcast([c.to_numpy() for c in words.where("n > 0").select("g", F.col("n").cast("double")).toArrow().columns])
+    by_run = spark.sparkContext.broadcast(lookup_arrays(logs.select("g", "v")))
+    by_word = spark.sparkContext.broadcast(lookup_arrays(words.where("n > 0").select("g", F.col("n").cast("double"))))
 
     def run(batches):
         lookup = kernels.Lookup(by_run.value[0].view(np.uint64), by_run.value[1])

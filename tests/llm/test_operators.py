@@ -864,3 +864,21 @@ def test_texts_stand_once_before_their_spans(spark, monkeypatch):
     for r in passages.after_texts(spans, spans, texts, "src", "id").coalesce(1).collect():
         last = (r.i, r.g) if r.t is not None else last
         assert last == (r.i, r.g) and (r.t is not None or r.src == r.i)
+
+
+def test_frequent_keys_need_no_join(spark, monkeypatch):
+    """Where the tables are too large to broadcast, their frequent rows are, and only the rare keys of a text are joined."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choice(["the", "same", "few", "words"]) for _ in range(200)) + f" {chr(0x4E00 + i)}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, keep = {}, ctw.keep
+    monkeypatch.setattr(ctw, "keep", lambda df, name: kept.setdefault(name, keep(df, name)))
+    size = sum(x.count() for x in ctw.counted(docs, F.lit(True), "doc_id", "text", 3))
+    ways = []
+    for n in (size, size - 1, 0):
+        kept.clear()
+        ways.append(sorted((r.doc_id, r.n_tokens, r.n_known, round(r.score, 9), round(r.base_score, 9)) for r in ctw.scores(docs, F.lit(True), depth=3, lookup_rows=n).collect()))
+        if n == size - 1:
+            left = kept["told_apart"].where("g IS NOT NULL")
+            assert 30 <= left.count() < 30 * 12 and left.where("kind = 1").count() <= 30  # of about 100 runs and 6 words a text
+    assert ways[0] == ways[1] == ways[2]
