@@ -882,3 +882,43 @@ def test_frequent_keys_need_no_join(spark, monkeypatch):
             left = kept["told_apart"].where("g IS NOT NULL")
             assert 30 <= left.count() < 30 * 12 and left.where("kind = 1").count() <= 30  # of about 100 runs and 6 words a text
     assert ways[0] == ways[1] == ways[2]
+
+
+def altered_among_parts(rng):
+    """Texts 100 and 101 share an altered passage; each of its seeds stands in more than ``PLACES`` texts, first in text 0 apart from the others."""
+    p = prose(rng, 75).split()
+    q = list(p)
+    q[24] = q[49] = "typo"
+    parts = [" ".join(p[k:k + 24]) for k in (0, 25, 50)]
+    rows = [(0, " ".join(f"{part} {prose(rng, 90)}" for part in parts[::-1]))]
+    rows += [(1 + i, f"{prose(rng, 30)} {parts[i % 3]} {prose(rng, 90)}") for i in range(90)]
+    return rows + [(100, prose(rng, 40) + " " + " ".join(p)), (101, prose(rng, 20) + " " + " ".join(q))]
+
+
+def test_altered_passage_of_frequent_seeds(spark, monkeypatch):
+    """A passage whose seeds all stand in many texts is found in the one that has it, not only sought in the smallest id of each."""
+    monkeypatch.setattr(passages, "PLACES", 8)
+    rows = altered_among_parts(random.Random(14))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.start_word, r.end_word, r.source_id, r.source_start) for r in passages.repeated_passages(docs).collect()]
+    assert got == [(101, 20, 94, 100, 40)]
+
+
+def test_altered_passage_of_frequent_seeds_is_cut(spark, monkeypatch):
+    """The stage of the pipeline cuts it out of the text with the larger id, and nothing else."""
+    monkeypatch.setattr(passages, "PLACES", 8)
+    rows = altered_among_parts(random.Random(14))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rest = {r.doc_id: r.text for r in passages.without_passages(docs).collect()}
+    assert len(rest[101].split()) == 20 and all(rest[i] == t for i, t in rows[:-1])
+
+
+def test_places_of_runs():
+    """Runs of one seed at equal steps are laid side by side from both ends; other places meet each with each."""
+    p = np.array([0, 3, *range(10, 40, 2), 90])
+    assert sorted(x for run in passages.runs_of(p) for x in run.tolist()) == p.tolist() and max(map(len, passages.runs_of(p))) >= 14
+    pairs = set(map(tuple, passages.matched(np.arange(0, 40, 2), np.arange(101, 121, 2)).T.tolist()))
+    assert {x for x, _ in pairs} == set(range(0, 40, 2)) and (0, 101) in pairs and (38, 119) in pairs and len(pairs) <= 40
+    assert passages.matched(np.array([1, 9]), np.array([4, 6, 7])).shape == (2, 6)
+    h, at = np.array([5] * 10 + [7]), np.arange(11) * 3
+    assert passages.ends_of_runs(h, at).tolist() == [0, 1, 8, 9, 10]
